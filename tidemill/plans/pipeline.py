@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.compare import settled
+from tidemill.functions.compare import settled_sql as s_
 from tidemill.functions.typed import number
 from tidemill.operators import grid, readings, rolling, spikes, wide
 from tidemill.sources.tables import table
@@ -43,8 +45,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     rows = rolling.trailing_totals(table(spark, d, "points"))
     return rows.select(
-        "series_id", "day_no", *(F.round(c, 4).alias(c) for c in ("total_7", "avg_day_7", "avg_reading_7")), "n_7",
-        *(F.round(c, 4).alias(c) for c in ("total_30", "avg_day_30", "avg_reading_30")), "n_30",
+        "series_id", "day_no", *(settled(c).alias(c) for c in ("total_7", "avg_day_7", "avg_reading_7")), "n_7",
+        *(settled(c).alias(c) for c in ("total_30", "avg_day_30", "avg_reading_30")), "n_30",
     )
 
 
@@ -54,7 +56,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = grid.regular_grid(table(spark, d, "points"), periods(spark, d))
-    return rows.withColumn("value", F.round("value", 4))
+    return rows.withColumn("value", settled("value"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -139,17 +141,17 @@ ORACLE = {
         FROM grid GROUP BY tsuid""",
     "p4_found": f"""{_DENSE} SELECT series_id, day_no FROM w
         WHERE day_no >= a + 29 AND round(s7 / 7, 6) >= 2 * round(s30 / 30, 6) AND round(s30 / 30, 6) > 0""",
-    "p4_trailing": f"""{_DENSE} SELECT series_id, day_no, round(s7, 4) AS total_7, c7 AS n_7, round(s7 / 7, 4) AS avg_day_7,
-          CASE WHEN c7 > 0 THEN round(s7 / c7, 4) END AS avg_reading_7, round(s30, 4) AS total_30, c30 AS n_30,
-          round(s30 / 30, 4) AS avg_day_30, CASE WHEN c30 > 0 THEN round(s30 / c30, 4) END AS avg_reading_30 FROM w""",
+    "p4_trailing": f"""{_DENSE} SELECT series_id, day_no, {s_('s7')} AS total_7, c7 AS n_7, {s_('s7 / 7')} AS avg_day_7,
+          CASE WHEN c7 > 0 THEN {s_('s7 / c7')} END AS avg_reading_7, {s_('s30')} AS total_30, c30 AS n_30,
+          {s_('s30 / 30')} AS avg_day_30, CASE WHEN c30 > 0 THEN {s_('s30 / c30')} END AS avg_reading_30 FROM w""",
     "p6_found": f"""WITH {_PERIODS} SELECT series_id, unnest(range(t // period + 1, nt // period)) * period AS slot_ms
         FROM pairs WHERE nt // period > t // period + 1""",
     "p6_grid": f"""WITH {_PERIODS}, slots AS (
           SELECT series_id, period, t, v, nt, nv, unnest(range(t // period + 1, nt // period + 1)) AS k
           FROM pairs WHERE nt // period > t // period)
         SELECT series_id, k * period AS slot_ms,
-          CASE WHEN nt - t <= 4 * period THEN round(v + (nv - v) * ((k * period - t) / (nt - t)), 4) END AS value,
+          CASE WHEN nt - t <= 4 * period THEN {s_('v + (nv - v) * ((k * period - t) / (nt - t))')} END AS value,
           CASE WHEN k = nt // period THEN 'observed' WHEN nt - t <= 4 * period THEN 'filled' ELSE 'missing' END AS status
         FROM slots UNION ALL
-        SELECT series_id, t // period * period, round(v, 4), 'observed' FROM pairs WHERE pt IS NULL""",
+        SELECT series_id, t // period * period, {s_('v')}, 'observed' FROM pairs WHERE pt IS NULL""",
 }
