@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidemill.functions.joins import is_small
 from tidemill.llm.glyphs import LIMIT, _lookalikes, code_points, fold
@@ -91,10 +92,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def grams(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the runs of ``size`` words."""
     n = max(0, len(words) - size + 1)
-    total, weight = np.zeros(n, dtype=np.uint64), np.uint64(1)
+    total = np.zeros(n, dtype=np.uint64)
+    weights = np.cumprod(np.full(size, _ODD, dtype=np.uint64))
     for k in range(size):
-        total += words[k : k + n] * weight
-        weight = weight * _ODD
+        total += words[k : k + n] * weights[k]
     return _mix(total)
 
 
@@ -192,7 +193,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, span: int = SPAN, gram:
     passages = items.select("item_id", F.col("text").alias("item_text")).where(F.col("text").isNotNull())
     both = held.join(F.broadcast(passages) if is_small(passages, 20_000) else passages, "item_id")
     out = both.select("doc_id", "item_id", "text", "item_text").mapInArrow(
-        _extend(span), documents.select("doc_id").schema.add(items.schema["item_id"]).add("words", "int")
+        _extend(span), documents.select("doc_id").schema.add(items.schema["item_id"]).add("words", IntegerType())
     )
     return out.where(F.col("words") > 0).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 

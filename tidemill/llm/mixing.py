@@ -107,14 +107,13 @@ def mixing_plan(documents: DataFrame, targets: DataFrame, total: float | None =
     )
 
 
-def mixed_sample(documents: DataFrame, targets: DataFrame, plan: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
+def mixed_sample(documents: DataFrame, plan: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, tokens, copies``: how often each row of a listed source is taken; rows taken 0 times are left out.
 
     Every row is taken the whole part of its source's epochs; a row whose seeded hash falls below the fractional part
     is taken once more, never more than ``max_repeats`` times in all. The choice depends on the seed and the id alone,
-    not on how rows are laid out. ``targets`` is kept for its names only through ``plan``, which has one row a source.
+    not on how rows are laid out. ``plan`` is that of ``mixing_plan``: one row per listed source, a bounded number.
     """
-    del targets
     names = F.broadcast(plan.select(source_name("source").alias("key"), "source", "epochs", "max_repeats"))
     rows = token_counts(documents.select("doc_id", source_name("source").alias("key"), "text"), tokenizer=tokenizer)
     joined = rows.join(names, "key")
