@@ -24,7 +24,32 @@ _PAIRS = f"""WITH {_vectors("p", "pattern_id", "np_pattern_values", "patterns")}
       row_number() OVER (PARTITION BY pattern_id ORDER BY round(list_dot_product(p.u, w.u), 6) DESC, seq_id) AS place
     FROM p CROSS JOIN w)"""
 
+_COURSES = f"""WITH RECURSIVE {_VALID},
+  stated AS (
+    SELECT tsuid AS series_id, arg_max(value, (updated_at, value)) AS text FROM metadata
+    WHERE lower(trim(name, ' ' || chr(9))) = 'qual_ref_period' GROUP BY ALL),
+  spelt AS (
+    SELECT series_id, CASE WHEN regexp_full_match(trim(text, ' ' || chr(9)), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
+                           THEN try_cast(trim(text, ' ' || chr(9)) AS DOUBLE) END AS p FROM stated),
+  per AS (
+    SELECT coalesce(s.series_id, r.series_id) AS series_id, coalesce(s.ref_period, CAST(floor(r.p) AS BIGINT)) AS period
+    FROM series s FULL JOIN spelt r ON s.series_id = r.series_id),
+  medians AS (
+    SELECT series_id, (t // 3600000) % 24 AS hour, quantile_cont(v, 0.5) AS median, count(*) AS n
+    FROM valid JOIN per USING (series_id) WHERE period BETWEEN 1 AND 3600000 GROUP BY ALL),
+  fit AS (SELECT series_id FROM medians GROUP BY ALL HAVING count(*) = 24 AND min(n) >= 3)"""
+
 ORACLE = {
+    "p2_found": f"""{_COURSES},
+        base AS (SELECT series_id, avg(median) AS mean, stddev_pop(median) AS dev FROM medians SEMI JOIN fit USING (series_id) GROUP BY ALL),
+        z AS (SELECT series_id, hour, (median - mean) / dev AS z FROM medians JOIN base USING (series_id) WHERE dev > 0),
+        links AS (
+          SELECT a.series_id AS a, b.series_id AS b FROM z a JOIN z b ON a.hour = b.hour
+          GROUP BY ALL HAVING sum(a.z * b.z) / 24 >= 0.95 - 1e-12),
+        walk AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON l.a = w.b)
+        SELECT a AS series_id, min(b) AS cluster_id FROM walk GROUP BY a HAVING count(DISTINCT b) >= 2""",
+    "p2_courses": f"""{_COURSES} SELECT series_id, CAST(hour AS INT) AS hour, round(median * 1.00000000001, 6) AS median
+        FROM medians SEMI JOIN fit USING (series_id)""",
     "p1_found": f"{_PAIRS} SELECT pattern_id, seq_id FROM ranked WHERE place <= 5 AND similarity >= 0.9",
     "p5_found": f"""WITH {_VALID},
         tops AS (SELECT series_id, round(quantile_cont(v, 0.9), 6) AS p90 FROM valid GROUP BY ALL),

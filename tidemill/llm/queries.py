@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.compare import settled
-from tidemill.llm import glyphs, leakage, mixing, neighbours, quantiles
+from tidemill.llm import clusters, glyphs, leakage, mixing, neighbours, quantiles
 from tidemill.llm.oracle import ORACLE
+from tidemill.functions.typed import number
+from tidemill.operators import readings
 from tidemill.sources.tables import table
 
 WINDOW = 64
@@ -29,6 +31,27 @@ def p1_similar(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d, -1.0)
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    periods = readings.period_of(table(spark, d, "series"), table(spark, d, "metadata"), number)
+    return clusters.alike_clusters(clusters.daily_courses(table(spark, d, "points"), periods))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).where("size >= 2").select("series_id", "cluster_id")
+
+
+def p2_typical(spark: SparkSession, d: str) -> DataFrame:
+    rows = clusters.typical_members(_clusters(spark, d))
+    return rows.select("cluster_id", "size", F.round("spread", 6).alias("spread"), F.array_join("typical", ",").alias("typical"))
+
+
+def p2_courses(spark: SparkSession, d: str) -> DataFrame:
+    """The daily courses, one row per series and hour."""
+    periods = readings.period_of(table(spark, d, "series"), table(spark, d, "metadata"), number)
+    rows = clusters.daily_courses(table(spark, d, "points"), periods)
+    return rows.select("series_id", F.posexplode("course").alias("hour", "median")).withColumn("median", settled("median"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.high_days(table(spark, d, "points"))
 
@@ -82,5 +105,5 @@ def p10_form(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p5_found, p5_days, p5_series, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
+    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_courses, p5_found, p5_days, p5_series, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
 }
