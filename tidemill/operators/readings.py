@@ -121,3 +121,34 @@ def period_of(series: DataFrame, metadata: DataFrame, number: Callable[[Column],
         "series_id", F.coalesce("ref_period", "stated").alias("period")
     )
     return both.where(F.col("period") > 0)
+
+
+def laid_out(readings: DataFrame) -> DataFrame:
+    """The readings (``series_id, t, v``, one per series and time) with ``day_no`` and ``chunk``, rows of a day of a
+    series in one partition. What ``valid_readings`` gives is so already."""
+    if "chunk" in readings.columns:
+        return readings
+    rows = readings.withColumn("day_no", day_of()).repartition("series_id", "day_no")
+    return rows.withColumn("chunk", F.xxhash64("series_id", "day_no"))
+
+
+def running_total(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the running sum of a whole-number column over each series in time: a sum over the days before, plus one
+    within the day."""
+    sums = rows.groupBy("series_id", "day_no").agg(F.sum(value).alias("s"))
+    days = Window.partitionBy("series_id").orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("series_id", "day_no", F.coalesce(F.sum("s").over(days), F.lit(0)).alias("before"))
+    inner = F.sum(value).over(in_day().rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        rows.withColumn("inner", inner)
+        .join(before, ["series_id", "day_no"])
+        .withColumn(name, F.col("before") + F.col("inner"))
+        .drop("before", "inner")
+    )
+
+
+def series_metadata(readings: DataFrame) -> DataFrame:
+    """``series_id, start_ms, end_ms, nb_points`` of derived series."""
+    return readings.groupBy("series_id").agg(
+        F.min("t").alias("start_ms"), F.max("t").alias("end_ms"), F.count(F.lit(1)).alias("nb_points")
+    )
