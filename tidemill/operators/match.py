@@ -25,6 +25,8 @@ NORMALISATIONS = {
 DISTANCES = ("MANHATTAN", "DTW", "FAST_DTW")
 PATTERN_LIMIT = 5000
 FAST_RADIUS = 2
+#: Cells of cost that are held at a time.
+CELLS = 4_000_000
 
 
 def scaled(x: np.ndarray, centre: bool, spread: bool) -> np.ndarray:
@@ -34,62 +36,55 @@ def scaled(x: np.ndarray, centre: bool, spread: bool) -> np.ndarray:
     return y / np.where(dev == 0, 1.0, dev) if spread else y
 
 
-def dtw(a: np.ndarray, b: np.ndarray, window: list[tuple[int, int]] | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """Dynamic time warping with absolute differences: the cost and the path. ``window`` gives, per element of ``a``,
-    the range of ``b`` that may be aligned with it; ties prefer a step in ``a``, then in ``b``, then in both."""
-    n, m = len(a), len(b)
-    rows = window or [(0, m)] * n
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0.0
-    for i in range(n):
-        low, high = rows[i]
-        gap = np.abs(a[i] - b[low:high])
-        up = np.minimum(cost[i, low + 1 : high + 1], cost[i, low:high])
-        # cost along the row: least over earlier starts of entry cost plus the gaps in between
-        run = np.cumsum(gap)
-        entry = up - np.concatenate([[0.0], run[:-1]])
-        entry[0] = min(entry[0], cost[i + 1, low])
-        cost[i + 1, low + 1 : high + 1] = run + np.minimum.accumulate(entry)
-    i, j, path = n, m, []
-    while i > 0 and j > 0:
-        path.append((i - 1, j - 1))
-        before = (cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
-        step = int(np.argmin(before))
-        i, j = (i - (step != 1), j - (step != 0))
-    return float(cost[n, m]), path[::-1]
-
-
-def fast_dtw(a: np.ndarray, b: np.ndarray, radius: int = FAST_RADIUS) -> tuple[float, list[tuple[int, int]]]:
-    """Warping found on halved series and refined within ``radius`` of the path found there; exact for short series."""
-    least = radius + 2
-    if len(a) < least or len(b) < least:
-        return dtw(a, b)
-    half = lambda x: (x[: len(x) // 2 * 2 : 2] + x[1 : len(x) // 2 * 2 : 2]) / 2
-    _, path = fast_dtw(half(a), half(b), radius)
-    low, high = np.full(len(a), len(b)), np.zeros(len(a), dtype=np.int64)
-    for i, j in path:
-        for k in range(max(0, i - radius), i + radius + 1):
-            for row in (2 * k, 2 * k + 1):
-                if row < len(a):
-                    low[row] = min(low[row], max(0, 2 * (j - radius)))
-                    high[row] = max(high[row], min(len(b), 2 * (j + radius + 1)))
-    # an odd length has a last element that no halved one stands for
-    for row in range(len(a)):
-        if high[row] == 0:
-            low[row], high[row] = low[row - 1], high[row - 1]
-    high[-1] = len(b)
-    low = np.minimum.accumulate(low[::-1])[::-1]
-    high = np.maximum.accumulate(high)
-    return dtw(a, b, list(zip(low.tolist(), high.tolist(), strict=True)))
-
-
-def _matched(path: list[tuple[int, int]], n: int) -> tuple[int, int]:
-    """The part of the window that is aligned: without all but the last of the leading elements on the pattern's first,
-    and likewise at the end."""
-    first, last = path[0][1], path[-1][1]
-    lead = next((k for k, x in enumerate(path) if x[1] != first), len(path))
-    trail = next((k for k, x in enumerate(reversed(path)) if x[1] != last), len(path))
-    return lead - 1, n - trail
+def dtw(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Dynamic time warping, with absolute differences, of each row of ``x`` against ``y``: the costs, and the cells of
+    the paths as a mask (rows, length of x, length of y). Only ``allowed`` cells are used, if given. All rows go forward
+    one diagonal at a time; ties prefer a step in x, then in y, then in both."""
+    rows, n = x.shape
+    m = len(y)
+    cost = np.full((rows, n + 1, m + 1), np.inf)
+    cost[:, 0, 0] = 0.0
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        before = np.minimum(np.minimum(cost[:, i, j + 1], cost[:, i + 1, j]), cost[:, i, j])
+        gap = np.abs(x[:, i] - y[j])
+        if allowed is not None:
+            gap = np.where(allowed[:, i, j], gap, np.inf)
+        cost[:, i + 1, j + 1] = gap + before
+    path = np.zeros((rows, n, m), dtype=bool)
+    at, i, j = np.arange(rows), np.full(rows, n), np.full(rows, m)
+    while len(at):
+        path[at, i - 1, j - 1] = True
+        step = np.argmin(np.stack([cost[at, i - 1, j], cost[at, i, j - 1], cost[at, i - 1, j - 1]]), axis=0)
+        i, j = i - (step != 1), j - (step != 0)
+        on = (i > 0) & (j > 0)
+        at, i, j = at[on], i[on], j[on]
+    return cost[:, n, m], path
+
+
+def fast_dtw(x: np.ndarray, y: np.ndarray, radius: int = FAST_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Warping found on halved series and refined within ``radius`` cells of the path found there; exact for short
+    series. Costs and path cells as for ``dtw``."""
+    (rows, n), m = x.shape, len(y)
+    if min(n, m) < radius + 2:
+        return dtw(x, y)
+    half = lambda z: (z[..., : z.shape[-1] // 2 * 2 : 2] + z[..., 1 : z.shape[-1] // 2 * 2 : 2]) / 2
+    _, coarse = fast_dtw(half(x), half(y), radius)
+    near = np.pad(coarse, ((0, 0), (radius, 2 * radius), (radius, 2 * radius)))
+    tall, wide = coarse.shape[1] + radius, coarse.shape[2] + radius
+    around = np.zeros((rows, tall, wide), dtype=bool)
+    for a in range(2 * radius + 1):
+        for b in range(2 * radius + 1):
+            around |= near[:, a : a + tall, b : b + wide]
+    allowed = np.repeat(np.repeat(around, 2, axis=1), 2, axis=2)[:, :n, :m]
+    return dtw(x, y, allowed)
+
+
+def matched(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each window that is aligned: without all but the last of the leading readings on the pattern's first
+    value, and likewise at the end."""
+    return path[:, :, 0].sum(axis=1) - 1, path.shape[1] - path[:, :, -1].sum(axis=1)
 
 
 def find_pattern(
@@ -129,10 +124,13 @@ def find_pattern(
             if distance == "MANHATTAN":
                 score, begin, end = np.abs(z - target).sum(axis=1), np.zeros(n, np.int64), np.full(n, size - 1)
             else:
-                found = [(dtw if distance == "DTW" else fast_dtw)(row, target) for row in z]
-                score = np.array([s for s, _ in found])
-                ends = np.array([_matched(path, size) for _, path in found], dtype=np.int64).reshape(n, 2)
-                begin, end = ends[:, 0], ends[:, 1]
+                warp = dtw if distance == "DTW" else fast_dtw
+                step = max(1, CELLS // (size * m))
+                score, begin, end = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for low in range(0, n, step):
+                    part = slice(low, low + step)
+                    score[part], path = warp(z[part], target)
+                    begin[part], end[part] = matched(path)
             at = np.arange(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("series_id"), batch.column("rank"), pa.array(t[at, begin]), pa.array(t[at, end]), pa.array(score.astype(float))],

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemill.functions.joins import sized_join
 from tidemill.operators.readings import CHUNK, consecutive, in_day, laid_out, ordinal, running_total
 
+#: Readings up to which a window's mean is taken over its frame; longer ones use sums by day.
+FRAME = 64
 ALIGNMENTS = ("left", "center", "right")
 
 
@@ -75,6 +77,9 @@ def rolling_mean(readings: DataFrame, size: int, alignment: str = "center") -> D
     if size == 1:
         return rows.select("series_id", "t", "v")
     place = ordinal(rows)
+    if size > FRAME:
+        lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("series_id")
+        return _joined_means(sized_join(place, lengths, "series_id").withColumn("size", F.lit(size).cast("long")), alignment)
     offset = {"left": 0, "center": size // 2, "right": size - 1}[alignment]
 
     def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,19 +104,48 @@ def rolling_mean(readings: DataFrame, size: int, alignment: str = "center") -> D
     return sized_join(means, lengths, "series_id").select("series_id", F.col("at").alias("t"), F.col("mean").alias("v"))
 
 
-def rolling_mean_period(readings: DataFrame, periods: DataFrame, window_period: int, alignment: str = "left", limit: int = 200) -> DataFrame:
-    """Rolling means over a duration: each series' window holds ``ceil(window_period / period)`` readings. At most
-    ``limit`` different window sizes. Series without a period give no rows."""
-    sizes = periods.where("period > 0").select("series_id", F.ceil(F.lit(window_period) / F.col("period")).cast("int").alias("size"))
-    rows = sized_join(laid_out(readings), sizes, "series_id")
-    distinct = [r["size"] for r in sizes.select("size").distinct().limit(limit + 1).collect()]
-    if len(distinct) > limit:
-        raise ValueError(f"more than {limit} window sizes")
-    parts = [rolling_mean(rows.where(F.col("size") == k).drop("size"), k, alignment) for k in sorted(distinct)]
-    out = parts[0] if parts else rows.select("series_id", "t", "v")
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _joined_means(place: DataFrame, alignment: str) -> DataFrame:
+    """Means of windows of ``size`` (a column, the same for all of a series) readings, from rows with ``idx``.
+
+    The first reading of a window meets its last by position. What lies between is the rest of the first's day, the whole
+    days between and the beginning of the last's day, or the difference within one day; so sums stay as small as a
+    window's, however long the series.
+    """
+    down = Window.partitionBy(*CHUNK).orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = place.groupBy("series_id", "day_no").agg(F.sum("v").alias("s"))
+    days = Window.partitionBy("series_id").orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("series_id", "day_no", "s", F.coalesce(F.sum("s").over(days), F.lit(0.0)).alias("before"))
+    rows = place.select(
+        "series_id", "idx", "t", "v", "size", "day_no",
+        F.sum("v").over(in_day().rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("v").over(down).alias("rest"),
+    ).join(before, ["series_id", "day_no"])
+    first = rows.select("series_id", "idx", "t", "v", "size", "day_no", "upto", "rest", (F.col("before") + F.col("s")).alias("after"))
+    last = rows.select(
+        "series_id", (F.col("idx") - F.col("size") + 1).alias("idx"), F.col("t").alias("last_t"), F.col("upto").alias("last_upto"),
+        F.col("day_no").alias("last_day"), "before",
+    )
+    both = first.join(last, ["series_id", "idx"])
+    total = F.when(F.col("day_no") == F.col("last_day"), F.col("last_upto") - F.col("upto") + F.col("v")).otherwise(
+        F.col("rest") + (F.col("before") - F.col("after")) + F.col("last_upto")
+    )
+    means = both.select("series_id", "idx", "t", "last_t", "size", (total / F.col("size")).alias("mean"))
+    if alignment != "center":
+        return means.select("series_id", F.col("t" if alignment == "left" else "last_t").alias("t"), F.col("mean").alias("v"))
+    middle = place.select("series_id", (F.col("idx") - F.expr("size div 2")).alias("idx"), F.col("t").alias("mid_t"))
+    return means.join(middle, ["series_id", "idx"]).select("series_id", F.col("mid_t").alias("t"), F.col("mean").alias("v"))
+
+
+def rolling_mean_period(readings: DataFrame, periods: DataFrame, window_period: int, alignment: str = "left") -> DataFrame:
+    """Rolling means over a duration: each series' window holds ``ceil(window_period / period)`` readings. Series without a
+    period, or with no more readings than its window holds, give no rows."""
+    if alignment not in ALIGNMENTS:
+        raise ValueError(f"alignment must be one of {', '.join(ALIGNMENTS)}")
+    rows = laid_out(readings)
+    lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    size = F.ceil(F.lit(window_period) / F.col("period")).cast("long")
+    sizes = periods.where("period > 0").select("series_id", size.alias("size")).join(lengths, "series_id")
+    sizes = sizes.where((F.col("n") > F.col("size")) | (F.col("size") == 1)).select("series_id", "size")
+    return _joined_means(sized_join(ordinal(rows), sizes, "series_id"), alignment)
 
 
 def scale(readings: DataFrame, with_mean: bool = True, with_std: bool = True, floor: Column | None = None) -> DataFrame:

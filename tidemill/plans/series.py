@@ -50,6 +50,15 @@ def event_readings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return once, series
 
 
+_PER = """stated AS (
+      SELECT tsuid AS series_id, arg_max(value, (updated_at, value)) AS text FROM metadata
+      WHERE lower(trim(name, ' ' || chr(9))) = 'qual_ref_period' GROUP BY ALL),
+    spelt AS (
+      SELECT series_id, CASE WHEN regexp_full_match(trim(text, ' ' || chr(9)), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
+                             THEN try_cast(trim(text, ' ' || chr(9)) AS DOUBLE) END AS p FROM stated),
+    per AS (
+      SELECT coalesce(s.series_id, r.series_id) AS series_id, coalesce(s.ref_period, CAST(floor(r.p) AS BIGINT)) AS period
+      FROM series s FULL JOIN spelt r ON s.series_id = r.series_id)"""
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -177,10 +186,15 @@ for _alignment, _offset in (("left", 0), ("center", 2), ("right", 4)):
     ORACLE[_roll.__name__] = _rolling_sql(_offset)
 
 
-@query()
+@query(f"""WITH {VALID}, {_PER}, i AS (
+      SELECT series_id, t, v, row_number() OVER w AS idx, count(*) OVER (PARTITION BY series_id) AS n, sum(v) OVER (w ROWS UNBOUNDED PRECEDING) AS c,
+        CAST(ceil(21600000 / period) AS BIGINT) AS size FROM valid JOIN per USING (series_id) WHERE period > 0 WINDOW w AS (PARTITION BY series_id ORDER BY t))
+    SELECT a.series_id, a.t, {s_("(b.c - a.c + a.v) / a.size", 4)} AS v FROM i a JOIN i b ON a.series_id = b.series_id AND b.idx = a.idx + a.size - 1
+    WHERE a.n > a.size OR a.size = 1""")
 def rollmean_period(spark, d):
     """Means over six hours."""
-    return _shown(transform.rolling_mean_period(readings(spark, d), materialise(periods(spark, d), "periods"), 6 * HOUR))
+    rows = transform.rolling_mean_period(readings(spark, d), materialise(periods(spark, d), "periods"), 6 * HOUR)
+    return _shown(rows, digits=4)
 
 
 @query(f"""WITH {VALID}, p AS (SELECT series_id, t, v, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM valid WINDOW w AS (PARTITION BY series_id ORDER BY t))
