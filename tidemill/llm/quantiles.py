@@ -33,8 +33,7 @@ DECIMALS = 6
 class Sketch:
     """Percentiles of the values seen, from ``levels`` of sorted items; the greatest values are protected.
 
-    ``n``: values; ``age``: compactions of each level; ``low_error`` and ``high_error``: by how much the rank of a value
-    may be over- and understated.
+    ``n``: values; ``age``: compactions of each level; ``error``: by how much the rank of a value may be off either way.
     """
 
     __slots__ = ("age", "error", "levels", "n")
@@ -43,26 +42,26 @@ class Sketch:
         self.levels, self.age, self.error, self.n = levels, age, error, n
 
     @classmethod
-    def of(cls, values: np.ndarray) -> Sketch:
-        return cls([np.sort(values)], [0], 0, len(values)).compacted()
+    def of(cls, values: np.ndarray, capacity: int = CAPACITY) -> Sketch:
+        return cls([np.sort(values)], [0], 0, len(values)).compacted(capacity)
 
     @classmethod
-    def merged(cls, sketches: list[Sketch]) -> Sketch:
+    def merged(cls, sketches: list[Sketch], capacity: int = CAPACITY) -> Sketch:
         """Levels join those of the same weight; errors add up. The order of merging doesn't matter for the bounds."""
         height = max(len(s.levels) for s in sketches)
         levels = [np.sort(np.concatenate([s.levels[h] for s in sketches if h < len(s.levels)])) for h in range(height)]
         age = [max(s.age[h] for s in sketches if h < len(s.age)) for h in range(height)]
-        return cls(levels, age, sum(s.error for s in sketches), sum(s.n for s in sketches)).compacted()
+        return cls(levels, age, sum(s.error for s in sketches), sum(s.n for s in sketches)).compacted(capacity)
 
-    def compacted(self) -> Sketch:
+    def compacted(self, capacity: int) -> Sketch:
         h = 0
         while h < len(self.levels):
             items = self.levels[h]
-            if len(items) > CAPACITY:
+            if len(items) > capacity:
                 # the more ones end the level's age in binary, the more sections are compacted: old regions rarely
                 ones = ((self.age[h] + 1) & -(self.age[h] + 1)).bit_length()
-                room = CAPACITY // 2 * min(ones, SECTIONS) // SECTIONS
-                free = len(items) - CAPACITY + max(2, room)
+                room = capacity // 2 * min(ones, SECTIONS) // SECTIONS
+                free = len(items) - capacity + max(2, room)
                 free -= free % 2
                 odd = (self.age[h] >> 1 ^ self.age[h]) & 1
                 up = items[:free][odd::2]
@@ -148,13 +147,13 @@ def unpack(table: pa.Table | pa.RecordBatch) -> list[Sketch]:
     ]
 
 
-def _day_sketches(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+def _day_sketches(table: pa.Table, first: np.ndarray, capacity: int) -> pa.RecordBatch:
     begin = np.flatnonzero(first)
     v = table.column("v").to_numpy()
     ends = np.append(begin[1:], len(v))
     keys = [table.column(c).combine_chunks().take(pa.array(begin)) for c in ("series_id", "day_no")]
     length = ends - begin
-    if length.max(initial=0) <= CAPACITY:  # one level each: sort all groups at once
+    if length.max(initial=0) <= capacity:  # one level each: sort all groups at once
         flat = v[np.lexsort((v, np.repeat(np.arange(len(begin)), length)))]
         one = pa.array(np.arange(len(begin) + 1, dtype=np.int32))
         inner = pa.ListArray.from_arrays(pa.array(np.append(begin, len(v)).astype(np.int32)), pa.array(flat))
@@ -164,37 +163,37 @@ def _day_sketches(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
             pa.ListArray.from_arrays(one, pa.array(zero.astype(np.int32))),
         ]
     else:
-        packed = pack([Sketch.of(v[a:b]) for a, b in zip(begin, ends, strict=True)])
+        packed = pack([Sketch.of(v[a:b], capacity) for a, b in zip(begin, ends, strict=True)])
     return pa.RecordBatch.from_arrays([keys[0].cast(pa.string()), keys[1], *packed], ["series_id", "day_no", "n", "error", "levels", "age"])
 
 
-def day_sketches(points: DataFrame) -> DataFrame:
+def day_sketches(points: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``series_id, day_no, n, error, levels, age``: a sketch of the valid readings of each series and day."""
     rows = valid_readings(points).sortWithinPartitions(*CHUNK).select("series_id", "day_no", "v")
     schema = StructType([StructField("series_id", StringType()), StructField("day_no", LongType()), *SKETCH])
-    return rows.mapInArrow(whole_groups(["series_id", "day_no"], _day_sketches), schema)
+    return rows.mapInArrow(whole_groups(["series_id", "day_no"], lambda table, first: _day_sketches(table, first, capacity)), schema)
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+def merge_sketches(sketches: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
     """One sketch per key from any number of them. Sketches are merged within partitions first, then per key, so a hot
     key sends one bounded sketch per partition."""
     schema = StructType([*(sketches.schema[k] for k in keys), *SKETCH])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _merge(pa.Table.from_batches([batch]), keys)
+            yield _merge(pa.Table.from_batches([batch]), keys, capacity)
 
     once = sketches.select(*keys, "n", "error", "levels", "age").mapInArrow(partial, schema)
     together = once.repartition(*keys).sortWithinPartitions(*keys)
-    return together.mapInArrow(whole_groups(keys, lambda table, first: _merge(table, keys), rows=2_000), schema)
+    return together.mapInArrow(whole_groups(keys, lambda table, first: _merge(table, keys, capacity), rows=2_000), schema)
 
 
-def _merge(table: pa.Table, keys: list[str]) -> pa.RecordBatch:
+def _merge(table: pa.Table, keys: list[str], capacity: int) -> pa.RecordBatch:
     groups: dict[tuple, list[int]] = {}
     for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in keys), strict=True)):
         groups.setdefault(key, []).append(k)
     all_ = unpack(table)
-    merged = [all_[at[0]] if len(at) == 1 else Sketch.merged([all_[k] for k in at]) for at in groups.values()]
+    merged = [all_[at[0]] if len(at) == 1 else Sketch.merged([all_[k] for k in at], capacity) for at in groups.values()]
     firsts = pa.array([at[0] for at in groups.values()])
     return pa.RecordBatch.from_arrays(
         [*(table.column(c).combine_chunks().take(firsts) for c in keys), *pack(merged)], [*keys, "n", "error", "levels", "age"]
@@ -277,16 +276,16 @@ def exact_percentile(rows: DataFrame, bounds: DataFrame, keys: list[str], p: flo
     return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias(name))
 
 
-def high_days(points: DataFrame, least: int = 20) -> DataFrame:
+def high_days(points: DataFrame, least: int = 20, capacity: int = CAPACITY) -> DataFrame:
     """``series_id, day_no`` of days with at least ``least`` valid readings whose median is greater than the 90th
     percentile of all valid readings of the series, both rounded to 6 decimals.
 
     The sketches' bounds decide most days. Only where they leave it open are the percentiles computed exactly, over
     the values between the bounds.
     """
-    days = materialise(day_sketches(points), "days")
+    days = materialise(day_sketches(points, capacity), "days")
     medians = percentiles(days, ["series_id", "day_no"], (0.5,)).where(F.col("n") >= least)
-    whole = materialise(percentiles(merge_sketches(days, ["series_id"]), ["series_id"], (0.9,)), "whole")
+    whole = materialise(percentiles(merge_sketches(days, ["series_id"], capacity), ["series_id"], (0.9,)), "whole")
     tops = whole.select("series_id", F.col("n").alias("all_n"), "p90", "p90_low", "p90_high", (F.col("error") == 0).alias("sure"))
     both = materialise(sized_join(medians, tops, "series_id"), "both")
     # bounds are items, so a decision by them holds for interpolated values too; rounding moves each by half a step
