@@ -24,7 +24,10 @@ def day_of(t: str = "t") -> Column:
 def by_day(points: DataFrame) -> DataFrame:
     """``series_id, t, v, recv_ms, day_no, chunk``, rows of a series and day in one partition. Rows without series
     or time are left out."""
-    rows = points.select("series_id", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"), "recv_ms")
+    # a cast that changes nothing would leave an alias, and with it two plans of the same rows that share no exchange
+    kinds = dict(points.select("t", "v").dtypes)
+    cast = [F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("t", "bigint"), ("v", "double"))]
+    rows = points.select("series_id", *cast, "recv_ms")
     rows = rows.where(F.col("series_id").isNotNull() & F.col("t").isNotNull())
     rows = rows.withColumn("day_no", day_of()).repartition("series_id", "day_no")
     return rows.withColumn("chunk", F.xxhash64("series_id", "day_no"))
