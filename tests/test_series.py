@@ -320,12 +320,19 @@ def test_matrices(points):
     assert d == {("a", "b"): 4.0, ("a", "k"): math.sqrt(1 + 4 + 9), ("b", "k"): math.sqrt(1 + 36)}
     assert math.isnan({(r.id_a, r.id_b): r.correlation for r in relate.correlation_matrix(longer).collect()}["a", "k"])
     assert relate.euclidean_distances(points({})).count() == 0
+    rng = np.random.default_rng(2)
+    x = {s: rng.normal(size=40) for s in "abc"}
+    walk = points({s: [(3_600_000 * k, y) for k, y in enumerate(v)] for s, v in x.items()})
+    parts = {(r.id_a, r.id_b): r.correlation for r in relate.correlation_matrix(walk, part_rows=7).collect()}
+    far = {(r.id_a, r.id_b): r.distance for r in relate.euclidean_distances(walk, part_rows=7).collect()}
+    for a, b in ("ab", "ac", "bc"):
+        assert math.isclose(parts[a, b], np.corrcoef(x[a], x[b])[0, 1]) and math.isclose(far[a, b], np.linalg.norm(x[a] - x[b]))
 
 
 def test_blocks_cover_all_pairs(points):
     series = {f"s{k:02d}": [(0, k), (1, 2 * k % 7)] for k in range(23)}
     arrays = relate.series_arrays(points(series))
-    got = relate.pairwise(arrays, relate._euclidean, ["distance"], block=4).collect()
+    got = relate.pairwise(arrays, relate._squares, ["distance"], block=4).collect()
     assert len(got) == 23 * 22 // 2 == len({(r.id_a, r.id_b) for r in got}) and all(r.id_a < r.id_b for r in got)
 
 

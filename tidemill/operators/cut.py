@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.predicate import criterion
@@ -61,7 +61,7 @@ def named(pattern: str, **parts: Column | None) -> Column:
 def runs_meeting(readings: DataFrame, text: str) -> DataFrame:
     """``series_id, first_t, last_t``: maximal runs of consecutive readings that meet the criterion over ``M``.
 
-    Only the readings that open or close a run are ordered by series.
+    Openings and closes are paired like readings, within days and across their edges.
     """
     pairs = consecutive(laid_out(readings), opening=True)
     now, then = criterion(text, F.col("v"), "M"), criterion(text, F.col("next_v"), "M")
@@ -78,9 +78,11 @@ def runs_meeting(readings: DataFrame, text: str) -> DataFrame:
             )
         ).alias("e"),
     ).select("series_id", "e.at", "e.closes")
-    order = Window.partitionBy("series_id").orderBy("at", "closes")
-    paired = ends.select("series_id", F.col("at").alias("first_t"), F.lead("at").over(order).alias("last_t"), "closes")
-    return paired.where("closes = 0").drop("closes")
+    # each opening is followed by its close; a place of its own for each keeps those of one reading apart
+    placed = ends.select("series_id", (F.col("at") * 2 + F.col("closes")).alias("t"), F.col("closes").cast("double").alias("v"))
+    return consecutive(laid_out(placed)).where("v = 0").select(
+        "series_id", F.expr("t div 2").alias("first_t"), F.expr("(next_t - 1) div 2").alias("last_t")
+    )
 
 
 def cut_by_metric(

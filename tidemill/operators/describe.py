@@ -11,6 +11,8 @@ from tidemill.functions.joins import sized_join
 from tidemill.operators.readings import consecutive, laid_out
 
 OPERATORS = {"MIN": lambda: F.min("v"), "MAX": lambda: F.max("v"), "AVG": lambda: F.avg("v"), "STD": lambda: F.stddev_pop("v")}
+#: Parts in which the gaps of a series are ranked first.
+PARTS = 64
 TABLE_NAME = re.compile(r"[a-zA-Z0-9-_]+")
 
 
@@ -68,27 +70,30 @@ def quality_time(readings: DataFrame, bars: int = 20) -> DataFrame:
     """``qual_ref_period`` (the most frequent gap, ties: the smallest), ``qual_min_period, qual_max_period,
     qual_average_period`` and ``qual_hist_period, qual_hist_period_percent`` (JSON of the ``bars`` most frequent gaps).
     A series of one reading gives no row."""
+    counts = gap_histogram(readings).withColumn("part", F.pmod(F.xxhash64("gap"), F.lit(PARTS)))
+    # a series may have as many gaps as readings: the most frequent are taken in parts first
+    first = Window.partitionBy("series_id", "part").orderBy(F.col("n").desc(), F.col("gap"))
+    leading = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= bars)
     order = Window.partitionBy("series_id").orderBy(F.col("n").desc(), F.col("gap"))
-    ranked = gap_histogram(readings).withColumn("place", F.row_number().over(order))
-    total = Window.partitionBy("series_id")
-    ranked = ranked.withColumn("all", F.sum("n").over(total))
-    top = F.array_sort(F.collect_list(F.when(F.col("place") <= bars, F.struct("place", "gap", "n", "all"))))
+    leading = leading.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bars)
+    tops = leading.groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "gap", "n"))).alias("top"), F.max(F.when(F.col("place") == 1, F.col("gap"))).alias("qual_ref_period")
+    )
 
     def json(value):
         entry = lambda x: F.struct(x["gap"].cast("string").alias("k"), value(x).alias("v"))
         return F.to_json(F.map_from_entries(F.transform("top", entry)))
 
-    stats = ranked.groupBy("series_id").agg(
-        F.max(F.when(F.col("place") == 1, F.col("gap"))).alias("qual_ref_period"),
+    stats = counts.groupBy("series_id").agg(
         F.min("gap").alias("qual_min_period"),
         F.max("gap").alias("qual_max_period"),
         (F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("qual_average_period"),
-        top.alias("top"),
+        F.sum("n").alias("all"),
     )
-    return stats.select(
+    return tops.join(stats, "series_id").select(
         "series_id", "qual_ref_period", "qual_min_period", "qual_max_period", "qual_average_period",
         json(lambda x: x["n"]).alias("qual_hist_period"),
-        json(lambda x: F.round(x["n"] * 100.0 / x["all"], 3)).alias("qual_hist_period_percent"),
+        json(lambda x: F.round(x["n"] * 100.0 / F.col("all"), 3)).alias("qual_hist_period_percent"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Series are aligned by position and cut to the shorter. A matrix over S series has S * S / 2 cells, so it is meant for
 the series of a dataset. Series become arrays no longer than the second longest of them (what lies beyond meets nothing),
-which are compared block against block.
+which are compared block against block, and part by part where the relation is a sum over positions.
 """
 
 from __future__ import annotations
@@ -14,15 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.joins import sized_join
 from tidemill.operators.readings import laid_out, ordinal
+from tidemill.sources.scratch import materialise
 
 #: Series in a block.
 BLOCK = 256
+#: Values of a series in a part.
+PART = 65_536
 
 
-def series_arrays(readings: DataFrame, equal: bool = False) -> DataFrame:
-    """``series_id, values``: each series' values in order of time, cut to the second longest series, or with ``equal`` to
-    the shortest."""
+def series_arrays(readings: DataFrame, equal: bool = False, part_rows: int | None = None) -> DataFrame:
+    """``series_id, part, values``: each series' values in order of time, cut to the second longest series, or with
+    ``equal`` to the shortest; in parts of ``part_rows``, or whole as part 0."""
     laid = laid_out(readings)
     counts = laid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     if equal:
@@ -31,22 +35,23 @@ def series_arrays(readings: DataFrame, equal: bool = False) -> DataFrame:
         top = [r["n"] for r in counts.orderBy(F.col("n").desc()).limit(2).collect()]
         cap = top[-1] if top else 0
     rows = ordinal(laid).where(F.col("idx") < cap)
-    return rows.groupBy("series_id").agg(
+    part = F.floor(F.col("idx") / part_rows).cast("long") if part_rows else F.lit(0).cast("long")
+    return rows.groupBy("series_id", part.alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("values")
     )
 
 
 def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], block: int = BLOCK) -> DataFrame:
-    """``id_a, id_b`` (``id_a < id_b``) and the kernel's columns for all pairs of series. The kernel gets two lists of
-    arrays and gives matrices. Each pair of blocks is one task's work."""
-    total = arrays.count()
+    """``id_a, id_b`` (``id_a < id_b``) and the kernel's columns for all pairs of series and parts. The kernel gets two
+    lists of arrays and gives matrices. Each part of a pair of blocks is one task's work."""
+    total = arrays.select("series_id").distinct().count()
     blocks = max(1, -(-total // block))
     placed = arrays.withColumn("h", F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"))
     # a series goes to every pair of blocks with its own: first or second of the pair
     ids = F.sequence(F.lit(0), F.lit(blocks - 1))
     sent = placed.select(
-        "series_id", "values", "h", F.explode(F.transform(ids, lambda o: F.struct(F.least(o, "h").alias("p"), F.greatest(o, "h").alias("q")))).alias("pair")
-    ).select("series_id", "values", "h", "pair.p", "pair.q")
+        "series_id", "part", "values", "h", F.explode(F.transform(ids, lambda o: F.struct(F.least(o, "h").alias("p"), F.greatest(o, "h").alias("q")))).alias("pair")
+    ).select("series_id", "part", "values", "h", "pair.p", "pair.q")
     schema = "id_a string, id_b string, " + ", ".join(f"{n} double" for n in names)
 
     def run(table: pa.Table) -> pa.Table:
@@ -67,22 +72,24 @@ def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndar
             [pa.array(list(a[keep]), pa.string()), pa.array(list(b[keep]), pa.string()), *(pa.array(c.ravel()[keep]) for c in cells)], ["id_a", "id_b", *names]
         )
 
-    return sent.groupBy("p", "q").applyInArrow(run, schema)
+    return sent.groupBy("p", "q", "part").applyInArrow(run, schema)
 
 
-def _euclidean(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+def _squares(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
     out = np.zeros((len(left), len(right)))
     for i, x in enumerate(left):
         for j, y in enumerate(right):
             n = min(len(x), len(y))
             d = x[:n] - y[:n]
-            out[i, j] = np.sqrt(d @ d)
+            out[i, j] = d @ d
     return [out]
 
 
-def euclidean_distances(readings: DataFrame) -> DataFrame:
-    """``id_a, id_b, distance`` of all pairs, aligned by position and cut to the shorter series."""
-    return pairwise(series_arrays(readings), _euclidean, ["distance"])
+def euclidean_distances(readings: DataFrame, part_rows: int = PART) -> DataFrame:
+    """``id_a, id_b, distance`` of all pairs, aligned by position and cut to the shorter series. Long series are compared
+    part by part; the sums of squares are added up."""
+    sums = pairwise(series_arrays(readings, part_rows=part_rows), _squares, ["s"])
+    return sums.groupBy("id_a", "id_b").agg(F.sqrt(F.sum("s")).alias("distance"))
 
 
 def _standard(rows: list[np.ndarray]) -> np.ndarray:
@@ -98,6 +105,10 @@ def _pearson(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray
     return [np.clip(_standard(left) @ _standard(right).T, -1.0, 1.0)]
 
 
+def _products(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.stack(left) @ np.stack(right).T]
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     """Mean ranks of tied values."""
     names, at, counts = np.unique(x, return_inverse=True, return_counts=True)
@@ -105,14 +116,25 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return (upto - (counts - 1) / 2)[at]
 
 
-def correlation_matrix(readings: DataFrame, method: str = "pearson") -> DataFrame:
-    """``id_a, id_b, correlation`` of all pairs, all series cut to the shortest; NaN where one is constant."""
+def correlation_matrix(readings: DataFrame, method: str = "pearson", part_rows: int = PART) -> DataFrame:
+    """``id_a, id_b, correlation`` of all pairs, all series cut to the shortest; NaN where one is constant. For Pearson,
+    standardised values are multiplied part by part and added up; ranks need a series whole."""
     name = method.lower()
     if name not in ("pearson", "spearman"):
         raise ValueError("the method is pearson or spearman")
-    arrays = series_arrays(readings, equal=True)
     if name == "pearson":
-        return pairwise(arrays, _pearson, ["correlation"])
+        parts = materialise(series_arrays(readings, True, part_rows), "parts")
+        values = parts.select("series_id", F.explode("values").alias("v"))
+        moments = values.groupBy("series_id").agg(
+            F.avg("v").alias("m"), (F.stddev_pop("v") * F.sqrt(F.count("v"))).alias("s"), (F.min("v") == F.max("v")).alias("flat")
+        )
+        scale = F.when(F.col("flat"), F.lit(float("nan"))).otherwise(F.col("s"))
+        joined = sized_join(parts, moments.select("series_id", "m", scale.alias("s")), "series_id")
+        z = F.transform("values", lambda x: (x - F.col("m")) / F.col("s"))
+        sums = pairwise(joined.select("series_id", "part", z.alias("values")), _products, ["c"])
+        r = F.greatest(F.least(F.sum("c"), F.lit(1.0)), F.lit(-1.0))
+        return sums.groupBy("id_a", "id_b").agg(F.when(F.isnan(F.sum("c")), F.lit(float("nan"))).otherwise(r).alias("correlation"))
+    arrays = series_arrays(readings, equal=True)
     return pairwise(arrays, lambda a, b: _pearson([_ranks(x) for x in a], [_ranks(x) for x in b]), ["correlation"])
 
 
