@@ -47,12 +47,22 @@ def collisions(words: DataFrame, kept: int, iterations: int | None = None, seed:
     if not length:
         return classes.select(F.col("word").alias("word_a"), F.col("word").alias("word_b"), F.lit(0).cast("long").alias("n"), F.col("n").alias("size_a"), F.col("n").alias("size_b")).limit(0)
     masks = masks_of(length, kept, iterations, seed)
-    keys = [F.concat(F.lit(f"{k}:"), *(F.substring("word", p + 1, 1) for p in mask)) for k, mask in enumerate(masks)]
-    keyed = classes.select("word", "n", F.explode(F.array(*keys)).alias("key"))
-    a = keyed.select(F.col("word").alias("word_a"), F.col("n").alias("size_a"), "key")
+    entries = [
+        F.struct(F.concat(F.lit(f"{k}:"), *(F.substring("word", p + 1, 1) for p in mask)).alias("key"), F.lit(mask[-1]).alias("last"))
+        for k, mask in enumerate(masks)
+    ]
+    keyed = classes.select("word", "n", F.explode(F.array(*entries)).alias("m")).select("word", "n", "m.key", "m.last")
+    a = keyed.select(F.col("word").alias("word_a"), F.col("n").alias("size_a"), "key", "last")
     b = keyed.select(F.col("word").alias("word_b"), F.col("n").alias("size_b"), "key")
     met = a.join(b, "key").where("word_a < word_b")
-    return met.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    if len(masks) < math.comb(length, kept):
+        return met.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    # under all masks a pair agrees in as many as its equal places allow; it is kept where its first equal places meet
+    equal = [(F.substring("word_a", p + 1, 1) == F.substring("word_b", p + 1, 1)).cast("int") for p in range(length)]
+    until = sum((F.when(F.col("last") >= p, e).otherwise(0) for p, e in enumerate(equal)), F.lit(0))
+    ways = F.array(*(F.lit(math.comb(k, kept)).cast("long") for k in range(length + 1)))
+    first = met.where(until == kept)
+    return first.select("word_a", "word_b", F.element_at(ways, sum(equal, F.lit(0)) + 1).alias("n"), "size_a", "size_b")
 
 
 def expected_collisions(sequences: int, alphabet: int, word_size: int, errors: int, kept: int, iterations: int) -> float:
@@ -70,9 +80,8 @@ def word_distance(a: Column, b: Column, table: list[list[float]], window: int) -
     flat = F.array(*(F.lit(x * x) for row in table for x in row))
     n = len(table)
     index = lambda w, k: F.ascii(F.substring(w, k, 1)) - 97
-    steps = F.sequence(F.lit(1), F.length(a))
     total = F.aggregate(
-        steps, F.lit(0.0), lambda s, k: s + F.element_at(flat, (index(a, k) * n + index(b, k) + 1).cast("int"))
+        F.sequence(F.lit(1), F.length(a)), F.lit(0.0), lambda s, k: s + F.element_at(flat, (index(a, k) * n + index(b, k) + 1).cast("int"))
     )
     return F.sqrt(F.lit(float(window)) / F.length(a)) * F.sqrt(total)
 
@@ -159,11 +168,11 @@ def motifs(readings: DataFrame, settings: MotifSettings) -> DataFrame:
     total = worded.count()
     combos = math.comb(s.paa, s.collision_places)
     iterations = min(max(1, int(combos * s.collision_share)), 10_000)
+    table = mindist_table(breaks)
     cells = materialise(collisions(worded, s.collision_places, iterations, s.seed, s.paa), "cells")
     errors = int(s.paa / 10) ** 2 + int(s.alphabet / 10)
     chance = expected_collisions(total, s.alphabet, s.paa, errors, s.collision_places, iterations)
     least = max(chance, int(0.05 * combos), 1)
-    table = mindist_table(breaks)
     seeds = cells.where(F.col("n") > least)
     if s.iterative:  # the greatest counts first, as many as there are rounds
         counts = [r["n"] for r in seeds.select("n").distinct().orderBy(F.col("n").desc()).limit(s.iterations).collect()]

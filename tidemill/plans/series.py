@@ -161,14 +161,6 @@ for _method, _value in (("LINEAR_INTERPOLATION", "v + (nv - v) * ((g - t) / (nt
     ORACLE[_up.__name__] = f"WITH {VALID}, {_upsample_sql(HOUR, _value)}"
 
 
-@query()
-def resample_mixed(spark, d):
-    """To one hour: up for series of an hour or more, down for the others; of the series whose period is known."""
-    known = materialise(periods(spark, d), "periods")
-    rows = readings(spark, d).join(known.select("series_id"), "series_id", "left_semi")
-    return _shown(resample.resample(rows, known, HOUR))
-
-
 def _rolling_sql(offset: int) -> str:
     return f"""WITH {VALID}, w AS (
       SELECT series_id, avg(v) OVER f AS mean, lead(t, {offset}) OVER o AS stamp, lead(t, 4) OVER o AS last, count(*) OVER (PARTITION BY series_id) AS n
@@ -482,3 +474,78 @@ def tree_confusion(spark, d):
 def tree_grid(spark, d):
     rows, _ = learn.tree_grid(_population(spark, d), "l_returnflag", "id", "2;4", "True;False")
     return rows.withColumns({c: F.round(c, 4) for c in ("mean_score", "std_score")})
+
+
+@query(f"""WITH {VALID}, {_PER}, known AS (SELECT * FROM per WHERE period > 0),
+    r AS (SELECT v.*, period FROM valid v JOIN known USING (series_id)),
+    b AS (SELECT series_id, min(t) AS t0, count(*) AS n FROM r GROUP BY ALL),
+    down AS (SELECT series_id, CASE WHEN n = 1 THEN t0 ELSE t0 + (t - t0) // {HOUR} * {HOUR} END AS t, avg(v) AS v
+             FROM r JOIN b USING (series_id) WHERE period < {HOUR}
+             GROUP BY series_id, CASE WHEN n = 1 THEN t0 ELSE t0 + (t - t0) // {HOUR} * {HOUR} END),
+    pairs AS (SELECT series_id, t, v, lead(t) OVER w AS nt, lead(v) OVER w AS nv, min(t) OVER (PARTITION BY series_id) AS t0
+              FROM r WHERE period >= {HOUR} WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+    up AS (SELECT *, unnest(range(t0 + (t - t0 + {HOUR} - 1) // {HOUR} * {HOUR}, coalesce(nt, t + 1), {HOUR})) AS g FROM pairs)
+    SELECT series_id, t, {s_("v")} AS v FROM down
+    UNION ALL SELECT series_id, g, {s_("CASE WHEN g = t THEN v ELSE v + (nv - v) * ((g - t) / (nt - t)) END")} FROM up""")
+def resample_mixed(spark, d):
+    """To one hour: up for series of an hour or more, down for the others; of the series whose period is known."""
+    known = materialise(periods(spark, d), "periods")
+    rows = readings(spark, d).join(known.select("series_id"), "series_id", "left_semi")
+    return _shown(resample.resample(rows, known, HOUR))
+
+
+@query(f"""WITH {VALID}, g AS (SELECT series_id, lead(t) OVER (PARTITION BY series_id ORDER BY t) - t AS gap FROM valid)
+    SELECT series_id, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY ALL""")
+def gap_histogram(spark, d):
+    return describe.gap_histogram(readings(spark, d))
+
+
+@query(f"""WITH {VALID}, {_SEGMENTS} SELECT series_id, t, {s_("mean")} AS v
+    FROM valid JOIN b USING (series_id) JOIN seg USING (series_id)
+    WHERE segment = least(greatest(coalesce(CASE WHEN w > 0 THEN CAST(ceil((t - t0) / w) AS INT) END - 1, 0), 0), 7)""")
+def paa_series(spark, d):
+    return _shown(symbolic.paa_series(readings(spark, d), 8))
+
+
+_SPREAD = f"""{_WINDOWED}, p AS (
+      SELECT m.series_id, m.rank, least(greatest(CAST(ceil((t - start_ms) / ((end_ms - start_ms) / {PAA})) AS INT) - 1, 0), {PAA - 1}) AS part,
+        avg((v - local_mean) / CASE WHEN local_std = 0 THEN 1 ELSE local_std END) AS x
+      FROM m JOIN w USING (series_id, rank) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SPREAD} SELECT series_id, rank, part, {s_("round(x, 9)", 5)} AS x FROM p""")
+def window_averages(spark, d):
+    """Averages of the parts of each window that hold readings."""
+    rows = symbolic.window_averages(_windows(spark, d), PAA)
+    cells = rows.select("series_id", "rank", F.posexplode("paa").alias("part", "x"), "times")
+    # a part without readings repeats the one before; the comparison leaves it out
+    at = F.transform("times", lambda t: F.least(F.greatest(F.ceil((t - F.element_at("times", 1)) / ((F.element_at("times", -1) - F.element_at("times", 1)) / PAA)).cast("int") - 1, F.lit(0)), F.lit(PAA - 1)))
+    return cells.where(F.array_contains(at, F.col("part"))).select("series_id", "rank", "part", settled("x", 5).alias("x"))
+
+
+@query(f"""WITH {VALID}, {_SEGMENTS}, full_ AS (SELECT series_id FROM seg GROUP BY ALL HAVING count(*) = 8), c AS (SELECT count(*) AS n FROM full_),
+    k AS (SELECT unnest(range(0, 1)) AS i),
+    p AS (SELECT sum((1 - i / 8) ** 2 * [1, 8, 28][CAST(i AS INT) + 1] * 0.8 ** i * 0.2 ** (8 - i)) AS p FROM k)
+    SELECT CAST(n AS BIGINT) AS sequences, {s_("CASE WHEN p * n * (n - 1) / 2 >= 1 THEN 27.0 ELSE p * n * (n - 1) / 2 * 28 END")} AS threshold FROM c, p""")
+def collision_threshold(spark, d):
+    """How many of 28 masks two of the series' words may share by chance."""
+    words = symbolic.sax(readings(spark, d), 8, ALPHABET).where(F.length("word") == 8)
+    n = words.count()
+    value = motif.expected_collisions(n, ALPHABET, 8, 0, 2, 28)
+    return spark.createDataFrame([(n, float(value))], "sequences long, threshold double").withColumn("threshold", settled("threshold"))
+
+
+@query()
+def recognition(spark, d):
+    """Groups of series' words around the pairs that collide most."""
+    words = materialise(symbolic.sax(transform.scale(readings(spark, d)), 8, ALPHABET).where(F.length("word") == 8), "words")
+    cells = materialise(motif.collisions(words, 2, word_size=8), "cells")
+    table_ = symbolic.mindist_table([-0.84, -0.25, 0.25, 0.84])
+    groups = motif.recognise(motif.word_classes(words), cells, cells.where("n >= 15"), table_, 24, 2.0)
+    return groups.select(F.array_join("words", ",").alias("group"), motif.pattern_regex(F.col("words"), ALPHABET).alias("regex"))
+
+
+@query(f"""WITH {VALID} SELECT series_id, min(v) AS qual_min_value, max(v) AS qual_max_value, count(*) AS qual_nb_points FROM valid GROUP BY ALL HAVING count(*) > 1""")
+def quality_both(spark, d):
+    rows = describe.quality(readings(spark, d)).where(F.col("qual_ref_period").isNotNull())
+    return rows.select("series_id", "qual_min_value", "qual_max_value", "qual_nb_points")
