@@ -350,3 +350,22 @@ def test_correlation_by_context(points, spark):
     assert '"correlation":"NaN"' in profile["x", "z"] and '"correlation":"-1.0"' in profile["x", "y"]
     with pytest.raises(ValueError):
         relate.correlation_by_context(frame, series.unionByName(series))
+
+
+def test_derived_names_and_spans(points, spark):
+    from tidemill.operators import derive
+
+    series = spark.createDataFrame([("a", "fa", "m", 1000, {"k": "v"}), ("b", None, None, None, None)], "series_id string, fid string, metric string, ref_period long, tags map<string,string>")
+    result = points({"a": [(5, 1), (9, 1)], "b": [(1, 1)], "c": [(2, 2)]})
+    rows = {r.parent_id: r for r in derive.derived_series(result, series, "resample", F.lit(500), period=F.lit(500)).collect()}
+    assert rows["a"].fid == "fa_resampled_to_500ms" and (rows["a"].start_ms, rows["a"].end_ms, rows["a"].nb_points, rows["a"].ref_period) == (5, 9, 2, 500)
+    assert rows["a"].tags == {"k": "v"} and rows["b"].fid == "b_resampled_to_500ms" and rows["c"].fid == "c_resampled_to_500ms"
+    assert derive.derived_series(result, series, "unwrap").where("parent_id = 'a'").first().fid == "fa__unwrap"
+
+
+def test_long_ranges_come_in_blocks(spark):
+    from tidemill.functions.expand import each_value
+
+    frame = spark.createDataFrame([(0, 0), (5, 47), (100, 130)], "a long, b long")
+    got = sorted((r.a, r.x) for r in each_value(frame, F.col("a"), F.col("b"), "x", 3, block=4).collect())
+    assert got == [(a, x) for a, b in ((0, 0), (5, 47), (100, 130)) for x in range(a, b + 1, 3)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.expand import each_value
 from tidemill.functions.joins import sized_join
 from tidemill.operators.readings import consecutive, valid_readings
 
@@ -22,9 +23,8 @@ def regular_grid(points: DataFrame, periods: DataFrame, gap_limit: int = 4) -> D
     pairs = sized_join(consecutive(valid_readings(points), opening=True), periods.select("series_id", "period"), "series_id")
     pairs = pairs.withColumn("k", F.expr("t div period")).withColumn("next_k", F.expr("next_t div period"))
     ahead = F.col("k").isNull() | (F.col("next_k") > F.col("k"))
-    slots = pairs.where(ahead & F.col("next_k").isNotNull()).select(
-        "*", F.explode(F.sequence(F.coalesce(F.col("k") + 1, F.col("next_k")), F.col("next_k"))).alias("slot")
-    )
+    opening = F.coalesce(F.col("k") + 1, F.col("next_k"))
+    slots = each_value(pairs.where(ahead & F.col("next_k").isNotNull()), opening, F.col("next_k"), "slot")
     at = F.col("slot") * F.col("period")
     share = (at - F.col("t")) / (F.col("next_t") - F.col("t"))
     near = F.col("next_t") - F.col("t") <= F.lit(gap_limit) * F.col("period")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.expand import each_value
 from tidemill.functions.joins import sized_join
 from tidemill.operators.readings import consecutive, laid_out
 
@@ -61,7 +62,7 @@ def upsample(readings: DataFrame, period: int, method: str = "LINEAR_INTERPOLATI
     first = F.col("t0") + F.ceil((F.col("t") - F.col("t0")) / p).cast("long") * p
     last = F.when(F.col("next_t").isNull(), F.col("t")).otherwise(F.col("next_t") - 1)
     grid = pairs.withColumn("first", first).withColumn("last", last).where(F.col("first") <= F.col("last"))
-    rows = grid.select("*", F.explode(F.sequence("first", "last", F.lit(p))).alias("at"))
+    rows = each_value(grid, F.col("first"), F.col("last"), "at", p)
     share = (F.col("at") - F.col("t")) / (F.col("next_t") - F.col("t"))
     value = {
         "LINEAR_INTERPOLATION": F.col("v") + (F.col("next_v") - F.col("v")) * share,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.compare import settled
 from tidemill.functions.compare import settled_sql as s_
 from tidemill.functions.typed import number
-from tidemill.operators import cut, describe, learn, match, motif, relate, resample, symbolic, transform
+from tidemill.operators import cut, derive, describe, learn, match, motif, relate, resample, symbolic, transform
 from tidemill.operators.readings import period_of, series_metadata, valid_readings
 from tidemill.plans.pipeline import VALID
 from tidemill.sources.scratch import materialise
@@ -549,3 +549,11 @@ def recognition(spark, d):
 def quality_both(spark, d):
     rows = describe.quality(readings(spark, d)).where(F.col("qual_ref_period").isNotNull())
     return rows.select("series_id", "qual_min_value", "qual_max_value", "qual_nb_points")
+
+
+@query(f"""WITH {VALID}, p AS (SELECT series_id, t, lead(t) OVER (PARTITION BY series_id ORDER BY t) AS nt FROM valid)
+    SELECT coalesce(fid, series_id) || '_slope' AS fid, series_id AS parent_id, metric, min(t) AS start_ms, max(t) AS end_ms,
+      count(*) AS nb_points, ref_period FROM p LEFT JOIN series USING (series_id) WHERE nt IS NOT NULL GROUP BY ALL""")
+def derived_metadata(spark, d):
+    """What is known of the slopes."""
+    return derive.derived_series(transform.slope(readings(spark, d)), table(spark, d, "series"), "slope").drop("tags")
