@@ -298,7 +298,9 @@ def high_days(points: DataFrame, least: int = 20, capacity: int = CAPACITY) -> D
     doubtful = both.where(open_)
     if is_small(doubtful, 0):
         return decided
-    readings = valid_readings(points)
+    # only the series with open days are read again
+    left = doubtful.select("series_id").distinct()
+    readings = valid_readings(sized_join(points.select("series_id", "t", "v", "recv_ms"), left, "series_id"))
     top = exact_percentile(
         readings,
         doubtful.groupBy("series_id").agg(F.max("all_n").alias("n"), F.max("p90_low").alias("low"), F.max("p90_high").alias("high")),
