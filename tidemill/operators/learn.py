@@ -17,6 +17,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.joins import sized_join
+
 #: Deepest tree there is; stands for "unlimited".
 DEEPEST = 30
 BINS = 256
@@ -92,9 +94,9 @@ def _prepared(population: DataFrame, target: str, features: Sequence[str], balan
     if not balanced:
         return rows.withColumn("weight", F.lit(1.0))
     counts = rows.groupBy("label_text").agg(F.count(F.lit(1)).alias("n_c"))
-    total = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    weights = counts.crossJoin(F.broadcast(total)).select("label_text", (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
-    return rows.join(F.broadcast(weights), "label_text")  # one row per class
+    n, k = counts.agg(F.sum("n_c"), F.count(F.lit(1))).first()
+    weights = counts.select("label_text", (F.lit(float(n or 0)) / (F.lit(k) * F.col("n_c"))).alias("weight"))
+    return sized_join(rows, weights, "label_text")
 
 
 def tree_fit(population: DataFrame, target: str, identifier: str | None = None, max_depth: int | None = None, balanced: bool = False):
@@ -141,11 +143,14 @@ def tree_predict(model, population: DataFrame, target: str, identifier: str | No
     return model.transform(rows).select(F.col("label_text").alias("actual"), predicted.alias("predicted"))
 
 
-def confusion(predictions: DataFrame) -> DataFrame:
-    """``actual, predicted, n`` of all pairs of classes that occur on either side, 0 included."""
-    classes = predictions.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
+def confusion(predictions: DataFrame, limit: int = 1000) -> DataFrame:
+    """``actual, predicted, n`` of all pairs of classes that occur on either side, 0 included. At most ``limit`` classes."""
+    names = predictions.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct().orderBy("c").limit(limit + 1).collect()
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} classes")
     cells = predictions.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    every = classes.select(F.col("c").alias("actual")).crossJoin(F.broadcast(classes.select(F.col("c").alias("predicted"))))  # classes by classes
+    classes = predictions.sparkSession.createDataFrame([(r["c"],) for r in names], "actual string")
+    every = classes.select("actual", F.explode(F.array(*(F.lit(r["c"]) for r in names))).alias("predicted")) if names else cells.select("actual", "predicted")
     return every.join(cells, ["actual", "predicted"], "left").fillna(0, subset=["n"])
 
 
