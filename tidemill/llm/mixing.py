@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.typed import BLANKS
@@ -129,12 +129,10 @@ def shares_reached(sample: DataFrame, plan: DataFrame) -> DataFrame:
     taken = sample.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens_taken"), F.sum("copies").alias("rows_taken")
     )
-    total = taken.agg(F.sum("tokens_taken").alias("total"))
+    total = F.sum("tokens_taken").over(Window.partitionBy(F.lit(1)))  # one row per listed source
     return (
         plan.select("source", "target_share", "max_repeats")
         .join(taken, "source", "left")
         .fillna(0, subset=["tokens_taken", "rows_taken"])
-        .join(F.broadcast(total))
-        .select("source", "target_share", "max_repeats", "tokens_taken", "rows_taken",
-                F.coalesce(F.try_divide("tokens_taken", "total"), F.lit(0.0)).alias("share"))
-    )
+        .withColumn("share", F.coalesce(F.try_divide("tokens_taken", total), F.lit(0.0)))
+    )
