@@ -301,6 +301,59 @@ def test_find_pattern(points):
             match.find_pattern(frame, **bad)
 
 
+def test_warped_has_the_costs_and_spans_of_paths():
+    rng = np.random.default_rng(5)
+    for n, m in ((9, 7), (7, 9), (2, 2), (64, 64), (1, 4)):
+        for x, y in ((rng.normal(size=(6, n)), rng.normal(size=m)), (rng.integers(0, 3, (6, n)).astype(float), rng.integers(0, 3, m).astype(float))):
+            cost, path = match.dtw(x, y)
+            got, want = match.warped(x, y), match.matched(path)
+            assert np.array_equal(got[0], cost) and np.array_equal(got[1], want[0]) and np.array_equal(got[2], want[1])
+            assert np.array_equal(match.warped(x, y, False)[0], cost)
+
+
+def test_every_window_of_a_series_longer_than_a_block(points):
+    rng = np.random.default_rng(6)
+    v, y = rng.normal(size=9000), rng.normal(size=16)
+    frame = points({"a": [(3_600_000 * k, x) for k, x in enumerate(v)]})
+    z = match.scaled(np.lib.stride_tricks.sliding_window_view(v, 16), True, True)
+    want = np.abs(z - match.scaled(y, True, True)).sum(axis=1)
+    for stride in (1, 5, 16, 40):
+        rows = match.find_pattern(frame, list(y), rate_sliding=stride / 16).orderBy("rank").collect()
+        assert [r["rank"] for r in rows] == list(range((9000 - 16) // stride + 1))
+        assert all(r.start_t == r["rank"] * stride * 3_600_000 and r.end_t == r.start_t + 15 * 3_600_000 and math.isclose(r.score, want[r["rank"] * stride]) for r in rows)
+
+
+@pytest.mark.parametrize("distance", ["DTW", "FAST_DTW"])
+def test_the_best_apart_are_those_of_all_windows(points, distance):
+    rng = np.random.default_rng(11)
+    y = rng.normal(size=12).cumsum()
+    frame = points({"a": [(1000 * k, x) for k, x in enumerate(rng.normal(size=4700).cumsum())], "b": [(1000 * k, x) for k, x in enumerate(rng.integers(0, 2, 70))]})
+    every = match.find_pattern(frame, list(y), distance, 1 / 12).collect()
+    assert len(every) == 4700 - 11 + 70 - 11
+    want = []
+    for name in "ab":
+        taken = []
+        for r in sorted((r for r in every if r.series_id == name), key=lambda r: (r.score, r["rank"])):
+            if len(taken) < 3 and all(abs(r["rank"] - o["rank"]) >= 12 for o in taken):
+                taken.append(r)
+        want += taken
+    assert sorted(match.find_pattern(frame, list(y), distance, 1 / 12, limit=3).collect()) == sorted(want)
+
+
+def test_registered_matches_meet_occurrences_off_the_grid(spark, points, tmp_path):
+    from tidemill.plans import series
+
+    rng = np.random.default_rng(8)
+    shape, v = rng.normal(size=64).cumsum(), rng.normal(size=700)
+    for at in (32, 421):
+        v[at : at + 64] = 5 + 3 * shape
+    points({"a": [(1000 * k, x) for k, x in enumerate(v)]}).write.parquet(str(tmp_path / "points.parquet"))
+    spark.createDataFrame([("p", [float(x) for x in shape])], "pattern_id string, np_pattern_values array<double>").write.parquet(str(tmp_path / "patterns.parquet"))
+    for name in ("match_dtw", "match_fastdtw", "match_manhattan_dense"):
+        rows = series.QUERIES[name](spark, str(tmp_path)).orderBy("score", "rank").collect()
+        assert [(r["rank"], r.start_t, r.score) for r in rows[:2]] == [(32, 32_000, 0.0), (421, 421_000, 0.0)], name
+
+
 # ---- relations
 CO = {"a": [1, 2, 3], "b": [4, 5, 7], "c": [7, 6, 5], "d": [7, 6, 4]}
 

@@ -351,15 +351,33 @@ def match_manhattan(spark, d):
     return rows.withColumn("score", settled("score", 4))
 
 
+@query(f"""WITH {VALID}, i AS (
+      SELECT series_id, t, v, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM valid),
+    w AS (SELECT series_id, t, v, unnest(range(greatest(idx - 63, 0), least(idx, n - 64) + 1)) AS rank, idx FROM i WHERE n >= 320),
+    z AS (SELECT series_id, rank, t, idx - rank AS k, (v - avg(v) OVER f) / CASE WHEN stddev_pop(v) OVER f = 0 THEN 1 ELSE stddev_pop(v) OVER f END AS z
+          FROM w WINDOW f AS (PARTITION BY series_id, rank)),
+    p AS (SELECT unnest(np_pattern_values) AS x, unnest(range(64)) AS k FROM (
+            SELECT np_pattern_values FROM patterns WHERE len(np_pattern_values) = 64 AND len(list_filter(np_pattern_values, lambda y: y IS NOT NULL AND NOT isnan(y))) = 64
+              AND list_min(np_pattern_values) < list_max(np_pattern_values) ORDER BY pattern_id LIMIT 1)),
+    pz AS (SELECT k, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x FROM p)
+    SELECT series_id, rank, min(t) AS start_t, max(t) AS end_t, {s_("sum(abs(z - x))", 4)} AS score FROM z JOIN pz USING (k) GROUP BY ALL""")
+def match_manhattan_dense(spark, d):
+    """Windows that start at every reading; ``match_manhattan`` has those of the grid of 64 alone."""
+    rows = match.find_pattern(readings(spark, d), _pattern(spark, d), rate_sliding=1 / 64)
+    return rows.withColumn("score", settled("score", 4))
+
+
 @query()
 def match_dtw(spark, d):
-    rows = match.find_pattern(readings(spark, d), _pattern(spark, d), "DTW", limit=3)
+    """Of windows that start at every reading."""
+    rows = match.find_pattern(readings(spark, d), _pattern(spark, d), "DTW", 1 / 64, limit=3)
     return rows.withColumn("score", settled("score", 4))
 
 
 @query()
 def match_fastdtw(spark, d):
-    rows = match.find_pattern(readings(spark, d), _pattern(spark, d), "FAST_DTW", limit=3)
+    """Of windows that start at every reading."""
+    rows = match.find_pattern(readings(spark, d), _pattern(spark, d), "FAST_DTW", 1 / 64, limit=3)
     return rows.withColumn("score", settled("score", 4))
 
 
