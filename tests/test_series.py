@@ -382,6 +382,23 @@ def test_matrices(points):
         assert math.isclose(parts[a, b], np.corrcoef(x[a], x[b])[0, 1]) and math.isclose(far[a, b], np.linalg.norm(x[a] - x[b]))
 
 
+def test_registered_cross_correlation_over_all_lags(spark, points, tmp_path):
+    from tidemill.plans import series
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60)
+    v = {"a": x[:40], "b": x[17:57], "c": np.full(40, 3.0), "d": -x[9:49], "e": rng.normal(size=40)}
+    points({s: [(1000 * k, y) for k, y in enumerate(values)] for s, values in v.items()}).write.parquet(str(tmp_path / "points.parquet"))
+    got = {(r.id_a, r.id_b): r.correlation for r in series.QUERIES["cross_correlation_all"](spark, str(tmp_path)).collect()}
+    z = {s: (y - y.mean()) / (y.std() or 1) for s, y in v.items()}
+    assert set(got) == {(p, q) for p in v for q in v if p < q}
+    for (p, q), r in got.items():
+        every = np.correlate(z[p], z[q], "full") / 40
+        want = math.nan if "c" in (p, q) else every[np.abs(every).argmax()]
+        assert (math.isnan(r) and math.isnan(want)) or abs(r - want) < 2e-6
+    assert got["a", "b"] > 0.5 and got["a", "d"] < -0.5
+
+
 def test_blocks_cover_all_pairs(points):
     series = {f"s{k:02d}": [(0, k), (1, 2 * k % 7)] for k in range(23)}
     arrays = relate.series_arrays(points(series))

@@ -410,6 +410,12 @@ def cross_correlation(spark, d):
     return rows.where(~F.isnan("correlation")).withColumn("correlation", settled("correlation"))
 
 
+@query()
+def cross_correlation_all(spark, d):
+    """At all lags and with the cells of constant series, which are NaN; ``cross_correlation`` looks at lags up to 5 alone."""
+    return relate.cross_correlation(readings(spark, d)).withColumn("correlation", settled("correlation"))
+
+
 @query(f"""WITH {VALID}, i AS (SELECT series_id, v, row_number() OVER (PARTITION BY series_id ORDER BY t) AS idx FROM valid)
     SELECT a.series_id AS id_a, b.series_id AS id_b, {s_("sqrt(sum((a.v - b.v) * (a.v - b.v)))", 4)} AS distance
     FROM i a JOIN i b ON a.idx = b.idx AND a.series_id < b.series_id GROUP BY ALL""")
