@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemill.operators import learn, motif, symbolic
@@ -95,6 +96,31 @@ def test_kmeans_and_projection(spark):
             learn.kmeans(frame, "id", "x", bad)
 
 
+def test_projection_of_many_vectors(spark):
+    x = np.random.default_rng(9).normal(size=(3500, 5)) * [3, 1, 5, 0.5, 2] + 100
+    members = spark.createDataFrame([(f"s{k}", k % 2, [float(y) for y in v]) for k, v in enumerate(x)], "id string, cluster int, vector array<double>")
+    middles = [x[k::2].mean(axis=0) for k in range(2)]
+    centres = spark.createDataFrame([(k, [float(y) for y in m], 1750) for k, m in enumerate(middles)], learn.CENTRES)
+    got = {(r.id, r.cluster): (r.x, r.y) for r in learn.project(members, centres, "id").collect()}
+    every = np.vstack([x, middles])
+    u, s, _ = np.linalg.svd(every - every.mean(axis=0), full_matrices=False)
+    want = (u * s)[:, :2]
+    want *= np.sign(want[np.abs(want).argmax(axis=0), [0, 1]])
+    assert len(got) == 3502 and np.allclose([got[f"s{k}", k % 2] for k in range(3500)], want[:3500]) and np.allclose([got[None, k] for k in range(2)], want[3500:])
+    one = learn.project(members.select("id", "cluster", F.slice("vector", 1, 1).alias("vector")).limit(3), centres.where("false"), "id").collect()
+    assert len(one) == 3 and all(r.y == 0 for r in one)
+    assert learn.project(members.where("false"), centres.where("false"), "id").count() == 0
+
+
+def test_registered_projection_has_every_series(spark, points, tmp_path):
+    from tidemill.plans import series
+
+    rng = np.random.default_rng(3)
+    points({f"s{k}": [(1000 * t, y) for t, y in enumerate(rng.normal(size=20))] for k in range(9)}).write.parquet(str(tmp_path / "points.parquet"))
+    rows = series.QUERIES["kmeans_projection"](spark, str(tmp_path)).collect()
+    assert {r.series_id for r in rows} == {None, *(f"s{k}" for k in range(9))} and len(rows) == 12
+
+
 def test_decision_tree(spark):
     rows = [(str(k), str(k % 10), float(k % 7), "low" if k % 10 < 5 else "high") for k in range(200)]
     frame = spark.createDataFrame(rows, "id string, x string, noise double, label string")

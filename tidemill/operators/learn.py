@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
@@ -23,8 +24,6 @@ from tidemill.functions.joins import sized_join
 DEEPEST = 30
 BINS = 256
 CENTRES = "cluster int, centre array<double>, size long"
-#: Vectors that are projected on the driver.
-MDS_ROWS = 3000
 
 
 def kmeans(vectors: DataFrame, key: str, vector: str, k: int = 3, seed: int | None = None, starts: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -61,24 +60,44 @@ def pattern_vectors(locations: DataFrame) -> DataFrame:
     )
 
 
+def _sums(points: DataFrame, size: int, middle: np.ndarray | None = None) -> np.ndarray:
+    """Of ``v`` the sums and last the number of rows; with ``middle`` the sums of products of deviations from it. Each
+    partition gives its own sums, which are added up in the plan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1 if middle is None else size * size)
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            total += [*x.sum(axis=0), len(x)] if middle is None else ((x - middle).T @ (x - middle)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "x"])
+
+    rows = points.select("v").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    return np.array([r["x"] for r in sorted(rows, key=lambda r: r["at"])])
+
+
 def project(members: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     """``key, cluster, x, y`` of members and (NULL key) centres: classical scaling of their Euclidean distances to two
-    dimensions. More than ``MDS_ROWS`` rows are a ValueError; the projection is for looking at few."""
-    if members.limit(MDS_ROWS + 1).count() > MDS_ROWS:
-        raise ValueError(f"more than {MDS_ROWS} vectors can't be projected")
-    rows = members.orderBy("cluster", key).collect()
-    middles = centres.orderBy("cluster").collect()
-    if not rows:
-        return members.sparkSession.createDataFrame([], f"{key} {members.schema[key].dataType.simpleString()}, cluster int, x double, y double")
-    points = np.array([r["vector"] for r in rows] + [r["centre"] for r in middles], dtype=float)
-    centred = points - points.mean(axis=0)
-    u, s, _ = np.linalg.svd(centred, full_matrices=False)
-    flat = np.zeros((len(points), 2))
-    flat[:, : min(2, len(s))] = (u * s)[:, :2]
-    flat *= np.where(np.take_along_axis(flat, np.abs(flat).argmax(axis=0)[None], axis=0) < 0, -1.0, 1.0)  # signs are free: fixed here
-    names = [(r[key], r["cluster"]) for r in rows] + [(None, r["cluster"]) for r in middles]
-    data = [(name, int(c), float(x), float(y)) for (name, c), (x, y) in zip(names, flat, strict=True)]
-    return members.sparkSession.createDataFrame(data, f"{key} {members.schema[key].dataType.simpleString()}, cluster int, x double, y double")
+    dimensions, which is the projection on their principal axes. Means and products are summed in the plan, and only
+    these come to the driver; the number of vectors isn't limited."""
+    kind = members.schema[key].dataType
+    points = members.select(key, F.col("cluster").cast("int").alias("cluster"), F.col("vector").cast("array<double>").alias("v")).unionByName(
+        centres.select(F.lit(None).cast(kind).alias(key), "cluster", F.col("centre").alias("v"))
+    )
+    some = members.select(F.size("vector").alias("n")).first()
+    if some is None:
+        return points.select(key, "cluster", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).where(F.lit(False))
+    sums = _sums(points, some["n"])
+    middle = sums[:-1] / sums[-1]
+    _, axes = np.linalg.eigh(_sums(points, some["n"], middle).reshape(len(middle), -1))
+    axes = axes.T[::-1][:2]
+    axes = np.vstack([axes, np.zeros((2 - len(axes), len(middle)))])
+    axes *= np.where(np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], axis=1) < 0, -1.0, 1.0)
+    at = F.zip_with("v", F.array(*(F.lit(float(x)) for x in middle)), lambda x, m: x - m)
+    along = [F.aggregate(F.zip_with(at, F.array(*(F.lit(float(x)) for x in axis)), lambda x, e: x * e), F.lit(0.0), lambda s, x: s + x) for axis in axes]
+    flat = points.select(key, "cluster", along[0].alias("x"), along[1].alias("y"))
+    ends = flat.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    turn = [-1.0 if -ends[k] > ends[k + 1] * (1 + 1e-9) else 1.0 for k in (0, 2)]  # signs are free: fixed here
+    return flat.withColumns({"x": F.col("x") * turn[0], "y": F.col("y") * turn[1]})
 
 
 def _features(population: DataFrame, target: str, identifier: str | None) -> list[str]:

@@ -12,12 +12,11 @@ from tidemill.operators import cut, derive, describe, learn, match, motif, relat
 from tidemill.operators.readings import period_of, series_metadata, valid_readings
 from tidemill.plans.pipeline import VALID
 from tidemill.sources.scratch import materialise
-from tidemill.sources.tables import by_dataset, table
+from tidemill.sources.tables import table
 
 HOUR = 3_600_000
 DAY = 86_400_000
 DATASET = "study_01"
-PROJECTED = "torque_all"
 START, END = 1_546_300_800_000, 1_577_836_800_000
 CRITERION = "10 < Y <= 50.5 and Y not in [20, 30]"
 WINDOW, PAA, ALPHABET = 24, 6, 5
@@ -473,10 +472,8 @@ def kmeans_patterns(spark, d):
 
 @query()
 def kmeans_projection(spark, d):
-    members, centres = learn.kmeans(
-        materialise(_paa_vectors(spark, d).join(by_dataset(table(spark, d, "series"), table(spark, d, "datasets"), PROJECTED).select("series_id"), "series_id"), "vectors"),
-        "series_id", "paa", 3, seed=1,
-    )
+    vectors = materialise(_paa_vectors(spark, d), "vectors")
+    members, centres = learn.kmeans(vectors, "series_id", "paa", 3, seed=1)
     return learn.project(members, centres, "series_id").withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
 
 
