@@ -121,6 +121,24 @@ def test_registered_projection_has_every_series(spark, points, tmp_path):
     assert {r.series_id for r in rows} == {None, *(f"s{k}" for k in range(9))} and len(rows) == 12
 
 
+def test_series_with_silences_have_clusters_and_words(spark, points, tmp_path):
+    from tidemill.plans import series
+
+    rng = np.random.default_rng(3)
+    data = {f"s{k}": [(1000 * t, y) for t, y in enumerate(rng.normal(size=20))] for k in range(5)}
+    data |= {"gappy": [(0, 1), (1000, 3), (50_000, 5), (80_000, 6)], "one": [(7, 2.5)]}
+    frame = points(data)
+    frame.write.parquet(str(tmp_path / "points.parquet"))
+    assert {r.series_id: r.paa for r in symbolic.paa(frame, 4, fill=True).where("series_id in ('gappy', 'one')").collect()} == {"gappy": [2, 2, 5, 6], "one": [2.5] * 4}
+    words = {r.series_id: r.word for r in symbolic.sax(frame, 8, 5, fill=True).collect()}
+    assert set(words) == set(data) and all(len(w) == 8 for w in words.values()) and words["one"] == "aaaaaaaa"
+    members = series.QUERIES["kmeans_paa"](spark, str(tmp_path)).collect()
+    assert sorted(r.series_id for r in members) == sorted(data)
+    met = series.QUERIES["collisions_all"](spark, str(tmp_path)).collect()
+    seen = {w for r in met for w in (r.word_a, r.word_b)}
+    assert {words["gappy"], words["one"]} <= seen and series.QUERIES["collision_threshold_all"](spark, str(tmp_path)).first().sequences == 7
+
+
 def test_decision_tree(spark):
     rows = [(str(k), str(k % 10), float(k % 7), "low" if k % 10 < 5 else "high") for k in range(200)]
     frame = spark.createDataFrame(rows, "id string, x string, noise double, label string")

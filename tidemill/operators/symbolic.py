@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -40,9 +40,20 @@ def segments(readings: DataFrame, n: int) -> DataFrame:
     return means
 
 
-def paa(readings: DataFrame, n: int) -> DataFrame:
-    """``series_id, paa``: the averages of the ``n`` parts in order; a part without readings is NULL."""
-    cells = segments(readings, n).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("segment", "mean"))).alias("m"))
+def filled(parts: DataFrame, n: int) -> DataFrame:
+    """``series_id, segment, mean`` of all ``n`` parts: one without readings has the average of the one before. The
+    first part holds the first reading, so there is one before."""
+    after = F.lead("segment").over(Window.partitionBy("series_id").orderBy("segment"))
+    return parts.select("series_id", "segment", "mean", F.coalesce(after, F.lit(n)).alias("after")).select(
+        "series_id", F.explode(F.sequence("segment", F.col("after") - 1)).alias("segment"), "mean"
+    )
+
+
+def paa(readings: DataFrame, n: int, fill: bool = False) -> DataFrame:
+    """``series_id, paa``: the averages of the ``n`` parts in order; a part without readings is NULL, or with ``fill``
+    has the average of the part before."""
+    parts = segments(readings, n)
+    cells = (filled(parts, n) if fill else parts).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("segment", "mean"))).alias("m"))
     return cells.select("series_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.try_element_at("m", k)).alias("paa"))
 
 
@@ -102,13 +113,14 @@ def letters_of(values: Column, breaks: Column, strict: bool) -> Column:
     return F.array_join(F.transform(values, lambda x: F.chr((over(x) + 97).cast("long"))), "")
 
 
-def sax(readings: DataFrame, word_size: int, alphabet: int, normalize: bool = False) -> DataFrame:
+def sax(readings: DataFrame, word_size: int, alphabet: int, normalize: bool = False, fill: bool = False) -> DataFrame:
     """``series_id, paa, breakpoints, word``. Break points are the empirical percentiles ``i / alphabet`` of the series'
-    own averages; a letter counts those strictly below. Parts without readings have no letter. With ``normalize`` the
-    series is scaled first, its deviation taken as at least 1 / n."""
+    own averages; a letter counts those strictly below. Parts without readings have no letter, or with ``fill`` count
+    as the part before. With ``normalize`` the series is scaled first, its deviation taken as at least 1 / n."""
     _checked(alphabet, 1, 26, "the alphabet")
     rows = scale(readings, floor=1.0 / F.col("n")) if normalize else readings
-    parts = segments(rows, word_size).withColumn("mean", F.round("mean", DIGITS))
+    parts = segments(rows, word_size)
+    parts = (filled(parts, word_size) if fill else parts).withColumn("mean", F.round("mean", DIGITS))
     cells = parts.groupBy("series_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("segment", "mean"))), lambda x: x["mean"]).alias("paa"),
         F.percentile("mean", F.array(*(F.lit(k / alphabet) for k in range(1, alphabet)))).alias("b") if alphabet > 1 else F.array().cast("array<double>").alias("b"),

@@ -320,6 +320,23 @@ def collisions(spark, d):
     return motif.collisions(words, 2, word_size=8)
 
 
+_FILLED = f"""{_SEGMENTS}, r AS (
+      SELECT series_id, segment, last_value(round(mean, 9) IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY segment) AS x
+      FROM (SELECT series_id, unnest(range(8)) AS segment FROM b) LEFT JOIN seg USING (series_id, segment))"""
+
+
+@query(f"""WITH {VALID}, {_FILLED},
+    q AS (SELECT series_id, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS b FROM r GROUP BY ALL),
+    s AS (SELECT series_id, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x > round(y, 9))) AS INT)), '' ORDER BY segment) AS word FROM r JOIN q USING (series_id) GROUP BY ALL),
+    c AS (SELECT word, count(*) AS size FROM s GROUP BY ALL),
+    e AS (SELECT a.word AS word_a, b.word AS word_b, a.size AS size_a, b.size AS size_b,
+            {" + ".join(f"CAST(a.word[{k}] = b.word[{k}] AS BIGINT)" for k in range(1, 9))} AS same FROM c a JOIN c b ON a.word < b.word)
+    SELECT word_a, word_b, CAST(same * (same - 1) // 2 AS BIGINT) AS n, size_a, size_b FROM e WHERE same >= 2""")
+def collisions_all(spark, d):
+    """With the words of series that have a silent part, which ``collisions`` leaves out."""
+    return motif.collisions(symbolic.sax(readings(spark, d), 8, ALPHABET, fill=True), 2, word_size=8)
+
+
 @query()
 def motifs(spark, d):
     """The recurring patterns and how many windows each has."""
@@ -453,7 +470,7 @@ def correlation_profiles(spark, d):
 
 
 def _paa_vectors(spark, d) -> DataFrame:
-    return symbolic.paa(transform.scale(readings(spark, d)), 8)
+    return symbolic.paa(transform.scale(readings(spark, d)), 8, fill=True)
 
 
 @query()
@@ -556,10 +573,21 @@ def collision_threshold(spark, d):
     return spark.createDataFrame([(n, float(value))], "sequences long, threshold double").withColumn("threshold", settled("threshold"))
 
 
+@query(f"""WITH {VALID}, c AS (SELECT count(DISTINCT series_id) AS n FROM valid),
+    k AS (SELECT unnest(range(0, 1)) AS i),
+    p AS (SELECT sum((1 - i / 8) ** 2 * [1, 8, 28][CAST(i AS INT) + 1] * 0.8 ** i * 0.2 ** (8 - i)) AS p FROM k)
+    SELECT CAST(n AS BIGINT) AS sequences, {s_("CASE WHEN p * n * (n - 1) / 2 >= 1 THEN 27.0 ELSE p * n * (n - 1) / 2 * 28 END")} AS threshold FROM c, p""")
+def collision_threshold_all(spark, d):
+    """With the words of series that have a silent part, which ``collision_threshold`` leaves out."""
+    n = symbolic.sax(readings(spark, d), 8, ALPHABET, fill=True).count()
+    value = motif.expected_collisions(n, ALPHABET, 8, 0, 2, 28)
+    return spark.createDataFrame([(n, float(value))], "sequences long, threshold double").withColumn("threshold", settled("threshold"))
+
+
 @query()
 def recognition(spark, d):
     """Groups of series' words around the pairs that collide most."""
-    words = materialise(symbolic.sax(transform.scale(readings(spark, d)), 8, ALPHABET).where(F.length("word") == 8), "words")
+    words = materialise(symbolic.sax(transform.scale(readings(spark, d)), 8, ALPHABET, fill=True), "words")
     cells = materialise(motif.collisions(words, 2, word_size=8), "cells")
     table_ = symbolic.mindist_table([-0.84, -0.25, 0.25, 0.84])
     groups = motif.recognise(motif.word_classes(words), cells, cells.where("n >= 15"), table_, 24, 2.0)
