@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sources.scratch import is_written, materialise
+
 #: Rows up to which a side of a few narrow columns is broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
+#: Bytes of files, or of texts, up to which a side is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Parts into which the rows of a key are spread where a side is too large to be broadcast.
+SALTS = 16
 
 
 def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -14,6 +20,27 @@ def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return frame.limit(rows + 1).count() <= rows
 
 
+def is_light(frame: DataFrame, text: str, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame has at most so many rows and its texts at most so many bytes together."""
+    n, held = frame.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Joins with the rows of each key on the left spread over ``salts`` parts, and those on the right, which are few a
+    key, sent to each part. The rows on the left are told apart by all their plain columns."""
+    keys = [on] if isinstance(on, str) else list(on)
+    plain = [name for name, kind in left.dtypes if not kind.startswith(("map", "variant"))]
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins; the right side is broadcast only when it was counted and found small, else both sides shuffle."""
-    return left.join(F.broadcast(right) if is_small(right, rows) else right, on, how)
+    """Joins an inner or left join with a right side of few rows a key. It is written once, unless it is read from files as
+    it is, and counted there; found small in rows and bytes it is broadcast, else the left rows of a key are spread."""
+    right = right if is_written(right) else materialise(right, "side")
+    size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size <= BROADCAST_BYTES and is_small(right, rows):
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, how)

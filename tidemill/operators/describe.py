@@ -7,8 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.joins import sized_join
-from tidemill.operators.readings import consecutive, laid_out
+from tidemill.operators.readings import consecutive, join_by_series, laid_out
 
 OPERATORS = {"MIN": lambda: F.min("v"), "MAX": lambda: F.max("v"), "AVG": lambda: F.avg("v"), "STD": lambda: F.stddev_pop("v")}
 #: Parts in which the gaps of a series are ranked first.
@@ -29,7 +28,7 @@ def discretize(readings: DataFrame, buckets: int, operators: tuple[str, ...] = (
         raise ValueError(f"operators are of {', '.join(OPERATORS)}")
     spans = readings.groupBy("series_id").agg(F.min("t").alias("sd"), F.max("t").alias("ed"))
     spans = spans.withColumn("size", F.greatest(F.ceil((F.col("ed") - F.col("sd")) / buckets).cast("long"), F.lit(1)))
-    rows = sized_join(readings.select("series_id", "t", "v"), spans, "series_id")
+    rows = join_by_series(readings.select("series_id", "t", "v"), spans, readings)
     at = F.greatest(F.ceil((F.col("t") - F.col("sd")) / F.col("size")).cast("int") - 1, F.lit(0))
     cells = rows.groupBy("series_id", at.alias("bucket")).agg(*(OPERATORS[o]().alias(o) for o in operators))
     every = spans.select("series_id", "sd", "size", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.batches import whole_groups
-from tidemill.functions.joins import sized_join
-from tidemill.operators.readings import laid_out, ordinal
+from tidemill.operators.readings import join_by_series, laid_out, ordinal, window_blocks, window_starts
 
 # Per normalisation, whether the pattern is centred and scaled, and whether each window is.
 NORMALISATIONS = {
@@ -29,8 +28,7 @@ PATTERN_LIMIT = 5000
 FAST_RADIUS = 2
 #: Cells of cost that are held at a time.
 CELLS = 4_000_000
-#: Readings that a block of a series' windows begins in, at least; and windows that are warped at a time.
-STRETCH = 4096
+#: Windows that are warped at a time.
 WARPED = 512
 
 
@@ -143,17 +141,11 @@ def _ceiling(score: np.ndarray, rank: np.ndarray, size: int, stride: int, limit:
 
 
 def _blocks(readings: DataFrame, size: int, stride: int) -> tuple[DataFrame, int]:
-    """``series_id, block, idx, t, v`` of series of at least five windows, sorted by block: the readings of so many
-    windows, the returned number. What reaches into a block from the one after is sent to both."""
+    """Series of at least five windows in blocks of windows."""
     laid = laid_out(readings)
     lengths = laid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5 * size)
-    rows = sized_join(ordinal(laid), lengths.select("series_id"), "series_id")
-    each = max(1, max(STRETCH, 4 * size) // stride)
-    width = each * stride
-    reach = (each - 1) * stride + size  # readings from a block's first to its last window's end
-    low = F.greatest(F.expr(f"(idx - {reach} + {width}) div {width}"), F.lit(0).cast("long"))
-    spread = rows.select("series_id", "idx", "t", "v", F.explode(F.sequence(low, F.expr(f"greatest(idx div {width}, 0)"))).alias("block"))
-    return spread.repartition("series_id", "block").sortWithinPartitions("series_id", "block", "idx"), each
+    rows = join_by_series(ordinal(laid), lengths.select("series_id"), readings)
+    return window_blocks(rows.select("series_id", "idx", "t", "v"), size, stride)
 
 
 def _apart(scores: DataFrame, size: int, stride: int, limit: int) -> DataFrame:
@@ -237,17 +229,11 @@ def find_pattern(
 
     def kernel(table: pa.Table, first: np.ndarray) -> pa.Table:
         t, v, idx, block = (table.column(c).to_numpy() for c in ("t", "v", "idx", "block"))
-        begins = np.flatnonzero(first)
-        starts, ranks = [], []
-        for low, high in zip(begins, [*begins[1:], len(v)], strict=True):
-            at = np.arange(block[low] * each, min((block[low] + 1) * each, (idx[high - 1] + 1 - size) // stride + 1))
-            start = low + at * stride - idx[low]
-            if limit and distance != "MANHATTAN" and len(at):
-                keep = candidates(v, start, at)
-                start, at = start[keep], at[keep]
-            starts.append(start)
-            ranks.append(at)
-        start, rank = np.concatenate(starts), np.concatenate(ranks)
+        start, rank = window_starts(first, idx, block, each, size, stride)
+        if limit and distance != "MANHATTAN" and len(rank):
+            cuts = np.flatnonzero(np.diff(np.cumsum(first)[start]))  # a block at a time
+            kept = [part[candidates(v, start[part], rank[part])] for part in np.split(np.arange(len(rank)), cuts + 1)]
+            start, rank = start[np.concatenate(kept)], rank[np.concatenate(kept)]
         score, begin, end = scored(v, start, score_of, step)
         return pa.table({
             "series_id": table.column("series_id").take(pa.array(start)), "rank": pa.array(rank, pa.int64()),

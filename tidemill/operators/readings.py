@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemill.functions.joins import BROADCAST_ROWS, is_small, salted_join
+
 DAY_MS = 86_400_000
 #: The hash first: a sort compares eight bytes of it before it looks at the strings.
 CHUNK = ["chunk", "series_id", "day_no"]
@@ -45,7 +48,31 @@ def valid_readings(points: DataFrame) -> DataFrame:
     )
     rows = by_day(points).withColumn("before", F.lag("t").over(newest))
     rows = rows.where((F.col("before").isNull() | (F.col("before") != F.col("t"))) & F.col("v").isNotNull() & ~F.isnan("v"))
-    return rows.select("series_id", "t", "v", "day_no", "chunk")
+    return of_source(rows.select("series_id", "t", "v", "day_no", "chunk"), points)
+
+
+def of_source(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """The rows, noted to hold no other series than ``source`` does."""
+    rows.__dict__["_source"] = source.__dict__.get("_source", source)
+    return rows
+
+
+def few_series(readings: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether the readings are of at most ``limit`` series. Counted where they were read from, by a scan of the ids alone,
+    once for all operators on the same source."""
+    source = readings.__dict__.get("_source", readings)
+    known = source.__dict__.setdefault("_few_series", {})
+    if limit not in known:
+        known[limit] = is_small(source.select("series_id").distinct(), limit)
+    return known[limit]
+
+
+def join_by_series(rows: DataFrame, stats: DataFrame, readings: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins what was aggregated per series of ``readings`` to rows of these series, in one plan, so that both sides share
+    the shuffle of the readings. Of few series the aggregates are broadcast, else the rows of a series are spread."""
+    if few_series(readings):
+        return rows.join(F.broadcast(stats), "series_id", how)
+    return salted_join(rows, stats, "series_id", how)
 
 
 def in_day() -> WindowSpec:
@@ -132,7 +159,7 @@ def laid_out(readings: DataFrame) -> DataFrame:
     if "chunk" in readings.columns:
         return readings
     rows = readings.withColumn("day_no", day_of()).repartition("series_id", "day_no")
-    return rows.withColumn("chunk", F.xxhash64("series_id", "day_no"))
+    return of_source(rows.withColumn("chunk", F.xxhash64("series_id", "day_no")), readings)
 
 
 def running_total(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -155,3 +182,30 @@ def series_metadata(readings: DataFrame) -> DataFrame:
     return readings.groupBy("series_id").agg(
         F.min("t").alias("start_ms"), F.max("t").alias("end_ms"), F.count(F.lit(1)).alias("nb_points")
     )
+
+
+#: Readings that a block of a series' windows begins in, at least.
+STRETCH = 4096
+
+
+def window_blocks(placed: DataFrame, size: int, stride: int) -> tuple[DataFrame, int]:
+    """Rows with their position ``idx`` laid out by blocks of windows, sorted by ``series_id, block, idx``, and the number of
+    windows in a block. A reading is sent to the block its windows start in and, where they reach into the one after, to
+    that too, so that what is shuffled doesn't depend on how windows overlap."""
+    each = max(1, max(STRETCH, 4 * size) // stride)
+    width = each * stride
+    reach = (each - 1) * stride + size  # readings from a block's first to its last window's end
+    low = F.greatest(F.expr(f"(idx - {reach} + {width}) div {width}"), F.lit(0).cast("long"))
+    spread = placed.select("*", F.explode(F.sequence(low, F.expr(f"greatest(idx div {width}, 0)"))).alias("block"))
+    return spread.repartition("series_id", "block").sortWithinPartitions("series_id", "block", "idx"), each
+
+
+def window_starts(first: np.ndarray, idx: np.ndarray, block: np.ndarray, each: int, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the blocks in a batch of whole ones: the row where each window starts, and its rank in its series."""
+    begins = np.flatnonzero(first)
+    starts, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low, high in zip(begins, [*begins[1:], len(idx)], strict=True):
+        rank = np.arange(block[low] * each, min((block[low] + 1) * each, (idx[high - 1] + 1 - size) // stride + 1))
+        starts.append(low + rank * stride - idx[low])
+        ranks.append(rank)
+    return np.concatenate(starts), np.concatenate(ranks)

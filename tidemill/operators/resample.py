@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.expand import each_value
 from tidemill.functions.joins import sized_join
-from tidemill.operators.readings import consecutive, laid_out
+from tidemill.operators.readings import consecutive, join_by_series, laid_out, of_source
 
 AGGREGATIONS = {
     "MIN": lambda: F.min("v"),
@@ -46,7 +46,7 @@ def downsample(readings: DataFrame, period: int, aggregation: str = "AVG", posit
     beginning, middle or end. A series of one reading stays as it is."""
     p, how = _period(period), AGGREGATIONS[_name(aggregation, AGGREGATIONS, "aggregation")]()
     shift = p // 2 * POSITIONS[_name(position, POSITIONS, "position")]
-    rows = sized_join(readings.select("series_id", "t", "v"), starts(readings), "series_id")
+    rows = join_by_series(readings.select("series_id", "t", "v"), starts(readings), readings)
     k = F.expr(f"(t - t0) div {p}")
     slots = rows.groupBy("series_id", "t0", "n", k.alias("k")).agg(how.alias("v"))
     at = F.when(F.col("n") == 1, F.col("t0")).otherwise(F.col("t0") + F.col("k") * p + shift)
@@ -58,7 +58,7 @@ def upsample(readings: DataFrame, period: int, method: str = "LINEAR_INTERPOLATI
     after; a reading on the grid keeps its value."""
     p, how = _period(period), _name(method, METHODS, "method")
     laid = laid_out(readings)
-    pairs = sized_join(consecutive(laid), starts(laid).select("series_id", "t0"), "series_id")
+    pairs = join_by_series(consecutive(laid), starts(laid).select("series_id", "t0"), readings)
     first = F.col("t0") + F.ceil((F.col("t") - F.col("t0")) / p).cast("long") * p
     last = F.when(F.col("next_t").isNull(), F.col("t")).otherwise(F.col("next_t") - 1)
     grid = pairs.withColumn("first", first).withColumn("last", last).where(F.col("first") <= F.col("last"))
@@ -84,6 +84,6 @@ def resample(
         raise ValueError("a series has no reference period")
     laid = laid_out(readings)
     rows = sized_join(laid, known, "series_id")
-    up = upsample(rows.where(F.col("own") >= p).drop("own"), p, method)
-    down = downsample(rows.where(F.col("own") < p).drop("own"), p, aggregation, position)
+    up = upsample(of_source(rows.where(F.col("own") >= p).drop("own"), readings), p, method)
+    down = downsample(of_source(rows.where(F.col("own") < p).drop("own"), readings), p, aggregation, position)
     return up.unionByName(down)

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tidemill.functions.joins import sized_join
+from tidemill.functions.batches import whole_groups
 from tidemill.functions.ranks import exact_percentiles
-from tidemill.operators.readings import laid_out, ordinal
+from tidemill.operators.readings import join_by_series, laid_out, ordinal, window_blocks, window_starts
 from tidemill.operators.transform import scale
 
 #: Digits to which averages and break points count, so that a tie doesn't hang on the last bit.
@@ -30,7 +30,7 @@ def segments(readings: DataFrame, n: int) -> DataFrame:
     border belongs to the part before it. Parts without readings have no row."""
     _checked(n, 1, 1_000_000, "the number of segments")
     spans = readings.groupBy("series_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    rows = sized_join(readings.select("series_id", "t", "v"), spans, "series_id")
+    rows = join_by_series(readings.select("series_id", "t", "v"), spans, readings)
     width = (F.col("t1") - F.col("t0")) / n
     at = F.coalesce(F.ceil(F.try_divide(F.col("t") - F.col("t0"), width)).cast("int") - 1, F.lit(0))
     part = F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
@@ -60,51 +60,51 @@ def paa(readings: DataFrame, n: int, fill: bool = False) -> DataFrame:
 def paa_series(readings: DataFrame, n: int) -> DataFrame:
     """The readings with their values replaced by the average of their part."""
     spans = readings.groupBy("series_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    means = paa(readings, n)
     width = (F.col("t1") - F.col("t0")) / n
     at = F.coalesce(F.ceil(F.try_divide(F.col("t") - F.col("t0"), width)).cast("int") - 1, F.lit(0))
-    rows = sized_join(readings.select("series_id", "t"), spans, "series_id")
-    rows = rows.withColumn("segment", F.least(F.greatest(at, F.lit(0)), F.lit(n - 1)))
-    return sized_join(rows, segments(readings, n).select("series_id", "segment", "mean"), ["series_id", "segment"]).select(
-        "series_id", "t", F.col("mean").alias("v")
-    )
+    rows = join_by_series(readings.select("series_id", "t"), spans.join(means, "series_id"), readings)
+    segment = F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
+    return rows.select("series_id", "t", F.element_at("paa", segment + 1).alias("v"))
 
 
 def paa_sequential(readings: DataFrame, n: int) -> DataFrame:
     """``series_id, segment, mean`` by the one-advance-per-reading rule: a reading later than the rounded next border opens
     a segment and moves the border by one width only. On series with gaps segments lag, and readings after the last
-    border can be left out. Reads each series as a sorted stream with one running sum; nothing is gathered."""
-    _checked(n, 1, 1_000_000, "the number of segments")
-    spans = readings.groupBy("series_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    rows = sized_join(readings.select("series_id", "t", "v"), spans, "series_id")
-    rows = rows.repartition("series_id").sortWithinPartitions("series_id", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, closed = None, []
+    border can be left out.
 
-        def out() -> pa.RecordBatch:
-            ids, parts, means = zip(*closed, strict=True) if closed else ((), (), ())
-            closed.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.int32()), pa.array(means, pa.float64())], ["series_id", "segment", "mean"])
-
-        for batch in batches:
-            for series, t, v, t0, t1 in zip(*(batch.column(c).to_pylist() for c in ("series_id", "t", "v", "t0", "t1")), strict=True):
-                if series != name:
-                    if name is not None and count and round(border) >= last:
-                        closed.append((name, part, total / count))
-                    name, part, total, count, last = series, 0, 0.0, 0, t1
-                    step = (t1 - t0) / n
-                    border = t0 + step
-                if t > round(border):
-                    if count:
-                        closed.append((name, part, total / count))
-                    part, total, count, border = part + 1, 0.0, 0, border + step
-                total, count = total + v, count + 1
-            yield out()
-        if name is not None and count and round(border) >= last:
-            closed.append((name, part, total / count))
-        yield out()
-
-    return rows.select("series_id", "t", "v", "t0", "t1").mapInArrow(run, "series_id string, segment int, mean double")
+    Segment k + 1 opens at the first reading later than border k, at position f(k), or right after segment k opened,
+    whichever comes last: at the greatest of f(j) + k - j over all j up to k. So the positions follow from counts of
+    readings up to each border, and no series is walked through.
+    """
+    _checked(n, 1, 10_000, "the number of segments")
+    laid = laid_out(readings)
+    spans = laid.groupBy("series_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    border = lambda k: F.rint(F.col("t0") + (F.col("t1") - F.col("t0")) / n * (k + 1))
+    rows = join_by_series(laid.select("series_id", "t"), spans, readings)
+    # the first border that isn't passed is next to the place by division
+    near = F.coalesce(F.ceil(F.try_divide(F.col("t") - F.col("t0"), (F.col("t1") - F.col("t0")) / n)).cast("int") - 1, F.lit(0))
+    low = F.greatest(near - 1, F.lit(0))
+    part = F.when(F.col("t") <= border(low), low).when(F.col("t") <= border(low + 1), low + 1).otherwise(low + 2)
+    counts = rows.groupBy("series_id", "t0", "t1", F.least(part, F.lit(n - 1)).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    cells = counts.groupBy("series_id", "t0", "t1").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))
+    # f(k) - k, greatest so far: a running sum and a running maximum over n places
+    of = lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("most"), F.array().cast("array<long>").alias("opens"))
+
+    def step(state: Column, k: Column) -> Column:
+        seen = state["seen"] + of(k)
+        most = F.greatest(state["most"], seen - k)
+        return F.struct(seen.alias("seen"), most.alias("most"), F.concat(state["opens"], F.array(most + k)).alias("opens"))
+
+    opens = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)["opens"]
+    placed = join_by_series(ordinal(laid).select("series_id", "idx", "v"), cells.select("series_id", "t0", "t1", opens.alias("opens")), readings)
+    segment = F.size(F.filter("opens", lambda x: x <= F.col("idx")))
+    means = placed.groupBy("series_id", segment.alias("segment")).agg(F.avg("v").alias("mean"), F.max("t0").alias("t0"), F.max("t1").alias("t1"))
+    # the last segment is given out only where its border reaches the end
+    closed = F.max("segment").over(Window.partitionBy("series_id")) > F.col("segment")
+    kept = means.withColumn("closed", closed).where(F.col("closed") | (border(F.col("segment")) >= F.col("t1")))
+    return kept.select("series_id", "segment", "mean")
 
 
 def letters_of(values: Column, breaks: Column, strict: bool) -> Column:
@@ -129,6 +129,7 @@ def sax(readings: DataFrame, word_size: int, alphabet: int, normalize: bool = Fa
     return cells.withColumn("word", letters_of(F.col("paa"), F.col("breakpoints"), strict=True))
 
 
+# By name, the least deviation and the greatest squared correlation with time.
 LINEAR_FILTERS = {"NO": None, "LOW": (0.001, 0.99), "MEDIUM": (0.005, 0.95), "STRONG": (0.01, 0.9)}
 
 
@@ -151,34 +152,52 @@ def sliding_windows(
     moments = moments.where(F.col("n") >= size).withColumn("ts_scale", F.when((F.col("s") == 0) | (F.col("s") == 1), 1.0).otherwise(F.col("s")))
     dev = F.col("s") / F.col("ts_scale") if with_std else F.col("s")
     moments = moments.select("series_id", "ts_mean", "ts_scale", "n", dev.alias("ts_dev"))
-    rows = sized_join(ordinal(laid), moments, "series_id")
-    v = F.col("v") - F.col("ts_mean") if with_mean else F.col("v")
-    v = v / F.col("ts_scale") if with_std else v
-    last = F.expr(f"(n - {size}) div {stride}")
-    low = F.greatest(F.expr(f"idx - {size - 1} + {stride - 1}"), F.lit(0))
-    low = F.floor(low / stride).cast("long")
-    high = F.least(F.expr(f"idx div {stride}"), last)
-    spread = rows.withColumn("v", v).withColumn("low", low).withColumn("high", high).where("low <= high")
-    spread = spread.select("series_id", "t", "v", "ts_mean", "ts_scale", "ts_dev", F.explode(F.sequence("low", "high")).alias("rank"))
-    # a window gathers ``size`` readings, however long its series is
-    windows = spread.groupBy("series_id", "rank").agg(
-        F.array_sort(F.collect_list(F.struct("t", "v"))).alias("w"), F.avg("v").alias("local_mean"), F.stddev_pop("v").alias("local_std"),
-        F.min("t").alias("start_ms"), F.first("ts_mean").alias("ts_mean"), F.first("ts_scale").alias("ts_scale"), F.first("ts_dev").alias("ts_dev"),
-        F.covar_pop("v", F.col("t").cast("double")).alias("cov"), F.stddev_pop(F.col("t").cast("double")).alias("time_std"),
-    )
-    if linear_filter:
-        a, b = linear_filter
-        r = F.try_divide("cov", F.col("local_std") * F.col("time_std"))
-        windows = windows.where((F.col("local_std") > a) & (F.coalesce(r * r, F.lit(0.0)) < b))
-    shown = windows.select(
-        "series_id", "rank", "start_ms", F.transform("w", lambda x: x["v"]).alias("raw"), F.transform("w", lambda x: x["t"]).alias("times"),
-        "local_mean", "local_std", "ts_mean", "ts_scale", "ts_dev",
-    )
-    if trivial_radius > 0:
-        shown = without_trivial(shown, size, trivial_radius)
+    rows = join_by_series(ordinal(laid).select("series_id", "idx", "t", "v"), moments.drop("n"), readings)
+    blocks, each = window_blocks(rows, size, stride)
+    raw = trivial_radius > 0
+    names = ["series_id", "rank", "start_ms", "values", "times", "local_mean", "local_std", "ts_mean", "ts_scale", "ts_dev"]
+    schema = f"series_id string, rank long, start_ms long, values array<double>, times array<long>, {', '.join(f'{c} double' for c in names[5:])}"
+    at_once = max(1, 2_000_000 // size)
+
+    def kernel(table: pa.Table, first: np.ndarray) -> pa.Table:
+        t, v, idx, block, mean, scale_, dev = (table.column(c).to_numpy() for c in ("t", "v", "idx", "block", "ts_mean", "ts_scale", "ts_dev"))
+        if with_mean:
+            v = v - mean
+        if with_std:
+            v = v / scale_
+        start, rank = window_starts(first, idx, block, each, size, stride)
+        out = []
+        for low in range(0, len(start), at_once):
+            s, r = start[low : low + at_once], rank[low : low + at_once]
+            x, times = v[s[:, None] + np.arange(size)], t[s[:, None] + np.arange(size)]
+            local_mean, local_std = x.mean(axis=1), x.std(axis=1)
+            if linear_filter:
+                a, b = linear_filter
+                along = (times - times[:, :1]).astype(float)
+                along -= along.mean(axis=1, keepdims=True)
+                square = local_std**2 * (along**2).mean(axis=1)
+                r2 = np.where(square > 0, ((x - local_mean[:, None]) * along).mean(axis=1) ** 2 / np.where(square > 0, square, 1.0), 0.0)
+                keep = (local_std > a) & (r2 < b)
+                s, r, x, times, local_mean, local_std = s[keep], r[keep], x[keep], times[keep], local_mean[keep], local_std[keep]
+            if local_norm and not raw:
+                x = (x - local_mean[:, None]) / np.where(local_std == 0, 1.0, local_std)[:, None]
+            ends = pa.array(np.arange(0, len(s) * size + 1, size, dtype=np.int32))
+            out.append(pa.table([
+                table.column("series_id").take(pa.array(s)), pa.array(r), pa.array(t[s]), pa.ListArray.from_arrays(ends, pa.array(x.ravel())), pa.ListArray.from_arrays(ends, pa.array(times.ravel())),
+                pa.array(local_mean), pa.array(local_std), pa.array(mean[s]), pa.array(scale_[s]), pa.array(dev[s]),
+            ], names))
+        if not out:
+            none = pa.array([], pa.float64())
+            return pa.table([pa.array([], pa.string()), *[pa.array([], pa.int64())] * 2, pa.array([], pa.list_(pa.float64())), pa.array([], pa.list_(pa.int64())), *[none] * 5], names)
+        return pa.concat_tables(out)
+
+    shown = blocks.mapInArrow(whole_groups(["series_id", "block"], kernel, 20_000), schema)
+    if not raw:
+        return shown.drop("ts_dev")
+    shown = without_trivial(shown, size, trivial_radius)
     dev = F.when(F.col("local_std") == 0, 1.0).otherwise(F.col("local_std"))
-    value = F.transform("raw", lambda x: (x - F.col("local_mean")) / dev) if local_norm else F.col("raw")
-    return shown.withColumn("values", value).drop("raw", "ts_dev")
+    value = F.transform("values", lambda x: (x - F.col("local_mean")) / dev) if local_norm else F.col("values")
+    return shown.withColumn("values", value).drop("ts_dev")
 
 
 def without_trivial(windows: DataFrame, size: int, radius: float) -> DataFrame:
@@ -192,7 +211,7 @@ def without_trivial(windows: DataFrame, size: int, radius: float) -> DataFrame:
         name, kept, waiting = None, None, None
         for batch in batches:
             ids, dev = batch.column("series_id").to_pylist(), batch.column("ts_dev").to_pylist()
-            values = np.stack([np.asarray(x) for x in batch.column("raw").to_pylist()]) if len(ids) else np.zeros((0, size))
+            values = batch.column("values").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
             chosen = []
             for k, series in enumerate(ids):
                 if series != name:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.joins import sized_join
-from tidemill.operators.readings import CHUNK, consecutive, in_day, laid_out, ordinal, running_total
+from tidemill.operators.readings import CHUNK, consecutive, in_day, join_by_series, laid_out, of_source, ordinal, running_total
 
 #: Readings up to which a window's mean is taken over its frame; longer ones use sums by day.
 FRAME = 64
@@ -79,7 +79,7 @@ def rolling_mean(readings: DataFrame, size: int, alignment: str = "center") -> D
     place = ordinal(rows)
     if size > FRAME:
         lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("series_id")
-        return _joined_means(sized_join(place, lengths, "series_id").withColumn("size", F.lit(size).cast("long")), alignment)
+        return _joined_means(join_by_series(place, lengths, readings).withColumn("size", F.lit(size).cast("long")), alignment)
     offset = {"left": 0, "center": size // 2, "right": size - 1}[alignment]
 
     def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def rolling_mean(readings: DataFrame, size: int, alignment: str = "center") -> D
     across = windows(edges, ["series_id"]).where("day_no <> last_day")
     means = windows(place, CHUNK).unionByName(across)
     lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("series_id")
-    return sized_join(means, lengths, "series_id").select("series_id", F.col("at").alias("t"), F.col("mean").alias("v"))
+    return join_by_series(means, lengths, readings).select("series_id", F.col("at").alias("t"), F.col("mean").alias("v"))
 
 
 def _joined_means(place: DataFrame, alignment: str) -> DataFrame:
@@ -143,9 +143,9 @@ def rolling_mean_period(readings: DataFrame, periods: DataFrame, window_period:
     rows = laid_out(readings)
     lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     size = F.ceil(F.lit(window_period) / F.col("period")).cast("long")
-    sizes = periods.where("period > 0").select("series_id", size.alias("size")).join(lengths, "series_id")
+    sizes = sized_join(lengths, periods.where("period > 0").select("series_id", size.alias("size")), "series_id")
     sizes = sizes.where((F.col("n") > F.col("size")) | (F.col("size") == 1)).select("series_id", "size")
-    return _joined_means(sized_join(ordinal(rows), sizes, "series_id"), alignment)
+    return _joined_means(join_by_series(ordinal(rows), sizes, readings), alignment)
 
 
 def scale(readings: DataFrame, with_mean: bool = True, with_std: bool = True, floor: Column | None = None) -> DataFrame:
@@ -155,5 +155,5 @@ def scale(readings: DataFrame, with_mean: bool = True, with_std: bool = True, fl
     dev = F.greatest(F.col("s"), floor) if floor is not None else F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
     fixed = moments.select("series_id", "m", dev.alias("dev"))
     v = F.col("v") - F.col("m") if with_mean else F.col("v")
-    out = sized_join(readings, fixed, "series_id").withColumn("v", v / F.col("dev") if with_std else v)
-    return out.drop("m", "dev")
+    out = join_by_series(readings, fixed, readings).withColumn("v", v / F.col("dev") if with_std else v)
+    return of_source(out.drop("m", "dev"), readings)

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A lineage that is read more than once, or that an iteration would let grow, is cut by writing it as Parquet below
-``spark.checkpoint.dir``. The files outlive a lost executor. They are removed when the Python process ends.
+``spark.checkpoint.dir``. The files outlive a lost executor. They are removed by ``clear`` and when
+the Python process ends.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in local tests, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session. Only on a local master, as in tests, a temporary folder stands in for it;
+    on a cluster the executors would not share that, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -30,10 +34,18 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(frame.schema).parquet(path)
+    held = spark.read.schema(frame.schema).parquet(path)
+    held.__dict__["_written"] = True
+    return held
 
 
-def _remove() -> None:
+def is_written(frame: DataFrame) -> bool:
+    """Whether the frame is what ``materialise`` gave, with nothing done to it."""
+    return bool(frame.__dict__.get("_written"))
+
+
+def clear() -> None:
+    """Removes all files written so far. For long sessions: frames that read them can't be used any more."""
     for spark, path in _written:
         try:
             jvm = spark._jvm
@@ -41,6 +53,7 @@ def _remove() -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the session may have ended before
             pass
+    _written.clear()
 
 
-atexit.register(_remove)
+atexit.register(clear)
