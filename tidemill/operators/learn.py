@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.joins import sized_join
+from tidemill.sources.scratch import materialise
 
 #: Deepest tree there is; stands for "unlimited".
 DEEPEST = 30
+#: Split candidates of a feature; one with more different values is thinned to so many.
 BINS = 256
 CENTRES = "cluster int, centre array<double>, size long"
 
@@ -118,14 +120,15 @@ def _prepared(population: DataFrame, target: str, features: Sequence[str], balan
     return sized_join(rows, weights, "label_text")
 
 
-def tree_fit(population: DataFrame, target: str, identifier: str | None = None, max_depth: int | None = None, balanced: bool = False):
-    """A fitted pipeline of a gini decision tree over all other columns as numbers. Depth 0 or None is unlimited."""
+def tree_fit(population: DataFrame, target: str, identifier: str | None = None, max_depth: int | None = None, balanced: bool = False, bins: int = BINS):
+    """A fitted pipeline of a gini decision tree over all other columns as numbers. Depth 0 or None is unlimited. With at
+    least as many ``bins`` as a feature has different values every split between two of them is tried."""
     features = _features(population, target, identifier)
     rows = _prepared(population, target, features, balanced)
     stages = [
         StringIndexer(inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        DecisionTreeClassifier(maxDepth=min(max_depth or DEEPEST, DEEPEST), maxBins=BINS, weightCol="weight", seed=0),
+        DecisionTreeClassifier(maxDepth=min(max_depth or DEEPEST, DEEPEST), maxBins=bins, weightCol="weight", seed=0),
     ]
     return Pipeline(stages=stages).fit(rows)
 
@@ -185,7 +188,7 @@ def depths_of(text: str) -> list[int]:
     return [int(x) for x in text.split(";") if x.strip()]
 
 
-def tree_grid(population: DataFrame, target: str, identifier: str | None = None, depths: str = "3;5", balancing: str = "False", folds: int = 3) -> tuple[DataFrame, str]:
+def tree_grid(population: DataFrame, target: str, identifier: str | None = None, depths: str = "3;5", balancing: str = "False", folds: int = 3, bins: int = BINS) -> tuple[DataFrame, str]:
     """``rank, max_depth, balancing, mean_score, std_score`` of each setting over stratified folds, best first, and the
     best setting as JSON. ``depths`` as in ``depths_of``, ``balancing`` as ``"True;False"``."""
     features = _features(population, target, identifier)
@@ -196,7 +199,8 @@ def tree_grid(population: DataFrame, target: str, identifier: str | None = None,
         hashed = data.withColumn("h", F.xxhash64("label_text", *features)).withColumn("part", F.pmod(F.shiftright("h", 7), F.lit(1024)))
         turn = F.row_number().over(Window.partitionBy("label_text", "part").orderBy("h")) + F.col("part")
         buckets = hashed.withColumn("fold", F.pmod(turn, F.lit(folds)).cast("int")).drop("h", "part")
-        tree = DecisionTreeClassifier(maxBins=BINS, weightCol="weight", seed=0)
+        buckets = materialise(buckets, "folds")  # read by every fit
+        tree = DecisionTreeClassifier(maxBins=bins, weightCol="weight", seed=0)
         steps = [
             StringIndexer(inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc"),
             VectorAssembler(inputCols=list(features), outputCol="features"),

@@ -11,17 +11,21 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.joins import sized_join
 from tidemill.operators.readings import laid_out, ordinal
-from tidemill.sources.scratch import materialise
+from tidemill.sources.scratch import is_written, materialise
 
 #: Series in a block.
 BLOCK = 256
 #: Values of a series in a part.
 PART = 65_536
+#: Values that the series of a block hold together.
+HELD = 16_000_000
+#: Products of spectra that are held at a time.
+SPECTRA = 4_000_000
 
 
 def series_arrays(readings: DataFrame, equal: bool = False, part_rows: int | None = None) -> DataFrame:
@@ -43,9 +47,10 @@ def series_arrays(readings: DataFrame, equal: bool = False, part_rows: int | Non
 
 def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], block: int = BLOCK) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``) and the kernel's columns for all pairs of series and parts. The kernel gets two
-    lists of arrays and gives matrices. Each part of a pair of blocks is one task's work."""
-    total = arrays.select("series_id").distinct().count()
-    blocks = max(1, -(-total // block))
+    lists of arrays and gives matrices. Each part of a pair of blocks is one task's work; blocks of long series are smaller."""
+    arrays = arrays if is_written(arrays) else materialise(arrays, "arrays")
+    total, longest = arrays.agg(F.count_distinct("series_id"), F.coalesce(F.max(F.size("values")), F.lit(0))).first()
+    blocks = max(1, -(-total // max(1, min(block, HELD // max(1, longest)))))
     placed = arrays.withColumn("h", F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"))
     # a series goes to every pair of blocks with its own: first or second of the pair
     ids = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -147,19 +152,40 @@ def cross_correlation(readings: DataFrame, lag_max: int | None = None) -> DataFr
         n = a.shape[1]
         reach = n - 1 if lag_max is None or lag_max < 0 or lag_max > n - 1 else lag_max
         low, high = np.full((len(a), len(b)), np.inf), np.full((len(a), len(b)), -np.inf)
-        for lag in range(-reach, reach + 1):
-            c = a[:, max(0, lag) : n + min(0, lag)] @ b[:, max(0, -lag) : n - max(0, lag)].T
-            low, high = np.minimum(low, c), np.maximum(high, c)
+        if reach < n - 1:
+            for lag in range(-reach, reach + 1):
+                c = a[:, max(0, lag) : n + min(0, lag)] @ b[:, max(0, -lag) : n - max(0, lag)].T
+                low, high = np.minimum(low, c), np.maximum(high, c)
+        else:  # all lags at once; over these the products sum to 0, so that places beyond them, which are 0, don't matter
+            size = 1 << (2 * n - 1).bit_length()
+            fa, fb = np.fft.rfft(a, size), np.conj(np.fft.rfft(b, size))
+            step = max(1, SPECTRA // size)
+            for i in range(len(a)):
+                for j in range(0, len(b), step):
+                    c = np.fft.irfft(fa[i] * fb[j : j + step], size)
+                    low[i, j : j + step], high[i, j : j + step] = c.min(axis=1), c.max(axis=1)
         return [np.where(np.abs(low) > high + 1e-12, low, high)]
 
     return pairwise(series_arrays(readings, equal=True), kernel, ["correlation"])
 
 
+def natural_key(text: Column) -> Column:
+    """A key that orders texts with their digits taken as numbers: ``v2`` before ``v10``."""
+    runs = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def padded(x: Column) -> Column:
+        bare = F.ltrim(x, F.lit("0"))
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), F.lit(" "), bare)).otherwise(x)
+
+    keys = F.transform(runs, padded)
+    return F.when(text.rlike("^[0-9]"), F.concat(F.array(F.lit("")), keys)).otherwise(keys)
+
+
 def correlation_by_context(readings: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Correlations of variables within contexts, and their mean and variance over contexts.
 
-    ``series`` has ``series_id, context, variable``. Gives ``context, var_a, var_b, id_a, id_b, correlation`` (pairs with
-    ``var_a <= var_b``, the same variable too), and per pair ``var_a, var_b, mean_correlation, variance, contexts``
+    ``series`` has ``series_id, context, variable``. Gives ``context, var_a, var_b, id_a, id_b, correlation`` (pairs in
+    natural order, the same variable too), and per pair ``var_a, var_b, mean_correlation, variance, contexts``
     over the contexts where the correlation is defined (NaN where none). Series are aligned by position and cut to the
     shorter; a constant series has no correlation (NaN). Series without context or variable, and contexts with one
     series, are left out; two series of one variable in a context are a ValueError. Readings meet within a context and
@@ -173,7 +199,8 @@ def correlation_by_context(readings: DataFrame, series: DataFrame) -> tuple[Data
     rows = ordinal(laid_out(readings)).select("series_id", "idx", "v").join(chosen, "series_id")
     a = rows.select("context", "idx", F.col("series_id").alias("id_a"), F.col("variable").alias("var_a"), F.col("v").alias("x"))
     b = rows.select("context", "idx", F.col("series_id").alias("id_b"), F.col("variable").alias("var_b"), F.col("v").alias("y"))
-    met = a.join(b, ["context", "idx"]).where("var_a <= var_b")
+    in_order = F.struct(natural_key(F.col("var_a")), F.col("var_a")) <= F.struct(natural_key(F.col("var_b")), F.col("var_b"))
+    met = a.join(b, ["context", "idx"]).where(in_order)
     moments = met.groupBy("context", "var_a", "var_b", "id_a", "id_b").agg(
         F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"),
         (F.min("x") == F.max("x")).alias("flat_x"), (F.min("y") == F.max("y")).alias("flat_y"),
@@ -190,13 +217,67 @@ def correlation_by_context(readings: DataFrame, series: DataFrame) -> tuple[Data
 
 
 def context_profiles(each: DataFrame, digits: int = 4) -> DataFrame:
-    """Per pair of variables ``var_a, var_b, profile``: JSON of the contexts in order with the rounded correlation
+    """Per pair of variables ``var_a, var_b, profile``: JSON of the contexts in natural order with the rounded correlation
     (``"NaN"`` where undefined) and the two series."""
     shown = F.when(F.isnan("correlation"), F.lit("NaN")).otherwise(F.round("correlation", digits).cast("string"))
-    entry = F.struct("context", shown.alias("correlation"), "id_a", "id_b")
-    return each.groupBy("var_a", "var_b").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("profile"))
+    entry = F.struct(natural_key(F.col("context")).alias("key"), F.struct("context", shown.alias("correlation"), "id_a", "id_b").alias("entry"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["entry"])
+    return each.groupBy("var_a", "var_b").agg(F.to_json(listed).alias("profile"))
+
+
+def _link() -> Column:
+    """What a pair of variables is referred to by."""
+    return F.md5(F.concat_ws("\u0000", "var_a", "var_b"))
+
+
+def correlation_documents(each: DataFrame, label: str = "context", digits: int = 4) -> DataFrame:
+    """Per pair of variables ``link, var_a, var_b, document``: JSON with ``variables``, ``x_value`` (the contexts in natural
+    order), ``y_values`` (the rounded correlations, null where undefined) and ``ts_lists`` (the pairs of series)."""
+    r = F.when(~F.isnan("correlation"), F.round("correlation", digits))
+    entry = F.struct(natural_key(F.col("context")).alias("key"), F.col("context").alias("x"), r.alias("y"), F.array("id_a", "id_b").alias("ids"))
+    pairs = each.groupBy("var_a", "var_b").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    of = lambda name: F.transform("rows", lambda x: x[name])
+    document = F.to_json(F.struct(
+        F.array("var_a", "var_b").alias("variables"),
+        F.struct(F.struct(F.lit(label).alias("label")).alias("desc"), of("x").alias("data")).alias("x_value"),
+        F.array(F.struct(F.struct(F.lit("Pearson correlation").alias("label")).alias("desc"), of("y").alias("data"))).alias("y_values"),
+        of("ids").alias("ts_lists"),
+    ))
+    return pairs.select(_link().alias("link"), "var_a", "var_b", document.alias("document"))
+
+
+def correlation_dataset(each: DataFrame, summary: DataFrame, label: str = "context") -> DataFrame:
+    """One row ``document``: JSON with the ``variables`` in natural order, the ``context`` (its name and how many there are)
+    and three triangular ``matrices``, whose row i holds the cells from the diagonal on: mean correlations (1.0 on the
+    diagonal where undefined), variances (0.0 there) and the links of ``correlation_documents``. Undefined cells are null."""
+    contexts = each.agg(F.count_distinct("context")).first()[0]
+    cell = F.struct(
+        F.concat_ws("\u0000", "var_a", "var_b").alias("key"), F.struct(F.nanvl("mean_correlation", F.lit(None)).alias("mean"), F.nanvl("variance", F.lit(None)).alias("variance"), _link().alias("link"))
+    )
+    whole = summary.agg(F.collect_set("var_a").alias("a"), F.collect_set("var_b").alias("b"), F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    keyed = F.transform(F.array_union("a", "b"), lambda x: F.struct(natural_key(x).alias("key"), x.alias("name")))
+    named = whole.select("cells", F.transform(F.array_sort(keyed), lambda x: x["name"]).alias("variables"))
+
+    def triangle(field: str, diagonal: float | None) -> Column:
+        def at(a: Column, b: Column) -> Column:
+            found = F.try_element_at("cells", F.concat_ws("\u0000", a, b))[field]
+            return found if diagonal is None else F.coalesce(found, F.when(a == b, F.lit(diagonal)))
+
+        rest = lambda a: F.slice("variables", F.array_position("variables", a).cast("int"), F.size("variables"))
+        return F.transform("variables", lambda a: F.transform(rest(a), lambda b: at(a, b)))
+
+    def matrix(desc: Column, data: Column) -> Column:
+        return F.to_json(F.struct(desc.alias("desc"), data.alias("data")))
+
+    matrices = F.concat_ws(
+        ",", matrix(F.struct(F.lit("Mean Correlation").alias("label")), triangle("mean", 1.0)), matrix(F.struct(F.lit("Variance").alias("label")), triangle("variance", 0.0)),
+        matrix(F.struct(F.lit(True).alias("is_rid_link")), triangle("link", None)),
+    )
+    about = F.struct(F.lit(label).alias("identifier"), F.lit(contexts).alias("number_of_contexts"), F.lit(label).alias("label"))
+    document = F.concat(F.lit('{"variables":'), F.to_json("variables"), F.lit(',"context":'), F.to_json(about), F.lit(',"matrices":['), matrices, F.lit("]}"))
+    return named.select(document.alias("document"))
 
 
 __all__ = [
-    "context_profiles", "correlation_by_context", "correlation_matrix", "cross_correlation", "euclidean_distances", "pairwise", "series_arrays",
+    "context_profiles", "correlation_by_context", "correlation_dataset", "correlation_documents", "correlation_matrix", "cross_correlation", "euclidean_distances", "natural_key", "pairwise", "series_arrays",
 ]

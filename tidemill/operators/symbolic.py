@@ -14,6 +14,7 @@ from tidemill.functions.batches import whole_groups
 from tidemill.functions.ranks import exact_percentiles
 from tidemill.operators.readings import join_by_series, laid_out, ordinal, window_blocks, window_starts
 from tidemill.operators.transform import scale
+from tidemill.sources.scratch import materialise
 
 #: Digits to which averages and break points count, so that a tie doesn't hang on the last bit.
 DIGITS = 9
@@ -262,10 +263,10 @@ def window_averages(windows: DataFrame, paa_size: int) -> DataFrame:
 
 
 def words_of_windows(windows: DataFrame, paa_size: int, alphabet: int) -> tuple[DataFrame, list[float]]:
-    """The windows with ``paa`` and ``word``, and the break points: exact percentiles of all averages of all windows. A
-    letter counts those at or below the average. Only the break points come to the driver."""
+    """The windows (without ``values, times``) with ``paa`` and ``word``, and the break points: exact percentiles of all
+    averages of all windows. A letter counts those at or below the average. Only the break points come to the driver."""
     _checked(alphabet, 2, 26, "the alphabet")
-    averaged = window_averages(windows, paa_size)
+    averaged = materialise(window_averages(windows, paa_size).drop("values", "times"), "averages")
     every = averaged.select(F.explode("paa").alias("x"))
     breaks = [round(x, DIGITS) for x in exact_percentiles(every, "x", [k / alphabet for k in range(1, alphabet)])]
     marks = F.array(*(F.lit(b) for b in breaks))
