@@ -9,6 +9,7 @@ from tidemill.functions.expand import each_value
 from tidemill.functions.joins import sized_join
 from tidemill.functions.predicate import criterion
 from tidemill.operators.readings import DAY_MS, consecutive, laid_out, ordinal, valid_readings
+from tidemill.sources.scratch import materialise
 from tidemill.sources.tables import by_dataset
 
 
@@ -120,7 +121,7 @@ def cut_by_metric(
     parts of ``TOGETHER`` or so, each with the runs.
     """
     group = F.lit("no_group") if group_by is None else F.element_at("tags", group_by)
-    members = series.select("series_id", "fid", "metric", group.alias("group"))
+    members = materialise(series.select("series_id", "fid", "metric", group.alias("group")), "members")
     if members.where(F.col("group").isNull()).limit(1).count():
         raise ValueError(f"a series has no {group_by}")
     is_reference = F.col("metric") == metric

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.batches import whole_groups
 from tidemill.functions.joins import sized_join
-from tidemill.operators.readings import CHUNK, consecutive, in_day, join_by_series, laid_out, of_source, ordinal, running_total
+from tidemill.operators.readings import CHUNK, STRETCH, consecutive, in_day, join_by_series, laid_out, of_source, ordinal, running_total
 
-#: Readings up to which a window's mean is taken over its frame; longer ones use sums by day.
+#: Readings up to which a window's mean is taken by itself; longer ones are differences of running sums.
 FRAME = 64
+#: Readings up to which windows are taken in blocks of a series; longer ones use sums by day.
+LONG = 1_000_000
 ALIGNMENTS = ("left", "center", "right")
 
 
@@ -64,11 +69,7 @@ def unwrap(readings: DataFrame, unit: str = "Radians", discontinuity: str | floa
 
 def rolling_mean(readings: DataFrame, size: int, alignment: str = "center") -> DataFrame:
     """Means of ``size`` consecutive readings, stamped at the first, the middle (place ``size // 2``) or the last of them.
-    A series of n readings gives n - size + 1; one of no more than ``size`` readings gives none; size 1 changes nothing.
-
-    Windows within a day are taken in the day's partition. Those across midnight only hold the first and last
-    ``size - 1`` readings of days, and are taken over these.
-    """
+    A series of n readings gives n - size + 1; one of no more than ``size`` readings gives none; size 1 changes nothing."""
     if size < 1:
         raise ValueError("a window holds at least one reading")
     if alignment not in ALIGNMENTS:
@@ -76,32 +77,48 @@ def rolling_mean(readings: DataFrame, size: int, alignment: str = "center") -> D
     rows = laid_out(readings)
     if size == 1:
         return rows.select("series_id", "t", "v")
-    place = ordinal(rows)
-    if size > FRAME:
-        lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("series_id")
-        return _joined_means(join_by_series(place, lengths, readings).withColumn("size", F.lit(size).cast("long")), alignment)
-    offset = {"left": 0, "center": size // 2, "right": size - 1}[alignment]
-
-    def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy("t")
-        ahead = order.rowsBetween(0, size - 1)
-        return frame.select(
-            "series_id",
-            (F.lead("t", offset).over(order) if offset else F.col("t")).alias("at"),
-            F.avg("v").over(ahead).alias("mean"),
-            "idx",
-            F.lead("idx", size - 1).over(order).alias("last_idx"),
-            "day_no",
-            F.lead("day_no", size - 1).over(order).alias("last_day"),
-        ).where(F.col("last_idx") == F.col("idx") + size - 1)
-
-    back = Window.partitionBy(*CHUNK).orderBy(F.col("t").desc())
-    near = (F.row_number().over(in_day()) < size) | (F.row_number().over(back) < size)
-    edges = place.withColumn("near", near).where("near").drop("near")
-    across = windows(edges, ["series_id"]).where("day_no <> last_day")
-    means = windows(place, CHUNK).unionByName(across)
-    lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("series_id")
-    return join_by_series(means, lengths, readings).select("series_id", F.col("at").alias("t"), F.col("mean").alias("v"))
+    lengths = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    sizes = lengths.select("series_id", F.lit(size).cast("long").alias("size"))
+    return _means(join_by_series(ordinal(rows), sizes, readings), alignment, size > LONG)
+
+
+def _means(place: DataFrame, alignment: str, some_long: bool) -> DataFrame:
+    """Means of windows of ``size`` (a column, the same for all of a series) readings, from rows with ``idx``. Windows of no
+    more than ``LONG`` readings are taken in blocks of a series, longer ones by the sums of days."""
+    short = _block_means(place.where(F.col("size") <= LONG) if some_long else place, alignment)
+    return short.unionByName(_joined_means(place.where(F.col("size") > LONG), alignment)) if some_long else short
+
+
+def _block_means(place: DataFrame, alignment: str) -> DataFrame:
+    """Each reading goes to the block that its window starts in, and to that before where windows reach over from it."""
+    width = F.greatest(F.col("size") * 4, F.lit(STRETCH).cast("long"))
+    rows = place.select("series_id", "idx", "t", "v", "size", width.alias("width"))
+    low = F.greatest(F.expr("(idx - size + 1) div width"), F.lit(0).cast("long"))
+    spread = rows.select("series_id", "idx", "t", "v", "size", "width", F.explode(F.sequence(low, F.expr("idx div width"))).alias("block"))
+    blocks = spread.repartition("series_id", "block").sortWithinPartitions("series_id", "block", "idx")
+
+    def kernel(table: pa.Table, first: np.ndarray) -> pa.Table:
+        t, v, idx, size, width, block = (table.column(c).to_numpy() for c in ("t", "v", "idx", "size", "width", "block"))
+        starts, sums, stamps = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        begins = np.flatnonzero(first)
+        for a, b in zip(begins, [*begins[1:], len(v)], strict=True):
+            n = int(size[a])
+            count = min(b - a - n + 1, int((block[a] + 1) * width[a] - idx[a]))
+            if count <= 0:
+                continue
+            part = v[a : a + count + n - 1]
+            if n <= FRAME:
+                means = np.lib.stride_tricks.sliding_window_view(part, n).mean(axis=1)
+            else:
+                upto = np.concatenate([[0.0], np.cumsum(part - part[0])])
+                means = part[0] + (upto[n:] - upto[:-n]) / n
+            starts.append(np.arange(a, a + count))
+            sums.append(means)
+            stamps.append(t[a + {"left": 0, "center": n // 2, "right": n - 1}[alignment] :][:count])
+        at = np.concatenate(starts)
+        return pa.table([table.column("series_id").take(pa.array(at)), pa.array(np.concatenate(stamps)), pa.array(np.concatenate(sums))], ["series_id", "t", "v"])
+
+    return blocks.select("series_id", "idx", "t", "v", "size", "width", "block").mapInArrow(whole_groups(["series_id", "block"], kernel), "series_id string, t long, v double")
 
 
 def _joined_means(place: DataFrame, alignment: str) -> DataFrame:
@@ -145,7 +162,8 @@ def rolling_mean_period(readings: DataFrame, periods: DataFrame, window_period:
     size = F.ceil(F.lit(window_period) / F.col("period")).cast("long")
     sizes = sized_join(lengths, periods.where("period > 0").select("series_id", size.alias("size")), "series_id")
     sizes = sizes.where((F.col("n") > F.col("size")) | (F.col("size") == 1)).select("series_id", "size")
-    return _joined_means(join_by_series(ordinal(rows), sizes, readings), alignment)
+    shortest = periods.where("period > 0").agg(F.min("period")).first()[0] or window_period
+    return _means(join_by_series(ordinal(rows), sizes, readings), alignment, window_period / shortest > LONG)
 
 
 def scale(readings: DataFrame, with_mean: bool = True, with_std: bool = True, floor: Column | None = None) -> DataFrame:

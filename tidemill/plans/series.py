@@ -74,7 +74,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {VALID} SELECT series_id, t, v FROM valid WHERE t BETWEEN {START} AND {END}")
 def cut_range(spark, d):
-    return cut.cut_range(readings(spark, d), START, END).select("series_id", "t", "v")
+    return cut.cut_points(table(spark, d, "points"), START, END).select("series_id", "t", "v")
 
 
 @query(f"""WITH {VALID} SELECT series_id, t, v FROM (
@@ -178,10 +178,10 @@ for _alignment, _offset in (("left", 0), ("center", 2), ("right", 4)):
 
 
 @query(f"""WITH {VALID}, {_PER}, i AS (
-      SELECT series_id, t, v, row_number() OVER w AS idx, count(*) OVER (PARTITION BY series_id) AS n, sum(v) OVER (w ROWS UNBOUNDED PRECEDING) AS c,
-        CAST(ceil(21600000 / period) AS BIGINT) AS size FROM valid JOIN per USING (series_id) WHERE period > 0 WINDOW w AS (PARTITION BY series_id ORDER BY t))
-    SELECT a.series_id, a.t, {s_("(b.c - a.c + a.v) / a.size", 4)} AS v FROM i a JOIN i b ON a.series_id = b.series_id AND b.idx = a.idx + a.size - 1
-    WHERE a.n > a.size OR a.size = 1""")
+      SELECT series_id, t, v, period, count(*) OVER (PARTITION BY series_id) AS n, sum(v) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS c,
+        CAST(ceil(21600000 / period) AS BIGINT) AS size FROM valid JOIN per USING (series_id) WHERE period > 0),
+    b AS (SELECT *, lead(c, size - 1) OVER (PARTITION BY series_id ORDER BY t) AS upto FROM i)
+    SELECT series_id, t, {s_("(upto - c + v) / size", 4)} AS v FROM b WHERE upto IS NOT NULL AND (n > size OR size = 1)""")
 def rollmean_period(spark, d):
     """Means over six hours."""
     rows = transform.rolling_mean_period(readings(spark, d), materialise(periods(spark, d), "periods"), 6 * HOUR)
@@ -237,15 +237,20 @@ def quality_values(spark, d):
     return rows.withColumns({"qual_average": settled("qual_average"), "qual_variance": settled("qual_variance", 3)})
 
 
-@query(f"""WITH {VALID}, g AS (SELECT series_id, lead(t) OVER (PARTITION BY series_id ORDER BY t) - t AS gap FROM valid),
+_GAPS = f"""{VALID}, g AS (SELECT series_id, lead(t) OVER (PARTITION BY series_id ORDER BY t) - t AS gap FROM valid),
     h AS (SELECT series_id, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, gap) AS k FROM h)
-    SELECT series_id, max(gap) FILTER (k = 1) AS qual_ref_period, min(gap) AS qual_min_period, max(gap) AS qual_max_period,
-      {s_("sum(gap * n) / sum(n)")} AS qual_average_period,
-      '{{' || string_agg('"' || gap || '":' || n, ',' ORDER BY k) FILTER (k <= 20) || '}}' AS qual_hist_period FROM r GROUP BY series_id""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, gap) AS k, sum(n) OVER (PARTITION BY series_id) AS total FROM h),
+    gaps AS (
+      SELECT series_id, max(gap) FILTER (k = 1) AS qual_ref_period, min(gap) AS qual_min_period, max(gap) AS qual_max_period,
+        {s_("sum(gap * n) / sum(n)")} AS qual_average_period,
+        '{{' || string_agg('"' || gap || '":' || n, ',' ORDER BY k) FILTER (k <= 20) || '}}' AS qual_hist_period,
+        '{{' || string_agg('"' || gap || '":' || round(n * 100.0::DOUBLE / total, 3), ',' ORDER BY k) FILTER (k <= 20) || '}}' AS qual_hist_period_percent
+      FROM r GROUP BY series_id)"""
+
+
+@query(f"WITH {_GAPS} SELECT * FROM gaps")
 def quality_time(spark, d):
-    rows = describe.quality_time(readings(spark, d)).drop("qual_hist_period_percent")
-    return rows.withColumn("qual_average_period", settled("qual_average_period"))
+    return describe.quality_time(readings(spark, d)).withColumn("qual_average_period", settled("qual_average_period"))
 
 
 @query(f"""WITH {VALID} SELECT series_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS nb_points FROM valid GROUP BY ALL""")
@@ -265,13 +270,25 @@ def paa(spark, d):
 
 @query(f"""WITH {VALID}, {_SEGMENTS}, r AS (SELECT series_id, segment, round(mean, 9) AS x FROM seg),
     q AS (SELECT series_id, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS b FROM r GROUP BY ALL)
-    SELECT series_id, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x > round(y, 9))) AS INT)), '' ORDER BY segment) AS word
-    FROM r JOIN q USING (series_id) GROUP BY ALL""")
+    SELECT series_id, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x > round(y, 9))) AS INT)), '' ORDER BY segment) AS word,
+      string_agg(printf('%.3f', {s_("x", 3)}), ' ' ORDER BY segment) AS averages,
+      any_value(array_to_string(list_transform(b, lambda y: printf('%.3f', {s_("y", 3)})), ' ')) AS breaks
+    FROM r JOIN q USING (series_id) GROUP BY series_id""")
 def sax(spark, d):
-    return symbolic.sax(readings(spark, d), 8, ALPHABET).select("series_id", "word")
-
-
-@query()
+    shown = lambda name: F.array_join(F.transform(name, lambda x: F.format_string("%.3f", settled(x, 3))), " ")
+    return symbolic.sax(readings(spark, d), 8, ALPHABET).select("series_id", "word", shown("paa").alias("averages"), shown("breakpoints").alias("breaks"))
+
+
+@query(f"""WITH RECURSIVE {VALID}, i AS (SELECT series_id, t, v, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS idx FROM valid),
+    b AS (SELECT series_id, min(t) AS t0, max(t) AS t1 FROM valid GROUP BY ALL),
+    f AS (SELECT series_id, k, t0, t1, count(*) FILTER (t <= round_even(t0 + (t1 - t0) / 8 * (k + 1), 0)) AS c
+          FROM i JOIN b USING (series_id) CROSS JOIN (SELECT unnest(range(8)) AS k) GROUP BY ALL),
+    o AS (SELECT series_id, k, t0, t1, c AS opens FROM f WHERE k = 0
+          UNION ALL SELECT f.series_id, f.k, f.t0, f.t1, greatest(f.c, o.opens + 1) FROM o JOIN f ON f.series_id = o.series_id AND f.k = o.k + 1),
+    p AS (SELECT i.series_id, idx, v, t0, t1, CAST(count(*) FILTER (opens <= idx) AS INT) AS segment FROM i JOIN o USING (series_id) GROUP BY ALL),
+    m AS (SELECT series_id, segment, t0, t1, avg(v) AS mean FROM p GROUP BY ALL),
+    z AS (SELECT *, max(segment) OVER (PARTITION BY series_id) AS last FROM m)
+    SELECT series_id, segment, {s_("mean")} AS mean FROM z WHERE segment < last OR round_even(t0 + (t1 - t0) / 8 * (segment + 1), 0) >= t1""")
 def paa_sequential(spark, d):
     rows = symbolic.paa_sequential(readings(spark, d), 8)
     return rows.withColumn("mean", settled("mean"))
@@ -288,10 +305,29 @@ _WINDOWED = f"""{VALID}, i AS (
     w AS (SELECT series_id, rank, min(t) AS start_ms, max(t) AS end_ms, avg(v) AS local_mean, stddev_pop(v) AS local_std FROM m GROUP BY ALL)"""
 
 
-@query(f"WITH {_WINDOWED} SELECT series_id, rank, start_ms, {s_('local_mean')} AS local_mean, {s_('local_std', 4)} AS local_std FROM w")
+_SCALED = "(v - local_mean) / CASE WHEN local_std = 0 THEN 1 ELSE local_std END"
+
+
+@query(f"""WITH {_WINDOWED} SELECT series_id, rank, start_ms, end_ms, {s_("local_mean")} AS local_mean, {s_("local_std", 4)} AS local_std,
+      {s_(f"min({_SCALED})", 5)} AS lowest, {s_(f"max({_SCALED})", 5)} AS highest, {s_(f"sum({_SCALED} * (t - start_ms) / 1e9)", 3)} AS along
+    FROM m JOIN w USING (series_id, rank) GROUP BY ALL""")
 def sliding_windows(spark, d):
-    rows = _windows(spark, d)
-    return rows.select("series_id", "rank", "start_ms", settled("local_mean").alias("local_mean"), settled("local_std", 4).alias("local_std"))
+    """The windows, with figures of their values and times."""
+    ahead = F.transform("times", lambda t: (t - F.col("start_ms")) / 1e9)
+    along = F.aggregate(F.zip_with("values", ahead, lambda x, t: x * t), F.lit(0.0), lambda s, x: s + x)
+    return _windows(spark, d).select(
+        "series_id", "rank", "start_ms", F.element_at("times", -1).alias("end_ms"), settled("local_mean").alias("local_mean"), settled("local_std", 4).alias("local_std"),
+        settled(F.array_min("values"), 5).alias("lowest"), settled(F.array_max("values"), 5).alias("highest"), settled(along, 3).alias("along"),
+    )
+
+
+@query(f"""WITH {_WINDOWED}, l AS (
+      SELECT series_id, rank, any_value(start_ms) AS start_ms, any_value(local_std) AS dev, covar_pop(v, t - start_ms) AS c, var_pop(t - start_ms) AS vt
+      FROM m JOIN w USING (series_id, rank) GROUP BY series_id, rank)
+    SELECT series_id, rank, start_ms FROM l WHERE dev > 0.005 AND coalesce(c * c / nullif(dev * dev * vt, 0), 0) < 0.95""")
+def sliding_windows_linear(spark, d):
+    """Without near-linear windows."""
+    return _windows(spark, d, linear=(0.005, 0.95)).select("series_id", "rank", "start_ms")
 
 
 @query()
@@ -301,9 +337,18 @@ def sliding_windows_filtered(spark, d):
     return rows.select("series_id", "rank", "start_ms")
 
 
-@query()
+_PARTS = f"""{_WINDOWED}, p AS (
+      SELECT m.series_id, m.rank, least(greatest(CAST(ceil((t - start_ms) / ((end_ms - start_ms) / {PAA})) AS INT) - 1, 0), {PAA - 1}) AS part,
+        round(avg({_SCALED}), 9) AS x
+      FROM m JOIN w USING (series_id, rank) GROUP BY ALL),
+    f AS (SELECT series_id, rank, part, last_value(x IGNORE NULLS) OVER (PARTITION BY series_id, rank ORDER BY part) AS x
+          FROM (SELECT series_id, rank, unnest(range({PAA})) AS part FROM w) LEFT JOIN p USING (series_id, rank, part))"""
+
+
+@query(f"""WITH {_PARTS}, q AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS b FROM f)
+    SELECT series_id, rank, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x >= round(y, 9))) AS INT)), '' ORDER BY part) AS word FROM f, q GROUP BY series_id, rank""")
 def window_words(spark, d):
-    words, _ = symbolic.words_of_windows(materialise(_windows(spark, d), "windows"), PAA, ALPHABET)
+    words, _ = symbolic.words_of_windows(_windows(spark, d), PAA, ALPHABET)
     return words.select("series_id", "rank", "word")
 
 
@@ -337,11 +382,32 @@ def collisions_all(spark, d):
     return motif.collisions(symbolic.sax(readings(spark, d), 8, ALPHABET, fill=True), 2, word_size=8)
 
 
+def _motifs(spark, d, **how) -> DataFrame:
+    return motif.motifs(readings(spark, d), motif.MotifSettings(WINDOW, 0.5, PAA, ALPHABET, collision_places=2, radius=1.0, **how))
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.groupBy("pattern_id", "regex", "words", "length").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_distinct("location.series_id").alias("series"), F.min("location.t").alias("first_t"), F.round(F.avg("location.dev"), 6).alias("dev")
+    )
+
+
 @query()
 def motifs(spark, d):
-    """The recurring patterns and how many windows each has."""
-    found = motif.motifs(readings(spark, d), motif.MotifSettings(WINDOW, 0.5, PAA, ALPHABET, collision_places=2, radius=1.0))
-    return found.groupBy("pattern_id", "regex", "words", "length").agg(F.count(F.lit(1)).alias("windows"))
+    """The recurring patterns and where they are, in figures."""
+    return _listed(_motifs(spark, d))
+
+
+@query()
+def motifs_iterative(spark, d):
+    """Groups around the pairs of words that collide most, the greatest counts first, under a third of the masks."""
+    return _listed(_motifs(spark, d, iterative=True, iterations=3, collision_share=0.34))
+
+
+@query()
+def motifs_brute_force(spark, d):
+    """Groups of all words near a seed, whether they collide or not, of series scaled as a whole."""
+    return _listed(_motifs(spark, d, by_collisions=False, global_norm=True, collision_share=0.34))
 
 
 def _pattern(spark, d) -> list[float]:
@@ -426,7 +492,11 @@ def cross_correlation(spark, d):
     return rows.where(~F.isnan("correlation")).withColumn("correlation", settled("correlation"))
 
 
-@query()
+@query(f"""WITH {_ALIGNED}, m AS (SELECT series_id, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n, min(v) = max(v) AS flat FROM e GROUP BY ALL),
+    z AS (SELECT series_id, idx, n, CASE WHEN flat THEN 'nan'::DOUBLE ELSE (v - m) / s END AS z FROM e JOIN m USING (series_id)),
+    l AS (SELECT a.series_id AS id_a, b.series_id AS id_b, a.idx - b.idx AS lag, sum(a.z * b.z) / any_value(a.n) AS c
+          FROM z a JOIN z b ON a.series_id < b.series_id GROUP BY ALL)
+    SELECT id_a, id_b, {s_("CASE WHEN isnan(max(c)) THEN 'nan'::DOUBLE WHEN abs(min(c)) > max(c) + 1e-12 THEN min(c) ELSE max(c) END")} AS correlation FROM l GROUP BY ALL""")
 def cross_correlation_all(spark, d):
     """At all lags and with the cells of constant series, which are NaN; ``cross_correlation`` looks at lags up to 5 alone."""
     return relate.cross_correlation(readings(spark, d)).withColumn("correlation", settled("correlation"))
@@ -463,10 +533,39 @@ def correlation_each_context(spark, d):
     return each.select("context", "var_a", "var_b", settled("correlation", 4).alias("correlation"))
 
 
-@query()
+@query(f"""{_CONTEXT} SELECT var_a, var_b, CAST(row_number() OVER (PARTITION BY var_a, var_b ORDER BY user_id) - 1 AS INT) AS place, CAST(user_id AS VARCHAR) AS context,
+      round(c, 4) AS correlation, user_id || '|' || var_a AS id_a, user_id || '|' || var_b AS id_b FROM r""")
 def correlation_profiles(spark, d):
+    """The documents of all pairs of variables, read again: a row per context, in natural order."""
+    rows, series = event_readings(spark, d)
+    documents = relate.correlation_documents(relate.correlation_by_context(rows, series)[0])
+    kind = "struct<variables:array<string>,x_value:struct<data:array<string>>,y_values:array<struct<data:array<double>>>,ts_lists:array<array<string>>>"
+    read = documents.select("var_a", "var_b", F.from_json("document", kind).alias("j"))
+    each = read.select("var_a", "var_b", F.posexplode(F.arrays_zip(F.col("j.x_value.data").alias("x"), F.col("j.y_values")[0]["data"].alias("y"), F.col("j.ts_lists").alias("ids"))).alias("place", "e"))
+    return each.select("var_a", "var_b", "place", F.col("e.x").alias("context"), F.col("e.y").alias("correlation"), F.col("e.ids")[0].alias("id_a"), F.col("e.ids")[1].alias("id_b"))
+
+
+@query(f"""{_CONTEXT}, s AS (SELECT var_a, var_b, avg(c) AS mean, var_pop(c) AS variance FROM r GROUP BY ALL),
+    n AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT var_a AS v FROM s UNION SELECT var_b FROM s)),
+    m AS (SELECT 'Mean Correlation' AS matrix, var_a, var_b, coalesce(mean, CASE WHEN var_a = var_b THEN 1.0 END) AS x FROM s
+          UNION ALL SELECT 'Variance', var_a, var_b, coalesce(variance, CASE WHEN var_a = var_b THEN 0.0 END) FROM s)
+    SELECT matrix, a.v AS "row", b.v AS "column", CAST((SELECT count(DISTINCT user_id) FROM r) AS BIGINT) AS contexts, {s_("x")} AS x
+    FROM n a JOIN n b ON a.k <= b.k CROSS JOIN (SELECT DISTINCT matrix FROM m) k LEFT JOIN m USING (matrix) WHERE m.var_a = a.v AND m.var_b = b.v""")
+def correlation_dataset(spark, d):
+    """The result of the correlation loop, read again: a row per cell of its triangular matrices."""
     rows, series = event_readings(spark, d)
-    return relate.context_profiles(relate.correlation_by_context(rows, series)[0])
+    each, summary = relate.correlation_by_context(rows, series)
+    document = relate.correlation_dataset(materialise(each, "each"), materialise(summary, "summary"), "user")
+    kind = "struct<variables:array<string>,context:struct<number_of_contexts:long>,matrices:array<struct<desc:struct<label:string>,data:array<array<string>>>>>"
+    read = document.select(F.from_json("document", kind).alias("j"))
+    each = read.select("j.variables", "j.context.number_of_contexts", F.explode("j.matrices").alias("m")).where("m.desc.label IS NOT NULL")
+    lines = each.select("variables", "number_of_contexts", "m.desc.label", F.posexplode("m.data").alias("i", "line"))
+    cells = lines.select("variables", "number_of_contexts", "label", "i", F.posexplode("line").alias("j", "x"))
+    name = lambda k: F.element_at("variables", k + 1)
+    return cells.select(
+        F.col("label").alias("matrix"), name(F.col("i")).alias("row"), name(F.col("i") + F.col("j")).alias("column"), F.col("number_of_contexts").alias("contexts"),
+        settled(F.col("x").cast("double")).alias("x"),
+    )
 
 
 def _paa_vectors(spark, d) -> DataFrame:
@@ -481,8 +580,7 @@ def kmeans_paa(spark, d):
 
 @query()
 def kmeans_patterns(spark, d):
-    found = motif.motifs(readings(spark, d), motif.MotifSettings(WINDOW, 0.5, PAA, ALPHABET, collision_places=2, radius=1.0))
-    vectors = materialise(learn.pattern_vectors(found), "vectors")
+    vectors = materialise(learn.pattern_vectors(_motifs(spark, d)), "vectors")
     members, _ = learn.kmeans(vectors, "pattern_id", "paa", 3, seed=1)
     return members.select("pattern_id", "cluster")
 
@@ -545,20 +643,11 @@ def paa_series(spark, d):
     return _shown(symbolic.paa_series(readings(spark, d), 8))
 
 
-_SPREAD = f"""{_WINDOWED}, p AS (
-      SELECT m.series_id, m.rank, least(greatest(CAST(ceil((t - start_ms) / ((end_ms - start_ms) / {PAA})) AS INT) - 1, 0), {PAA - 1}) AS part,
-        avg((v - local_mean) / CASE WHEN local_std = 0 THEN 1 ELSE local_std END) AS x
-      FROM m JOIN w USING (series_id, rank) GROUP BY ALL)"""
-
-
-@query(f"""WITH {_SPREAD} SELECT series_id, rank, part, {s_("round(x, 9)", 5)} AS x FROM p""")
+@query(f"""WITH {_PARTS} SELECT series_id, rank, CAST(part AS INT) AS part, {s_("x", 5)} AS x FROM f""")
 def window_averages(spark, d):
-    """Averages of the parts of each window that hold readings."""
+    """Averages of the parts of each window; a part without readings repeats the one before."""
     rows = symbolic.window_averages(_windows(spark, d), PAA)
-    cells = rows.select("series_id", "rank", F.posexplode("paa").alias("part", "x"), "times")
-    # a part without readings repeats the one before; the comparison leaves it out
-    at = F.transform("times", lambda t: F.least(F.greatest(F.ceil((t - F.element_at("times", 1)) / ((F.element_at("times", -1) - F.element_at("times", 1)) / PAA)).cast("int") - 1, F.lit(0)), F.lit(PAA - 1)))
-    return cells.where(F.array_contains(at, F.col("part"))).select("series_id", "rank", "part", settled("x", 5).alias("x"))
+    return rows.select("series_id", "rank", F.posexplode("paa").alias("part", "x")).withColumn("x", settled("x", 5))
 
 
 @query(f"""WITH {VALID}, {_SEGMENTS}, full_ AS (SELECT series_id FROM seg GROUP BY ALL HAVING count(*) = 8), c AS (SELECT count(*) AS n FROM full_),
@@ -584,7 +673,25 @@ def collision_threshold_all(spark, d):
     return spark.createDataFrame([(n, float(value))], "sequences long, threshold double").withColumn("threshold", settled("threshold"))
 
 
-@query()
+@query(f"""WITH {VALID}, m AS (SELECT series_id, avg(v) AS m, stddev_pop(v) AS s FROM valid GROUP BY ALL),
+    raw AS (SELECT * FROM valid), scaled AS (SELECT series_id, t, (v - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS v FROM raw JOIN m USING (series_id)),
+    {_FILLED.replace("FROM valid", "FROM scaled")},
+    q AS (SELECT series_id, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS b FROM r GROUP BY ALL),
+    s AS (SELECT series_id, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x > round(y, 9))) AS INT)), '' ORDER BY segment) AS word FROM r JOIN q USING (series_id) GROUP BY ALL),
+    c AS (SELECT DISTINCT word FROM s), l AS (SELECT word, unnest(range(1, 9)) AS k FROM c),
+    d AS (SELECT word, k, ascii(word[k]) - 97 AS x FROM l),
+    e AS (SELECT a.word AS a, b.word AS b, count(*) FILTER (a.x = b.x) AS same,
+            sqrt(3 * sum(CASE WHEN abs(a.x - b.x) <= 1 THEN 0 ELSE pow([-0.84, -0.25, 0.25, 0.84][greatest(a.x, b.x)] - [-0.84, -0.25, 0.25, 0.84][least(a.x, b.x) + 1], 2) END)) AS far
+          FROM d a JOIN d b ON a.k = b.k AND a.word <> b.word GROUP BY ALL),
+    seeds AS (SELECT a, b FROM e WHERE a < b AND same >= 6 AND far < 2.0),
+    near AS (SELECT a, b FROM e WHERE same >= 2 AND far < 2.0),
+    g AS (SELECT s.a, s.b, n.b AS w FROM seeds s JOIN near n ON n.a = s.a UNION SELECT s.a, s.b, n.b FROM seeds s JOIN near n ON n.a = s.b
+          UNION SELECT a, b, a FROM seeds UNION SELECT a, b, b FROM seeds),
+    w AS (SELECT DISTINCT list_sort(list_distinct(list(w))) AS words FROM g GROUP BY a, b),
+    p AS (SELECT words, array_to_string(list_transform(range(1, 9), lambda k: list_sort(list_distinct(list_transform(words, lambda x: x[k])))), ' ') AS x,
+            list_transform(range(1, 9), lambda k: list_sort(list_distinct(list_transform(words, lambda x: x[k])))) AS letters FROM w)
+    SELECT array_to_string(words, ',') AS "group", array_to_string(list_transform(letters, lambda y: CASE len(y) WHEN 1 THEN y[1] WHEN {ALPHABET} THEN '*'
+      ELSE '[' || array_to_string(y, '') || ']' END), '') AS regex FROM p""")
 def recognition(spark, d):
     """Groups of series' words around the pairs that collide most."""
     words = materialise(symbolic.sax(transform.scale(readings(spark, d)), 8, ALPHABET, fill=True), "words")
@@ -594,15 +701,21 @@ def recognition(spark, d):
     return groups.select(F.array_join("words", ",").alias("group"), motif.pattern_regex(F.col("words"), ALPHABET).alias("regex"))
 
 
-@query(f"""WITH {VALID} SELECT series_id, min(v) AS qual_min_value, max(v) AS qual_max_value, count(*) AS qual_nb_points FROM valid GROUP BY ALL HAVING count(*) > 1""")
+@query(f"""WITH {_GAPS} SELECT series_id, min(v) AS qual_min_value, max(v) AS qual_max_value, count(*) AS qual_nb_points, {s_("avg(v)")} AS qual_average,
+      {s_("CASE WHEN min(v) = max(v) THEN 0 ELSE var_pop(v) END", 3)} AS qual_variance, any_value(qual_ref_period) AS qual_ref_period, any_value(qual_min_period) AS qual_min_period,
+      any_value(qual_max_period) AS qual_max_period, any_value(qual_average_period) AS qual_average_period, any_value(qual_hist_period) AS qual_hist_period,
+      any_value(qual_hist_period_percent) AS qual_hist_period_percent
+    FROM valid LEFT JOIN gaps USING (series_id) GROUP BY series_id""")
 def quality_both(spark, d):
-    rows = describe.quality(readings(spark, d)).where(F.col("qual_ref_period").isNotNull())
-    return rows.select("series_id", "qual_min_value", "qual_max_value", "qual_nb_points")
+    rows = describe.quality(readings(spark, d))
+    return rows.withColumns({"qual_average": settled("qual_average"), "qual_variance": settled("qual_variance", 3), "qual_average_period": settled("qual_average_period")})
 
 
 @query(f"""WITH {VALID}, p AS (SELECT series_id, t, lead(t) OVER (PARTITION BY series_id ORDER BY t) AS nt FROM valid)
     SELECT coalesce(fid, series_id) || '_slope' AS fid, series_id AS parent_id, metric, min(t) AS start_ms, max(t) AS end_ms,
-      count(*) AS nb_points, ref_period FROM p LEFT JOIN series USING (series_id) WHERE nt IS NOT NULL GROUP BY ALL""")
+      count(*) AS nb_points, ref_period,
+      CASE WHEN any_value(tags) IS NOT NULL THEN array_to_string(list_sort(list_transform(map_entries(any_value(tags)), lambda x: x.key || '=' || coalesce(x.value, ''))), ',') END AS tags
+    FROM p LEFT JOIN series USING (series_id) WHERE nt IS NOT NULL GROUP BY fid, series_id, metric, ref_period""")
 def derived_metadata(spark, d):
     """What is known of the slopes."""
-    return derive.derived_series(transform.slope(readings(spark, d)), table(spark, d, "series"), "slope").drop("tags")
+    return derive.derived_series(transform.slope(readings(spark, d)), table(spark, d, "series"), "slope").withColumn("tags", F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit(""))))), ","))
