@@ -62,3 +62,35 @@ def whole_groups(
             yield from emit(pa.Table.from_batches(held))
 
     return run
+
+
+def overlapping(
+    keys: list[str], kernel: Callable[[pa.Table, np.ndarray, slice], pa.RecordBatch | pa.Table], halo: int, rows: int = 200_000
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` over partitions sorted by ``keys``, for kernels that look at most ``halo`` rows around
+    each. The kernel gets tables of about ``rows`` rows, however long a group is, the mask of first rows of groups and the
+    slice of rows to give out: those before and after it are given out with another table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = known = 0  # rows held, and those of them that were given out before
+
+        def emit(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
+            out = kernel(table, starts_of(table, keys), slice(known, upto))
+            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count >= rows + 2 * halo:
+                table = pa.Table.from_batches(held)
+                yield from emit(table, count - halo)
+                rest = table.slice(max(0, count - 2 * halo))
+                known = rest.num_rows - halo
+                held, count = rest.to_batches(), rest.num_rows
+        if count > known:
+            yield from emit(pa.Table.from_batches(held), count)
+
+    return run

@@ -64,7 +64,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_flags(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.implausible(table(spark, d, "points"))
+    """With the fences of hours and of the rate of change."""
+    rows = spikes.implausible(table(spark, d, "points"), context=True)
+    return rows.withColumns({c: settled(c, 3) for c in ("score", "hour_score", "rate_score")})
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_wide, p3_cells, p4_found, p4_trailing, p6_found, p6_grid, p7_found, p7_flags)}
@@ -123,7 +125,44 @@ pairs AS (
   SELECT series_id, period, t, v, lead(t) OVER w AS nt, lead(v) OVER w AS nv, lag(t) OVER w AS pt
   FROM valid JOIN per USING (series_id) WHERE period > 0 WINDOW w AS (PARTITION BY series_id ORDER BY t))"""
 
+_SCATTER = f"""{VALID},
+n AS (
+  SELECT *, median(v) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b5, median(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS a5,
+    lag(v) OVER w AS p1, lead(v) OVER w AS f1, lead(v, 2) OVER w AS f2, lead(v, 3) OVER w AS f3,
+    v - list_median([lag(v, 2) OVER w, lag(v) OVER w, lead(v) OVER w, lead(v, 2) OVER w]) AS resid,
+    abs(v - lag(v) OVER w) / (t - lag(t) OVER w) * 3600000 AS rate
+  FROM valid WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+m AS (SELECT *, lead(a5) OVER w AS c5, lead(a5, 2) OVER w AS d5 FROM n WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+l AS (
+  SELECT *, coalesce(least({", ".join(f"abs(v - {x})" for x in ("b5", "p1", "a5", "f1"))}), 0) AS one,
+    CASE WHEN f1 IS NOT NULL THEN coalesce(least({", ".join(f"abs({y} - {x})" for y in ("v", "f1") for x in ("b5", "p1", "c5", "f2"))}), 0) END AS two,
+    CASE WHEN f2 IS NOT NULL THEN coalesce(least({", ".join(f"abs({y} - {x})" for y in ("v", "f1", "f2") for x in ("b5", "p1", "d5", "f3"))}), 0) END AS three
+  FROM m),
+o AS (
+  SELECT series_id, t, v, resid, rate, p1, greatest(one, two, lag(two) OVER w, three, lag(three) OVER w, lag(three, 2) OVER w) AS off,
+    sum(CASE WHEN v = p1 THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS island
+  FROM l WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+r AS (SELECT *, count(*) OVER (PARTITION BY series_id, island) AS run FROM o),
+s AS (
+  SELECT series_id, (quantile_cont(resid, 0.75) - quantile_cont(resid, 0.25)) / (1.349 * 1.139) AS scatter,
+    2 * count(*) FILTER (run < 8 AND v = p1) < count(*) FILTER (run < 8) AS changing
+  FROM r GROUP BY ALL),
+judged AS (
+  SELECT r.*, t // 3600000 % 24 AS hour, scatter, coalesce(scatter > 0 AND off > 8 * scatter, false) AS spike, run >= 8 AND changing AS stuck FROM r JOIN s USING (series_id))"""
+
 ORACLE = {
+    "p7_found": f"WITH {_SCATTER} SELECT series_id, t FROM judged WHERE spike OR stuck",
+    "p7_flags": f"""WITH {_SCATTER}, h AS (
+          SELECT series_id, t // 3600000 % 24 AS hour, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM valid GROUP BY ALL HAVING count(*) >= 64),
+        hours AS (SELECT *, (q3 - q1) / 1.349 AS hs, q1 - 8 * (q3 - q1) / 1.349 AS low, q3 + 8 * (q3 - q1) / 1.349 AS high FROM h),
+        k AS (SELECT series_id, quantile_cont(rate, 0.25) AS q1, quantile_cont(rate, 0.75) AS q3 FROM r GROUP BY ALL),
+        rates AS (SELECT series_id, (q3 - q1) / 1.349 AS rs, q3 + 8 * (q3 - q1) / 1.349 AS fastest FROM k WHERE q3 > q1),
+        flags AS (
+          SELECT series_id, t, v, spike, stuck, {s_("off / nullif(scatter, 0)", 3)} AS score, coalesce(hs > 0 AND (v < low OR v > high), false) AS outside,
+            coalesce(rate > fastest, false) AS fast,
+            {s_("CASE WHEN hs IS NOT NULL THEN greatest(low - v, v - high, 0) END / nullif(hs, 0)", 3)} AS hour_score, {s_("rate / rs", 3)} AS rate_score
+          FROM judged LEFT JOIN hours USING (series_id, hour) LEFT JOIN rates USING (series_id))
+        SELECT * FROM flags WHERE spike OR stuck OR outside OR fast""",
     "p3_found": f"WITH {_CELLS} SELECT tsuid, name FROM judged WHERE value IS NOT NULL AND NOT readable",
     "p3_cells": f"""WITH {_CELLS} SELECT name, data_type, count(*) AS cells, CAST(sum(CAST(readable AS INT)) AS BIGINT) AS readable
         FROM judged GROUP BY ALL""",
