@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidemill.functions.joins import sized_join
+from tidemill.functions.ranks import grouped_percentiles
 from tidemill.llm.neighbours import _lists, _matrix, unit_rows
 from tidemill.operators.readings import valid_readings
 from tidemill.sources.scratch import materialise
@@ -31,6 +32,9 @@ LOCAL_ROWS = 4096
 #: Vectors compared with those of one node at a time.
 VISITORS = 20_000
 LLOYD = 2
+#: Edges that are united in memory at a time, and steps after which components count as unsettled.
+EDGES = 2_000_000
+ROUNDS = 100
 ALIKE = 0.95
 
 
@@ -38,21 +42,14 @@ def daily_courses(points: DataFrame, periods: DataFrame, least: int = 3) -> Data
     """``series_id, course``: the 24 medians of the valid readings by UTC hour of day, of series with a period of at
     most one hour and at least ``least`` valid readings in each hour.
 
-    Equal values are counted within each day before they are shuffled by series and hour; the median is then read
-    off running counts over sorted values, which can spill.
+    The readings of a series and hour are counted by size before they are shuffled, and only those in the cell of the median
+    are put in order, split further where they are many: no task sees a series, or an hour of one, whole.
     """
     fit = periods.where(F.col("period").between(1, HOUR_MS)).select("series_id").distinct()
     readings = valid_readings(sized_join(points.select("series_id", "t", "v", "recv_ms"), fit, "series_id"))
     hour = F.expr(f"pmod(floor(t / {HOUR_MS}), {HOURS})").cast("int")
-    counted = readings.groupBy("series_id", "day_no", hour.alias("hour"), "v").agg(F.count(F.lit(1)).alias("c"))
-    values = counted.repartition("series_id", "hour").groupBy("series_id", "hour", "v").agg(F.sum("c").alias("c"))
-    group = Window.partitionBy("series_id", "hour")
-    upto = F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = values.withColumn("upto", upto).withColumn("n", F.sum("c").over(group))
-    middle = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")), F.col("v")))
-    medians = placed.groupBy("series_id", "hour").agg(
-        ((middle(F.expr("(n - 1) div 2")) + middle(F.expr("n div 2"))) / 2).alias("median"), F.max("n").alias("n")
-    )
+    values = materialise(readings.select("series_id", hour.alias("hour"), "v"), "hours")
+    medians = grouped_percentiles(values, ["series_id", "hour"], {"median": 0.5})
     whole = medians.groupBy("series_id").agg(
         F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("hour", "median"))).alias("course")
     )
@@ -94,6 +91,22 @@ class Nodes:
             todo += [(left, at[nearer]), (right, at[~nearer])]
         return out
 
+    def near(self, rows: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and leaves whose balls, widened by ``reach``, hold them: down the tree as far as the balls of inner nodes do."""
+        found, todo = [(np.zeros(0, np.int64), 0)], [(0, np.arange(len(rows)))]
+        while todo:
+            node, at = todo.pop()
+            off = rows[at] - self.centre[node]
+            at = at[(off * off).sum(axis=1) <= (self.radius[node] + reach) ** 2 + 1e-9]
+            if not len(at):
+                continue
+            if self.child[node] is None:
+                if self.size[node]:
+                    found.append((at, node))
+            else:
+                todo += [(side, at) for side in self.child[node]]
+        return np.concatenate([at for at, _ in found]), np.concatenate([np.full(len(at), node, dtype=np.int64) for at, node in found])
+
 
 def _spread(nodes: Nodes, rows: DataFrame, width: int) -> dict[int, tuple[int, np.ndarray, float, np.ndarray]]:
     """Of each leaf: rows, mean, greatest distance to its centre, and the row that far away. One pass; a partition sends
@@ -210,16 +223,14 @@ def leaf_links(leaves: DataFrame, nodes: Nodes, width: int, link: float) -> Data
     node with many visitors takes them in parts, so that no task meets more than ``VISITORS`` or so.
     """
     names = np.array([k for k in nodes.leaves() if nodes.size[k]])
-    centres = np.stack([nodes.centre[k] for k in names]) if len(names) else np.zeros((0, width))
-    radii, groups = np.array([nodes.radius[k] for k in names]), np.array([nodes.group[k] for k in names])
+    groups = np.array([nodes.group[k] for k in names])
 
     def visits(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         x, home = _matrix(pa.chunked_array([table.column("unit")]), width), table.column("node").to_numpy()
-        d2 = (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)
-        own = groups[np.searchsorted(names, home)]
-        reach = d2 <= (radii + link)[None, :] ** 2 + 1e-9
-        reach &= (names[None, :] > home[:, None]) & ((own[:, None] < 0) | (own[:, None] != groups[None, :]))
-        return np.nonzero(reach)
+        who, node = nodes.near(x, link)
+        to, own = np.searchsorted(names, node), groups[np.searchsorted(names, home)][who]
+        keep = (node > home[who]) & ((own < 0) | (own != groups[to]))
+        return who[keep], to[keep]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,30 +281,47 @@ def leaf_links(leaves: DataFrame, nodes: Nodes, width: int, link: float) -> Data
     return hashed.mapInArrow(send, schema).groupBy("node", "part").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges as stars around the smallest node of each connected part."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    parent = np.arange(len(nodes))
+    while True:
+        x, y = parent[a], parent[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        if (low == high).all():
+            break
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    leaf = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[parent[leaf]], nodes[leaf]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as stars around the smallest node of each connected part."""
-    parent: dict[int, int] = {}
+    """The edges of a partition as stars, so many at a time that they stay small in memory."""
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(a, b)], ["a", "b"])
 
+    held, count = [], 0
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            low, high = sorted((root(a), root(b)))
-            parent[high] = low
-    stars = [(root(x), x) for x in list(parent) if root(x) != x]
-    a, b = zip(*stars, strict=True) if stars else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        held.append(batch)
+        count += batch.num_rows
+        if count >= EDGES:
+            yield emit(held)
+            held, count = [], 0
+    if count:
+        yield emit(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of all nodes on edges ``a, b``; a component is named after its smallest node.
 
     Large-star and small-star steps in turn, each preceded by a union within partitions, until nothing changes; the
-    edges are written to the shared folder at each turn, nothing of them comes to the driver.
+    edges are written to the shared folder at each turn, nothing of them comes to the driver. The edges of a hub are
+    spread where its smallest neighbour is joined to them. Steps that come to no end are an error.
     """
     name = ["a", "b"]
     now = materialise(edges.select(F.least(*name).alias("a"), F.greatest(*name).alias("b")).mapInArrow(_forest, "a long, b long"), "edges")
@@ -302,19 +330,19 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     before = state(now)
-    for _ in range(100):
+    for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = sized_join(both.where("b > a"), least, "a").select(F.col("m").alias("a"), "b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*")
+        small = sized_join(large, least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*")
         now = materialise(small.where("a <> b").distinct().mapInArrow(_forest, "a long, b long"), "edges")
         after = state(now)
         if after == before:
-            break
+            members = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+            return members.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         before = after
-    members = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return members.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    raise RuntimeError(f"the components were not settled after {ROUNDS} rounds")
 
 
 def alike_clusters(courses: DataFrame, alike: float = ALIKE, width: int = HOURS, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -343,27 +371,26 @@ def alike_clusters(courses: DataFrame, alike: float = ALIKE, width: int = HOURS,
     leaves = materialise(compact_leaves(reps, nodes, width, limit, local_rows), "leaves")
     joined = components(leaf_links(leaves, nodes, width, link))
     whole = leaves.join(joined, leaves["leaf"] == joined["node"], "left").select(
-        "rep", leaves["unit"], "leaf", F.coalesce("component", "leaf").alias("component")
+        leaves["unit"], "leaf", F.coalesce("component", "leaf").alias("component")
     )
-    members = units.join(whole.select("unit", "leaf", "component"), "unit")
+    members = materialise(sized_join(units, whole, "unit"), "members")  # copies of one course are spread or the others broadcast
     named = members.groupBy("component").agg(F.min("series_id").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
-    return members.join(named, "component").select("series_id", "cluster_id", "size", "leaf", "unit")
+    return sized_join(members, named, "component").select("series_id", "cluster_id", "size", "leaf", "unit")
 
 
 def typical_members(clusters: DataFrame, width: int = HOURS, k: int = 3) -> DataFrame:
     """Per cluster: ``cluster_id, size, leaves, spread, typical`` (the k members nearest to the cluster's centre, the
-    nearest first, ties by id; ``spread`` is the mean squared distance to the centre)."""
+    nearest first, ties by id; ``spread`` is the mean squared distance to the centre). Each task keeps no more than k
+    members of a cluster before they meet."""
     means = clusters.groupBy("cluster_id").agg(
         *(F.avg(F.col("unit")[j]).alias(f"m{j}") for j in range(width)), F.countDistinct("leaf").alias("leaves")
     )
-    centres = means.select("cluster_id", "leaves", F.array(*(f"m{j}" for j in range(width))).alias("centre"))
+    centres = materialise(means.select("cluster_id", "leaves", F.array(*(f"m{j}" for j in range(width))).alias("centre")), "centres")
     off = F.aggregate(F.zip_with("unit", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    rows = clusters.join(centres, "cluster_id").withColumn("off", F.round(off, 9))
+    rows = sized_join(clusters.select("cluster_id", "size", "series_id", "unit"), centres.select("cluster_id", "centre"), "cluster_id")
+    rows = rows.select("cluster_id", "size", "series_id", F.round(off, 9).alias("off"))
     near = Window.partitionBy("cluster_id").orderBy("off", "series_id")
-    ranked = rows.withColumn("place", F.row_number().over(near))
-    return ranked.groupBy("cluster_id", "size", "leaves").agg(
-        F.avg("off").alias("spread"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("place") <= k, F.struct("place", "series_id")))), lambda x: x["series_id"]
-        ).alias("typical"),
-    )
+    first = rows.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k)
+    typical = first.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "series_id"))), lambda x: x["series_id"]).alias("typical"))
+    spread = rows.groupBy("cluster_id", "size").agg(F.avg("off").alias("spread"))
+    return spread.join(typical, "cluster_id").join(centres.select("cluster_id", "leaves"), "cluster_id").select("cluster_id", "size", "leaves", "spread", "typical")

@@ -39,15 +39,41 @@ _COURSES = f"""WITH RECURSIVE {_VALID},
     FROM valid JOIN per USING (series_id) WHERE period BETWEEN 1 AND 3600000 GROUP BY ALL),
   fit AS (SELECT series_id FROM medians GROUP BY ALL HAVING count(*) = 24 AND min(n) >= 3)"""
 
-ORACLE = {
-    "p2_found": f"""{_COURSES},
+_CLUSTERS = f"""{_COURSES},
         base AS (SELECT series_id, avg(median) AS mean, stddev_pop(median) AS dev FROM medians SEMI JOIN fit USING (series_id) GROUP BY ALL),
         z AS (SELECT series_id, hour, (median - mean) / dev AS z FROM medians JOIN base USING (series_id) WHERE dev > 0),
         links AS (
           SELECT a.series_id AS a, b.series_id AS b FROM z a JOIN z b ON a.hour = b.hour
           GROUP BY ALL HAVING sum(a.z * b.z) / 24 >= 0.95 - 1e-12),
-        walk AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON l.a = w.b)
-        SELECT a AS series_id, min(b) AS cluster_id FROM walk GROUP BY a HAVING count(DISTINCT b) >= 2""",
+        walk AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON l.a = w.b)"""
+
+
+def _days(ps: tuple[float, ...]) -> str:
+    """Percentiles and the readings on both sides of them. A day of few readings has them exactly."""
+    columns = []
+    for p in ps:
+        name, place = f"p{p * 100:g}".replace(".", "_"), f"{p} * (len(x) - 1)"
+        at = lambda how, place=place: f"x[CAST({how}({place}) AS BIGINT) + 1]"
+        value = f"{at('floor')} + ({at('ceil')} - {at('floor')}) * ({place} - floor({place}))"
+        columns += [f"round(({value}) * 1.00000000001, 6) AS {name}", f"round({at('floor')} * 1.00000000001, 6) AS {name}_low", f"round({at('ceil')} * 1.00000000001, 6) AS {name}_high"]
+    return f"""WITH {_VALID}, d AS (SELECT series_id, day_no, list_sort(list(v)) AS x FROM valid GROUP BY ALL)
+        SELECT series_id, day_no, CAST(len(x) AS BIGINT) AS n, CAST(0 AS BIGINT) AS error, {", ".join(columns)} FROM d"""
+
+
+ORACLE = {
+    "p2_found": f"""{_CLUSTERS} SELECT a AS series_id, min(b) AS cluster_id FROM walk GROUP BY a HAVING count(DISTINCT b) >= 2""",
+    "p2_typical": f"""{_CLUSTERS},
+        named AS (SELECT a AS series_id, min(b) AS cluster_id FROM walk GROUP BY a),
+        unit AS (SELECT series_id, cluster_id, hour, z / sqrt(24) AS u FROM z JOIN named USING (series_id)),
+        centre AS (SELECT cluster_id, hour, avg(u) AS m, count(*) AS size FROM unit GROUP BY ALL),
+        far AS (SELECT cluster_id, series_id, any_value(size) AS size, round(sum((u - m) * (u - m)), 9) AS off FROM unit JOIN centre USING (cluster_id, hour) GROUP BY cluster_id, series_id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY off, series_id) AS place FROM far)
+        SELECT cluster_id, any_value(size) AS size, round(avg(off), 6) AS spread, string_agg(series_id, ',' ORDER BY place) FILTER (place <= 3) AS typical
+        FROM placed GROUP BY cluster_id""",
+    "p1_similar": f"{_PAIRS} SELECT pattern_id, seq_id, similarity, place FROM ranked WHERE place <= 5",
+    "p5_days": _days((0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)),
+    "p5_checked": f"""WITH {_VALID} SELECT series_id, count(*) AS n, {", ".join(f"round(quantile_cont(v, {p}) * 1.00000000001, 6) AS p{p * 100:g}" for p in (0.5, 0.9, 0.99))},
+        true AS holds FROM valid GROUP BY ALL""",
     "p2_courses": f"""{_COURSES} SELECT series_id, CAST(hour AS INT) AS hour, round(median * 1.00000000001, 6) AS median
         FROM medians SEMI JOIN fit USING (series_id)""",
     "p1_found": f"{_PAIRS} SELECT pattern_id, seq_id FROM ranked WHERE place <= 5 AND similarity >= 0.9",

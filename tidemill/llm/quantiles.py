@@ -10,17 +10,20 @@ probability.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemill.functions.batches import whole_groups
 from tidemill.functions.compare import NUDGE
 from tidemill.functions.joins import is_small, sized_join
+from tidemill.functions.ranks import grouped_percentiles, pick
 from tidemill.operators.readings import CHUNK, valid_readings
 from tidemill.sources.scratch import materialise
 
@@ -252,28 +255,34 @@ def series_percentiles(points: DataFrame, series: DataFrame, ps: tuple[float, ..
     return sized_join(percentiles(merged, ["series_id"], ps), metrics, "series_id", "left")
 
 
+def checked_percentiles(points: DataFrame, ps: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """``series_id, n``, per p the exact percentile ``pXX``, and ``holds``: whether all lie within the bounds that the merged
+    sketches give. For measuring the sketches on given data."""
+    readings = materialise(valid_readings(points).select("series_id", "v"), "values")
+    names = {f"p{p * 100:g}".replace(".", "_"): p for p in ps}
+    told = percentiles(merge_sketches(day_sketches(points), ["series_id"]), ["series_id"], ps)
+    bounds = told.select("series_id", *(F.col(f"{c}_{side}").alias(f"{c}_{side}") for c in names for side in ("low", "high")))
+    exact = sized_join(grouped_percentiles(readings, ["series_id"], names), bounds, "series_id")
+    inside = [F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")) for c in names]
+    return exact.select("series_id", "n", *names, reduce(operator.and_, inside).alias("holds"))
+
+
 def exact_percentile(rows: DataFrame, bounds: DataFrame, keys: list[str], p: float, name: str) -> DataFrame:
     """``keys, name``: exact percentiles (linear interpolation), given bounds that hold for sure.
 
-    ``bounds`` has ``keys, n, low, high``. Of each key only the values between its bounds are ordered; those below are
-    counted where they are. Equal values are counted before the shuffle.
+    ``bounds`` has ``keys, n, low, high``. Equal values are counted before the shuffle; of each key only the values between
+    its bounds are ordered, cut into parts of their range where they are many, and those below counted as one.
     """
-    joined = sized_join(rows.select(*keys, "v"), bounds.select(*keys, "n", "low", "high"), keys)
-    under = joined.where(F.col("v") < F.col("low")).groupBy(*keys).agg(F.count(F.lit(1)).alias("under"))
-    inside = joined.where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-    counted = inside.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized_join(counted.withColumn("upto", F.sum("c").over(running)), under, keys, "left")
-    upto = F.col("upto") + F.coalesce("under", F.lit(0))
+    joined = sized_join(rows.select(*keys, "v"), bounds.select(*keys, "n", "low", "high"), keys).where(F.col("v") <= F.col("high"))
+    value = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    counted = materialise(joined.groupBy(*keys, value.alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "counted")
     where = F.lit(p) * (F.col("n") - 1)
-    below, above = F.floor(where), F.ceil(where)
-    holds = lambda rank: (rank < upto) & (rank >= upto - F.col("c"))
-    ends = placed.groupBy(*keys).agg(
-        F.max(F.when(holds(below), F.col("v"))).alias("a"),
-        F.max(F.when(holds(above), F.col("v"))).alias("b"),
-        F.max(where - below).alias("share"),
+    under = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0))
+    spots = counted.groupBy(*keys).agg(F.max("n").alias("n"), under.alias("under")).select(
+        *keys, (F.floor(where) - F.col("under")).alias("below"), (F.ceil(where) - F.col("under")).alias("above"), (where - F.floor(where)).alias("share")
     )
-    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias(name))
+    found = pick(counted.where(F.col("v").isNotNull()).select(*keys, "v", "c"), materialise(spots, "spots"), keys)
+    return found.select(*keys, F.col("x").alias(name))
 
 
 def high_days(points: DataFrame, least: int = 20, capacity: int = CAPACITY) -> DataFrame:
@@ -301,6 +310,7 @@ def high_days(points: DataFrame, least: int = 20, capacity: int = CAPACITY) -> D
     # only the series with open days are read again
     left = doubtful.select("series_id").distinct()
     readings = valid_readings(sized_join(points.select("series_id", "t", "v", "recv_ms"), left, "series_id"))
+    readings = materialise(readings.select("series_id", "day_no", "v"), "left")
     top = exact_percentile(
         readings,
         doubtful.groupBy("series_id").agg(F.max("all_n").alias("n"), F.max("p90_low").alias("low"), F.max("p90_high").alias("high")),

@@ -45,6 +45,11 @@ def p2_typical(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("cluster_id", "size", F.round("spread", 6).alias("spread"), F.array_join("typical", ",").alias("typical"))
 
 
+def p2_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """How many compact leaves of the bisecting k-means each cluster is joined from."""
+    return clusters.typical_members(_clusters(spark, d)).select("cluster_id", "size", "leaves")
+
+
 def p2_courses(spark: SparkSession, d: str) -> DataFrame:
     """The daily courses, one row per series and hour."""
     periods = readings.period_of(table(spark, d, "series"), table(spark, d, "metadata"), number)
@@ -57,7 +62,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_days(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.day_percentiles(table(spark, d, "points"))
+    rows = quantiles.day_percentiles(table(spark, d, "points"))
+    return rows.select("series_id", "day_no", "n", "error", *(settled(c).alias(c) for c in rows.columns[4:]))
+
+
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of each series, and whether the bounds of its sketch hold them."""
+    rows = quantiles.checked_percentiles(table(spark, d, "points"))
+    return rows.withColumns({c: settled(c) for c in ("p50", "p90", "p99")})
 
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
@@ -105,5 +117,5 @@ def p10_form(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_courses, p5_found, p5_days, p5_series, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
+    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_leaves, p2_courses, p5_found, p5_days, p5_series, p5_checked, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
 }
