@@ -6,10 +6,14 @@ law: the projected squared distance over d2 is chi-square with as many degrees o
 laid out in cells of a kd-tree over the projections; inside a cell a kd-tree gives the projected neighbours of a
 query in growing distance, each is verified by its true similarity, and the search stops once the next projected
 distance is so large that a closer row would lie beyond it only with probability ``1 - sure``.
+
+A query first searches the cell it lies in, which holds most of its neighbours; the similarity of the k-th found there
+bounds the ball that the others must lie in, and only the cells which that ball reaches are searched in a second round.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,13 +24,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tidemill.functions.joins import sized_join
+from tidemill.sources.scratch import materialise
+
 UNIT = ArrayType(DoubleType())
 DIMENSIONS = 12
 SURE = 0.9999
-#: Rows a cell is planned for; a larger one is split by a hash of the id, and each part is searched.
+#: Rows a cell is planned for. Cells are as many as it takes, up to ``MOST_CELLS``; beyond, cells grow with the rows. One that
+#: is larger than planned, as of copies that no plane divides, is split by a hash of the id, and each part is searched.
 CELL_ROWS = 8192
-#: Rows the cells and the first bounds are fitted on. Every row is indexed.
+MOST_CELLS = 65_536
+#: Rows the cells are fitted on, at least, and per cell: so at most a million. Of these only the projections are collected;
+#: every row is indexed.
 SAMPLE_ROWS = 4096
+SAMPLE_OF_CELL = 16
 LEAF_ROWS = 256
 #: Similarities count to this many decimals; ties go to the smaller id.
 DECIMALS = 6
@@ -83,20 +94,20 @@ def unit_rows(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Cells:
-    """A kd-tree over projected sample rows; its leaves are boxes that tile the space."""
+    """A kd-tree over projected sample rows; its leaves tile the space."""
 
     def __init__(self, sample: np.ndarray, count: int) -> None:
         self.dimensions = sample.shape[1] if sample.size else DIMENSIONS
         self.axis, self.cut, self.child = [-1], [0.0], [(-1, -1)]
         parts = {0: np.arange(len(sample))}
-        boxes = {0: (np.full(self.dimensions, -np.inf), np.full(self.dimensions, np.inf))}
-        while len(parts) < count:
-            node = max(parts, key=lambda k: len(parts[k]))
+        largest = [(-len(sample), 0)]
+        while len(parts) < count and largest:
+            _, node = heapq.heappop(largest)
             rows = sample[parts[node]]
             spread = rows.max(axis=0) - rows.min(axis=0) if len(rows) > 1 else np.zeros(self.dimensions)
             axis = int(spread.argmax()) if len(rows) > 1 else 0
             if len(rows) < 8 or spread[axis] <= 0:
-                break
+                continue
             cut = float(np.median(rows[:, axis]))
             if (rows[:, axis] < cut).sum() == 0:
                 cut = float(rows[:, axis][rows[:, axis] > cut].min())
@@ -106,15 +117,12 @@ class Cells:
             self.cut += [0.0, 0.0]
             self.child += [(-1, -1), (-1, -1)]
             inside = rows[:, axis] < cut
-            members, (low, high) = parts.pop(node), boxes.pop(node)
-            parts[left], parts[right] = members[inside], members[~inside]
-            left_high, right_low = high.copy(), low.copy()
-            left_high[axis], right_low[axis] = cut, cut
-            boxes[left], boxes[right] = (low, left_high), (right_low, high)
+            members = parts.pop(node)
+            for side, own in ((left, members[inside]), (right, members[~inside])):
+                parts[side] = own
+                heapq.heappush(largest, (-len(own), side))
         self.nodes = sorted(parts)
         self.number = {n: i for i, n in enumerate(self.nodes)}
-        self.low = np.stack([boxes[n][0] for n in self.nodes])
-        self.high = np.stack([boxes[n][1] for n in self.nodes])
         self.share = np.array([len(parts[n]) for n in self.nodes]) / max(1, len(sample))
 
     def of(self, rows: np.ndarray) -> np.ndarray:
@@ -130,8 +138,27 @@ class Cells:
             todo += [(self.child[node][0], at[less]), (self.child[node][1], at[~less])]
         return out
 
-    def squared_gap(self, rows: np.ndarray) -> np.ndarray:
-        return squared_gap(rows, self.low, self.high)
+    def reached(self, rows: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the cells whose box lies within their squared distance ``limit``: down the tree as far as boxes do. On
+        the way the distance grows by what a plane adds to the one crossed before on its axis."""
+        who, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(0, np.arange(len(rows)), np.zeros(len(rows)), {})]
+        while todo:
+            node, at, far, gaps = todo.pop()
+            if self.axis[node] < 0:
+                who.append(at)
+                cell.append(np.full(len(at), self.number[node], dtype=np.int64))
+                continue
+            axis = self.axis[node]
+            off = rows[at, axis] - self.cut[node]
+            known = gaps.get(axis, np.zeros(len(at)))
+            for side, beyond in zip(self.child[node], (np.maximum(off, 0.0), np.maximum(-off, 0.0)), strict=True):
+                gap = np.maximum(known, beyond)
+                now = far + gap * gap - known * known
+                keep = now <= limit[at] + 1e-9
+                if keep.any():
+                    todo.append((side, at[keep], now[keep], {k: x[keep] for k, x in gaps.items()} | {axis: gap[keep]}))
+        return np.concatenate(who), np.concatenate(cell)
 
 
 def squared_gap(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -244,21 +271,19 @@ def most_similar(
 
     Similarity is the Pearson correlation to 6 decimals; ties go to the smaller id. Vectors that are NULL, of another
     length, constant, or hold NULL, NaN or an infinity take no part, nor do rows without id. Repeated rows count each. A
-    neighbour is missed with probability at most ``1 - sure``. The sample only shapes cells and gives first bounds;
-    every row is searched. A query travels to the cells its ball can reach; a cell too large for one task is split by
-    a hash of the id, so many copies of one vector don't meet in one task.
+    neighbour is missed with probability at most ``1 - sure``. The sample only shapes cells; every row is searched. A cell too
+    large for one task is split by a hash of the id, so many copies of one vector don't meet in one task.
     """
     quantile = chi_square_quantile(sure, dimensions)
     floor = max(-1.0, min_similarity)
     widest = 2 * (1 - floor) + SLACK
     rows = base.select(base_id, base_vector).where(F.col(base_id).isNotNull() & (F.size(base_vector) == width))
     total = rows.count()
-    fraction = min(1.0, 1.3 * sample_rows / max(1, total))
-    drawn = rows.select(base_vector).sample(fraction, seed=seed).limit(sample_rows).toArrow().column(0)
-    sample, _ = unit_rows(drawn, width) if len(drawn) else (np.zeros((0, width)), None)
+    wanted = max(1, min(-(-total // cell_rows), MOST_CELLS))
+    planned = -(-total // wanted)
     lines = directions(width, dimensions, seed)
-    cells = Cells(sample @ lines, max(1, min(-(-total // cell_rows), max(1, len(sample) // 16))))
-    parts = np.maximum(1, np.ceil(cells.share * total / (2 * cell_rows))).astype(np.int64)
+    cells = Cells(_projected(rows.select(base_vector), total, max(sample_rows, SAMPLE_OF_CELL * wanted), width, lines, seed), wanted)
+    parts = np.maximum(1, np.ceil(cells.share * total / (2 * max(planned, cell_rows)))).astype(np.int64)
     schema = base.select(base_id).schema
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,36 +296,38 @@ def most_similar(
                 [taken.column(0), pa.array(cell), pa.array(part), _lists(unit)], [base_id, "cell", "part", "unit"]
             )
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit, at = unit_rows(batch.column(1), width)
-            if not len(unit):
-                continue
-            bound = np.full(len(unit), widest)
-            if len(sample) >= k:
-                near = np.partition(unit @ sample.T, len(sample) - k, axis=1)[:, len(sample) - k]
-                bound = np.minimum(bound, 2 * (1 - near) + SLACK)
-            reach = cells.squared_gap(unit @ lines) <= (bound * quantile)[:, None]
-            who, cell = np.nonzero(reach)
-            times = parts[cell]
-            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            who, cell = np.repeat(who, times), np.repeat(cell, times)
-            names = batch.column(0).take(pa.array(at))
-            for low in range(0, len(who), 20_000):
-                w = who[low : low + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(w)), pa.array(cell[low : low + 20_000]), pa.array(part[low : low + 20_000]), pa.array(bound[w]), _lists(unit[w])],
-                    [query_id, "cell", "part", "bound", "unit"],
-                )
+    def send(home: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit, at = unit_rows(batch.column(1), width)
+                if not len(unit):
+                    continue
+                bound = batch.column(2).to_numpy(zero_copy_only=False)[at]
+                own = cells.of(unit @ lines)
+                if home:
+                    who, cell = np.arange(len(unit)), own
+                else:
+                    who, cell = cells.reached(unit @ lines, bound * quantile)
+                    who, cell = who[cell != own[who]], cell[cell != own[who]]
+                times = parts[cell]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                who, cell = np.repeat(who, times), np.repeat(cell, times)
+                names = batch.column(0).take(pa.array(at))
+                for low in range(0, len(who), 20_000):
+                    w = who[low : low + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(w)), pa.array(cell[low : low + 20_000]), pa.array(part[low : low + 20_000]), pa.array(bound[w]), _lists(unit[w])],
+                        [query_id, "cell", "part", "bound", "unit"],
+                    )
+
+        return run
 
     hashed = rows.withColumn("h", F.pmod(F.xxhash64(base_id), F.lit(1 << 40)))
     laid = hashed.mapInArrow(
         lay_out, rows.select(base_id).schema.add("cell", "long").add("part", "long").add("unit", UNIT)
     )
     asked = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & (F.size(query_vector) == width))
-    sent = asked.mapInArrow(
-        send, asked.select(query_id).schema.add("cell", "long").add("part", "long").add("bound", "double").add("unit", UNIT)
-    )
+    sent_schema = asked.select(query_id).schema.add("cell", "long").add("part", "long").add("bound", "double").add("unit", UNIT)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -315,10 +342,29 @@ def most_similar(
             ids = right.column(base_id).take(pa.array(order[i]))
         return pa.Table.from_arrays([left.column(query_id).take(pa.array(q)), ids, pa.array(s)], [query_id, base_id, "similarity"])
 
-    found = (
-        sent.groupBy("cell", "part")
-        .cogroup(laid.groupBy("cell", "part"))
-        .applyInArrow(meet, asked.select(query_id).schema.add(schema[0]).add("similarity", "double"))
-    )
+    def found(asking: DataFrame, home: bool) -> DataFrame:
+        sent = asking.select(query_id, query_vector, "bound").mapInArrow(send(home), sent_schema)
+        both = sent.groupBy("cell", "part").cogroup(laid.groupBy("cell", "part"))
+        return both.applyInArrow(meet, asked.select(query_id).schema.add(schema[0]).add("similarity", "double"))
+
     best = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(base_id))
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    placed = lambda x: x.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    near = materialise(placed(found(asked.withColumn("bound", F.lit(widest)), True)), "near")
+    if wanted == 1:
+        return near
+    known = near.where(F.col("place") == k).select(query_id, (2 * (1 - F.col("similarity")) + SLACK).alias("kth"))
+    bound = F.least(F.coalesce("kth", F.lit(widest)), F.lit(widest))
+    further = found(sized_join(asked, known, query_id, "left").withColumn("bound", bound), False)
+    return placed(near.drop("place").unionByName(further))
+
+
+def _projected(vectors: DataFrame, total: int, size: int, width: int, lines: np.ndarray, seed: int) -> np.ndarray:
+    """The projections of about ``size`` rows, drawn at random; only these come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = unit_rows(batch.column(0), width)[0] @ lines
+            yield pa.RecordBatch.from_arrays([_lists(points)], ["point"])
+
+    drawn = vectors.sample(min(1.0, 1.3 * size / max(1, total)), seed=seed).mapInArrow(run, "point array<double>").limit(size).toArrow()
+    return _matrix(drawn.column(0), lines.shape[1]) if drawn.num_rows else np.zeros((0, lines.shape[1]))

@@ -57,7 +57,7 @@ def _days(ps: tuple[float, ...]) -> str:
         value = f"{at('floor')} + ({at('ceil')} - {at('floor')}) * ({place} - floor({place}))"
         columns += [f"round(({value}) * 1.00000000001, 6) AS {name}", f"round({at('floor')} * 1.00000000001, 6) AS {name}_low", f"round({at('ceil')} * 1.00000000001, 6) AS {name}_high"]
     return f"""WITH {_VALID}, d AS (SELECT series_id, day_no, list_sort(list(v)) AS x FROM valid GROUP BY ALL)
-        SELECT series_id, day_no, CAST(len(x) AS BIGINT) AS n, CAST(0 AS BIGINT) AS error, {", ".join(columns)} FROM d"""
+        SELECT series_id, day_no, CAST(len(x) AS BIGINT) AS n, CAST(0 AS BIGINT) AS error, {", ".join(columns)} FROM d WHERE len(x) <= 1024"""
 
 
 ORACLE = {
@@ -71,7 +71,7 @@ ORACLE = {
         SELECT cluster_id, any_value(size) AS size, round(avg(off), 6) AS spread, string_agg(series_id, ',' ORDER BY place) FILTER (place <= 3) AS typical
         FROM placed GROUP BY cluster_id""",
     "p1_similar": f"{_PAIRS} SELECT pattern_id, seq_id, similarity, place FROM ranked WHERE place <= 5",
-    "p5_days": _days((0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)),
+    "p5_small_days": _days((0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)),
     "p5_checked": f"""WITH {_VALID} SELECT series_id, count(*) AS n, {", ".join(f"round(quantile_cont(v, {p}) * 1.00000000001, 6) AS p{p * 100:g}" for p in (0.5, 0.9, 0.99))},
         true AS holds FROM valid GROUP BY ALL""",
     "p2_courses": f"""{_COURSES} SELECT series_id, CAST(hour AS INT) AS hour, round(median * 1.00000000001, 6) AS median

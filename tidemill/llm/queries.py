@@ -66,6 +66,11 @@ def p5_days(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("series_id", "day_no", "n", "error", *(settled(c).alias(c) for c in rows.columns[4:]))
 
 
+def p5_small_days(spark: SparkSession, d: str) -> DataFrame:
+    """Of ``p5_days`` those whose readings a sketch holds whole, which makes its percentiles exact."""
+    return p5_days(spark, d).where("error = 0")
+
+
 def p5_checked(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of each series, and whether the bounds of its sketch hold them."""
     rows = quantiles.checked_percentiles(table(spark, d, "points"))
@@ -117,5 +122,5 @@ def p10_form(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_leaves, p2_courses, p5_found, p5_days, p5_series, p5_checked, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
+    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_leaves, p2_courses, p5_found, p5_days, p5_small_days, p5_series, p5_checked, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
 }
