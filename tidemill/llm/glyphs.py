@@ -17,12 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.joins import salted_join, sized_join
+from tidemill.sources.scratch import materialise
+
 # Letters of other scripts, and hyphens, that are drawn like the character below them.
 LOOKALIKE = {
     "Cyrillic small": ("аеорсухѕіјһԁԛԝӏ", "aeopcyxsijhdqwl"),
     "Cyrillic capital": ("АВЕКМНОРСТУХЅІЈҮԌԚԜӀ", "ABEKMHOPCTYXSIJYGQWI"),
-    "Greek small": ("ονϲϳ", "ovcj"),
+    "Greek small": ("ονϲϳρ", "ovcjp"),
     "Greek capital": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
+    "Armenian": ("օսհոցզՕՍՏԼ", "ouhngqOUSL"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4RWSLCPKB"),
+    "Latin of other shape tables": ("ɑɡꓐꓚꓓꓰꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "agBCDEGHJKLMNOPRSTUVWXYZ"),
     "Hyphens": ("‐‑", "--"),
 }
 #: Kinds of compatibility characters drawn like their plain letters. Superscripts, circled letters and the like differ.
@@ -212,29 +218,51 @@ def consistent_form(frame: DataFrame, text: str = "text", form: str = "form") ->
     return frame.select(*columns).mapInArrow(run, schema)
 
 
-def lookalike_pairs(documents: DataFrame) -> DataFrame:
-    """``doc_id_a, doc_id_b`` (smaller first) of documents whose texts look the same but differ in their characters.
-
-    Only digests are shuffled. Texts of one form are grouped to classes of equal texts first; pairs are formed between
-    classes and then given their members, so copies of one text never meet each other, however many there are. NULL
-    and empty texts and NULL ids take no part; further columns are ignored.
-    """
+def _digests(documents: DataFrame) -> DataFrame:
+    """``doc_id, look, twin, spelling`` of the texts: 128 bits of the form, 64 of the text itself. Written once."""
     rows = documents.select("doc_id", "text").where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
     )
     keyed = consistent_form(rows).select(
-        "doc_id", F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("spelling")
-    )
-    looks = keyed.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b")
-    members = keyed.join(looks.select("look"), "look", "left_semi")
-    classes = members.select("look", "spelling").distinct()
-    pairs = classes.withColumnRenamed("spelling", "spelling_a").join(
-        classes.withColumnRenamed("spelling", "spelling_b"), "look"
+        "doc_id", F.xxhash64("form").alias("look"), F.xxhash64(F.lit(1), "form").alias("twin"), F.xxhash64(F.lit(2), "text").alias("spelling")
     )
+    return materialise(keyed, "digests")
+
+
+LOOK = ["look", "twin"]
+
+
+def _several(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The looks with several spellings: their classes ``look, twin, spelling, copies, spellings, alike``, and their members."""
+    looks = keyed.groupBy(*LOOK).agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select(*LOOK)
+    members = materialise(sized_join(keyed, looks, LOOK), "members")
+    classes = members.groupBy(*LOOK, "spelling").agg(F.count(F.lit(1)).alias("copies"))
+    whole = classes.groupBy(*LOOK).agg(F.count(F.lit(1)).alias("spellings"), F.sum("copies").alias("alike"))
+    return materialise(sized_join(classes, whole, LOOK), "classes"), members
+
+
+def lookalike_classes(documents: DataFrame) -> DataFrame:
+    """``doc_id, look, twin, spelling, copies, spellings, alike`` of documents whose text looks like one of other characters: the
+    class of its look and of its spelling, the documents of that spelling, and the spellings and documents of the look. One
+    row a document, however many look alike. NULL and empty texts and NULL ids take no part."""
+    classes, members = _several(_digests(documents))
+    return sized_join(members, classes, [*LOOK, "spelling"]).select("doc_id", *LOOK, "spelling", "copies", "spellings", "alike")
+
+
+def lookalike_pairs(documents: DataFrame) -> DataFrame:
+    """``doc_id_a, doc_id_b`` (smaller first) of documents whose texts look the same but differ in their characters.
+
+    Only digests are shuffled. Texts of one form are grouped to classes of equal texts first; pairs are formed between
+    classes and then given their members, so copies of one text never meet each other, however many there are; the members
+    of a class are spread where they meet those of another. NULL and empty texts and NULL ids take no part; further columns
+    are ignored. Where copies make the pairs too many, ``lookalike_classes`` tells the same in a row a document.
+    """
+    classes, members = _several(_digests(documents))
+    pairs = classes.select(*LOOK, F.col("spelling").alias("spelling_a")).join(classes.select(*LOOK, F.col("spelling").alias("spelling_b")), LOOK)
     pairs = pairs.where(F.col("spelling_a") < F.col("spelling_b"))
-    left = members.select(F.col("doc_id").alias("left_id"), "look", F.col("spelling").alias("spelling_a"))
-    right = members.select(F.col("doc_id").alias("right_id"), "look", F.col("spelling").alias("spelling_b"))
-    both = pairs.join(left, ["look", "spelling_a"]).join(right, ["look", "spelling_b"])
+    left = members.select(F.col("doc_id").alias("left_id"), *LOOK, F.col("spelling").alias("spelling_a"))
+    right = members.select(F.col("doc_id").alias("right_id"), *LOOK, F.col("spelling").alias("spelling_b"))
+    both = salted_join(salted_join(left, pairs, [*LOOK, "spelling_a"]), right, [*LOOK, "spelling_b"])
     return both.select(
         F.least("left_id", "right_id").alias("doc_id_a"), F.greatest("left_id", "right_id").alias("doc_id_b")
     ).where("doc_id_a <> doc_id_b")

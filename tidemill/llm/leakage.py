@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tidemill.functions.joins import is_small
+from tidemill.functions.joins import is_light, is_small
 from tidemill.llm.glyphs import LIMIT, _lookalikes, code_points, fold
 from tidemill.sources.scratch import materialise
 
 SPAN = 10
 GRAM = 5
+#: Places of a text and an item that are compared at a time.
+MEETING = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,21 +147,40 @@ def longest_shared(a: np.ndarray, b: np.ndarray, span: int = SPAN) -> int:
     count = high - low
     if not count.any():
         return 0
-    # each match (i, j) of whole spans; those next to each other on a diagonal make a longer one
-    i = np.repeat(np.arange(len(ga)), count)
-    j = order[np.repeat(low, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
-    sure = np.ones(len(i), dtype=bool)
-    for k in range(span):
-        sure &= a[i + k] == b[j + k]
-    i, j = i[sure], j[sure]
-    if not len(i):
-        return 0
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    new = np.ones(len(i), dtype=bool)
-    new[1:] = (np.diff(i) != 1) | (np.diff(i - j) != 0)
-    lengths = np.diff(np.append(np.flatnonzero(new), len(i)))
-    return int(lengths.max()) + span - 1
+    # a whole span of one and of the other that are equal meet as (i, j); those next to each other on a diagonal make a
+    # longer run. Texts that repeat themselves meet in many, so they are taken some of the first text at a time, with
+    # the length of the run that ends in each place of the second carried along.
+    upto, best, done = np.zeros(len(gb) + 1, dtype=np.int64), 0, -2
+    steps = np.flatnonzero(count)
+    for part in np.split(steps, np.unique(np.searchsorted(np.cumsum(count[steps]), np.arange(MEETING, count.sum(), MEETING)))):
+        if not len(part):
+            continue
+        n = count[part]
+        i = np.repeat(part, n)
+        j = order[np.repeat(low[part], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        sure = np.ones(len(i), dtype=bool)
+        for k in range(span):
+            sure &= a[i + k] == b[j + k]
+        i, j = i[sure], j[sure]
+        if not len(i):
+            upto[:], done = 0, int(part[-1])
+            continue
+        if part[0] != done + 1:
+            upto[:] = 0
+        by = np.lexsort((i, i - j))
+        x, y = i[by], j[by]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (np.diff(x) != 1) | (np.diff(x - y) != 0)
+        begin = np.flatnonzero(new)
+        length = np.diff(np.append(begin, len(x)))
+        length = length + np.where(x[begin] == part[0], upto[y[begin]], 0)  # runs from the part before go on
+        best = max(best, int(length.max()))
+        last = begin + np.diff(np.append(begin, len(x))) - 1
+        on = x[last] == part[-1]
+        upto = np.zeros(len(gb) + 1, dtype=np.int64)
+        upto[y[last[on]] + 1] = length[on]
+        done = int(part[-1])
+    return best + span - 1 if best else 0
 
 
 def _extend(span: int):
@@ -191,7 +212,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, span: int = SPAN, gram:
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
     held = texts.join(F.broadcast(met) if few else met, "doc_id")
     passages = items.select("item_id", F.col("text").alias("item_text")).where(F.col("text").isNotNull())
-    both = held.join(F.broadcast(passages) if is_small(passages, 20_000) else passages, "item_id")
+    both = held.join(F.broadcast(passages) if is_light(passages, "item_text", 20_000) else passages, "item_id")
     out = both.select("doc_id", "item_id", "text", "item_text").mapInArrow(
         _extend(span), documents.select("doc_id").schema.add(items.schema["item_id"]).add("words", IntegerType())
     )

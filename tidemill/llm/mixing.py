@@ -68,7 +68,28 @@ def water_fill(sizes: list[float], shares: list[float], repeats: list[float], to
     return given
 
 
-def mixing_plan(documents: DataFrame, targets: DataFrame, total: float | None = None, tokenizer: str = TOKENIZER, limit: int = 10_000) -> DataFrame:
+def _listed(targets: DataFrame, limit: int) -> list:
+    """The listed sources, one row a name."""
+    listed = targets.where(F.col("source").isNotNull()).groupBy(source_name("source").alias("key")).agg(
+        F.min("source").alias("source"), F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")
+    )
+    rows = listed.orderBy("key").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} sources are listed")
+    return rows
+
+
+def sized_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, limit: int = 10_000) -> DataFrame:
+    """``doc_id, key, tokens`` of the rows of listed sources (``key`` is the source's name as compared). Only these are read by
+    the tokenizer. For a plan and its sample, to count once."""
+    keys = [r["key"] for r in _listed(targets, limit)]
+    rows = documents.select("doc_id", source_name("source").alias("key"), "text").where(F.col("key").isin(keys) if keys else F.lit(False))
+    return token_counts(rows, tokenizer=tokenizer)
+
+
+def mixing_plan(
+    documents: DataFrame, targets: DataFrame, total: float | None = None, tokenizer: str = TOKENIZER, limit: int = 10_000, sized: DataFrame | None = None
+) -> DataFrame:
     """One row per listed source: ``source, target_share, max_repeats, rows, size, wanted, given, epochs, short``.
 
     ``size`` is the source's size in tokens, ``wanted`` its target share of the total (``total`` tokens, by default
@@ -76,20 +97,16 @@ def mixing_plan(documents: DataFrame, targets: DataFrame, total: float | None =
     its rows are taken, and ``short`` says that even all rows taken ``max_repeats`` times stay below ``wanted``. Source
     names compare trimmed and in lower case, and are given as in ``targets``; a name listed twice counts once (its
     greatest values). A source without rows has size 0. NULL sources and sources not listed take no part. Sizes are
-    added up before the shuffle; only one row per listed source, at most ``limit``, comes to the driver.
+    added up before the shuffle; only one row per listed source, at most ``limit``, comes to the driver. ``sized`` is what
+    ``sized_documents`` gave, if that is at hand.
     """
     spark = documents.sparkSession
-    listed = targets.where(F.col("source").isNotNull()).groupBy(source_name("source").alias("key")).agg(
-        F.min("source").alias("source"), F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")
-    )
-    rows = listed.orderBy("key").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} sources are listed")
+    rows = _listed(targets, limit)
     keys = [r["key"] for r in rows]
-    sized = token_counts(documents.select(source_name("source").alias("key"), "text"), tokenizer=tokenizer)
+    sized = sized_documents(documents, targets, tokenizer, limit) if sized is None else sized
     sums = {
         r["key"]: (r["rows"], r["size"])
-        for r in sized.where(F.col("key").isin(keys)).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("size")).collect()
+        for r in sized.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("size")).collect()
     } if keys else {}
     sizes = [float(sums.get(k, (0, 0))[1] or 0) for k in keys]
     shares = [max(0.0, r["share"] or 0.0) for r in rows]
@@ -107,7 +124,7 @@ def mixing_plan(documents: DataFrame, targets: DataFrame, total: float | None =
     )
 
 
-def mixed_sample(documents: DataFrame, plan: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
+def mixed_sample(documents: DataFrame, plan: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER, sized: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, tokens, copies``: how often each row of a listed source is taken; rows taken 0 times are left out.
 
     Every row is taken the whole part of its source's epochs; a row whose seeded hash falls below the fractional part
@@ -115,7 +132,7 @@ def mixed_sample(documents: DataFrame, plan: DataFrame, seed: int = 7, tokenizer
     not on how rows are laid out. ``plan`` is that of ``mixing_plan``: one row per listed source, a bounded number.
     """
     names = F.broadcast(plan.select(source_name("source").alias("key"), "source", "epochs", "max_repeats"))
-    rows = token_counts(documents.select("doc_id", source_name("source").alias("key"), "text"), tokenizer=tokenizer)
+    rows = sized_documents(documents, plan.select("source", F.col("target_share"), "max_repeats"), tokenizer) if sized is None else sized
     joined = rows.join(names, "key")
     # 53 bits of the hash as a number in [0, 1)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+from tidemill.llm.glyphs import LOOKALIKE, PLAIN_KINDS
+from tidemill.llm.leakage import letters
+
 _VALID = """valid AS (
   SELECT series_id, t, v, t // 86400000 AS day_no FROM (
     SELECT *, row_number() OVER (PARTITION BY series_id, t ORDER BY recv_ms DESC NULLS LAST, v DESC NULLS LAST) AS rn
@@ -48,6 +54,55 @@ _CLUSTERS = f"""{_COURSES},
         walk AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON l.a = w.b)"""
 
 
+@lru_cache(maxsize=1)
+def _plain() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters and the one each is drawn like, by the names of their decompositions, and those drawn like several."""
+    alike = {a: b for one, plain in LOOKALIKE.values() for a, b in zip(one, plain, strict=True)}
+    one, other, several = [], [], []
+    for cp in [*range(0x80, 0x3001), *range(0x3130, 0x3190), *range(0xF900, 0xFFF0)]:
+        ch = chr(cp)
+        if unicodedata.category(ch) in ("Cn", "Co", "Cf"):
+            continue
+        kind = unicodedata.decomposition(ch).partition(" ")[0]
+        to = unicodedata.normalize("NFKD" if kind in PLAIN_KINDS else "NFD", ch)
+        if unicodedata.category(ch) == "Zs":
+            to = " "
+        elif " " in to:
+            continue
+        to = unicodedata.normalize("NFC", "".join(alike.get(x, x) for x in to))
+        if to != unicodedata.normalize("NFC", ch):
+            if len(to) == 1:
+                one.append(ch)
+                other.append(to)
+            else:
+                several.append((ch, to))
+    return "".join(one), "".join(other), several
+
+
+def _look(text: str) -> str:
+    """The text in which what looks the same is the same, for the characters of the test tables' languages."""
+    one, other, several = _plain()
+    invisible = r"[\p{Cf}\x{FE00}-\x{FE0F}\x{034F}\x{115F}\x{1160}\x{3164}\x{FFA0}]"
+    out = f"regexp_replace(regexp_replace({text}, '{invisible}', '', 'g'), '[\\t\\n\\r\\x0b\\x0c\\x85\\x{{2028}}\\x{{2029}}]', ' ', 'g')"
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate(nfc_normalize({out}), '{quoted(one)}', '{quoted(other)}')"
+    for a, b in several:
+        if unicodedata.category(a)[0] in "LP":
+            out = f"replace({out}, '{quoted(a)}', '{quoted(b)}')"
+    return f"nfc_normalize({out})"
+
+
+def _words(text: str) -> str:
+    """Runs of letters and digits, by classes of letters that differ in case or are only drawn alike."""
+    group = letters()[1]
+    pairs = [(chr(cp), chr(group[cp])) for cp in range(0x530) if group[cp] != cp]
+    return f"regexp_extract_all(translate({_look(text)}, '{''.join(a for a, _ in pairs)}', '{''.join(b for _, b in pairs)}'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+
+
+_LOOKS = f"""WITH forms AS (SELECT doc_id, text, {_look("text")} AS form FROM documents WHERE text <> ''),
+  looks AS (SELECT form, count(DISTINCT text) AS spellings, count(*) AS alike FROM forms GROUP BY ALL HAVING count(DISTINCT text) > 1)"""
+
+
 def _days(ps: tuple[float, ...]) -> str:
     """Percentiles and the readings on both sides of them. A day of few readings has them exactly."""
     columns = []
@@ -70,6 +125,16 @@ ORACLE = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY off, series_id) AS place FROM far)
         SELECT cluster_id, any_value(size) AS size, round(avg(off), 6) AS spread, string_agg(series_id, ',' ORDER BY place) FILTER (place <= 3) AS typical
         FROM placed GROUP BY cluster_id""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, {_words("text")} AS w FROM eval_items),
+        dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k : k + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
+        ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k : k + 9], ' '))) AS g FROM i WHERE len(w) >= 10)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p9_found": r"""WITH k AS (SELECT lower(trim(source, ' ' || chr(9))) AS key, min(source) AS source, max(target_share) AS share, max(max_repeats) AS most FROM mix_targets WHERE source IS NOT NULL GROUP BY ALL),
+        s AS (SELECT lower(trim(source, ' ' || chr(9))) AS key, sum(strlen(coalesce(text, ''))) AS size FROM documents GROUP BY ALL),
+        b AS (SELECT k.*, coalesce(size, 0) AS size FROM k LEFT JOIN s USING (key))
+        SELECT source FROM b WHERE size * most < share * (SELECT sum(size) FROM b)""",
+    "p10_found": f"""{_LOOKS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p10_classes": f"""{_LOOKS} SELECT doc_id, spellings, alike, count(*) OVER (PARTITION BY text) AS copies FROM forms JOIN looks USING (form)""",
     "p1_similar": f"{_PAIRS} SELECT pattern_id, seq_id, similarity, place FROM ranked WHERE place <= 5",
     "p5_small_days": _days((0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)),
     "p5_checked": f"""WITH {_VALID} SELECT series_id, count(*) AS n, {", ".join(f"round(quantile_cont(v, {p}) * 1.00000000001, 6) AS p{p * 100:g}" for p in (0.5, 0.9, 0.99))},

@@ -10,6 +10,7 @@ from tidemill.llm import clusters, glyphs, leakage, mixing, neighbours, quantile
 from tidemill.llm.oracle import ORACLE
 from tidemill.functions.typed import number
 from tidemill.operators import readings
+from tidemill.sources.scratch import materialise
 from tidemill.sources.tables import table
 
 WINDOW = 64
@@ -99,21 +100,31 @@ def p9_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan.withColumns({c: settled(c) for c in ("wanted", "given", "epochs")})
 
 
-def p9_sample(spark: SparkSession, d: str) -> DataFrame:
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sample and its plan, from one count of tokens."""
     documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
-    return mixing.mixed_sample(documents, mixing.mixing_plan(documents, targets))
+    sized = materialise(mixing.sized_documents(documents, targets), "sized")
+    plan = mixing.mixing_plan(documents, targets, sized=sized)
+    return mixing.mixed_sample(documents, plan, sized=sized), plan
+
+
+def p9_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
-    plan = mixing.mixing_plan(documents, targets)
-    return mixing.shares_reached(mixing.mixed_sample(documents, plan), plan).withColumn("share", settled("share"))
+    return mixing.shares_reached(*_mixed(spark, d)).withColumn("share", settled("share"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.lookalike_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that look like others: per document how many documents share its look, and how many its characters."""
+    return glyphs.lookalike_classes(table(spark, d, "documents")).select("doc_id", "spellings", "alike", "copies")
+
+
 def p10_form(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.consistent_form(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", "form", (F.coalesce(F.col("form"), F.lit("")) != F.coalesce(F.col("text"), F.lit(""))).alias("changed")
@@ -122,5 +133,5 @@ def p10_form(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_leaves, p2_courses, p5_found, p5_days, p5_small_days, p5_series, p5_checked, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_form)
+    for f in (p1_found, p1_similar, p2_found, p2_typical, p2_leaves, p2_courses, p5_found, p5_days, p5_small_days, p5_series, p5_checked, p8_found, p8_report, p9_found, p9_plan, p9_sample, p9_shares, p10_found, p10_classes, p10_form)
 }
