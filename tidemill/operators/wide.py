@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.batches import starts_of, whole_groups
 from tidemill.functions.typed import BLANKS, instant, number
 
+#: Rows whose cells are merged at a time before the shuffle.
+HELD = 200_000
 READERS = {"number": number, "date": instant, "string": lambda text: text}
 
 
@@ -14,6 +22,37 @@ def attribute_name(name: Column) -> Column:
     return F.lower(F.btrim(name, F.lit(BLANKS)))
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    cells = rows.select("tsuid", attribute_name(F.col("name")).alias("name"), "updated_at", "value")
+    return cells.where(F.col("tsuid").isNotNull() & F.col("name").isNotNull() & (F.col("name") != ""))
+
+
+def _newest(table: pa.Table) -> pa.Table:
+    """The first row of each entity and attribute, the newest first."""
+    order = [("tsuid", "ascending"), ("name", "ascending"), ("updated_at", "descending"), ("value", "descending")]
+    ranked = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_end"))
+    return ranked.filter(pa.array(starts_of(ranked, ["tsuid", "name"])))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Cells merged within each task, then laid out by entity: ``tsuid, name, updated_at, value``, sorted by entity. A hot
+    entity comes with no more than its attributes from every some hundred thousand rows."""
+    cells = _cells(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD:
+                yield from _newest(pa.Table.from_batches(held)).to_batches()
+                held, count = [], 0
+        if count:
+            yield from _newest(pa.Table.from_batches(held)).to_batches()
+
+    return cells.mapInArrow(run, cells.schema).repartition("tsuid").sortWithinPartitions("tsuid")
+
+
 def newest_cells(rows: DataFrame) -> DataFrame:
     """``tsuid, name, value``: the newest value of each attribute of each entity.
 
@@ -21,10 +60,8 @@ def newest_cells(rows: DataFrame) -> DataFrame:
     so versions and duplicates of a hot entity never meet in one task. A NULL ``updated_at`` is the oldest; of rows
     tied on it the greatest value counts, NULL below all. Rows without entity or name are left out.
     """
-    cells = rows.select("tsuid", attribute_name(F.col("name")).alias("name"), "updated_at", "value")
-    cells = cells.where(F.col("tsuid").isNotNull() & F.col("name").isNotNull() & (F.col("name") != ""))
-    merged = cells.groupBy("tsuid", "name").agg(F.max(F.struct("updated_at", "value")).alias("cell"))
-    return merged.select("tsuid", "name", F.col("cell.value").alias("value"))
+    kernel = lambda table, first: _newest(table).select(["tsuid", "name", "value"])
+    return _merged(rows).mapInArrow(whole_groups(["tsuid"], kernel), "tsuid string, name string, value string")
 
 
 def declared_types(types: DataFrame, limit: int = 2_000) -> dict[str, str]:
@@ -63,31 +100,47 @@ def widen(rows: DataFrame, types: DataFrame) -> DataFrame:
     newest value), ``unfilled`` (names whose newest value can't be read as the declared type) and ``absent`` (declared
     names without a row or whose newest value is NULL).
 
-    Each entity has one slot per attribute. Cells are merged by ``newest_cells`` first, so an entity brings at most
-    one row per attribute to its slots. An empty table gives no rows.
+    Each entity has a register of one slot per declared attribute. Cells are merged within tasks, shuffled once by entity,
+    merged again and put into the register; its texts are then read as their types. An empty table gives no rows.
     """
     declared = declared_types(types)
-    taken, slots, unread, missing = {"tsuid", "other", "unfilled", "absent"}, [], [], []
-    for name, kind in declared.items():
+    names = pa.array(list(declared), pa.string())
+    n = len(names)
+
+    def kernel(table: pa.Table, first: np.ndarray) -> pa.Table:
+        cells = _newest(table)
+        begin = np.flatnonzero(starts_of(cells, ["tsuid"]))
+        entity = np.cumsum(starts_of(cells, ["tsuid"])) - 1
+        at = pc.index_in(cells.column("name").combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), dtype=bool)
+        register = np.full(len(begin) * n, -1, dtype=np.int64)
+        register[entity[known] * n + at[known].astype(np.int64)] = np.flatnonzero(known)
+        value = cells.column("value").combine_chunks()
+        slots = value.take(pa.array(register, mask=register < 0))
+        rest = np.flatnonzero(~known)
+        ends = np.searchsorted(entity[rest], np.arange(len(begin) + 1)).astype(np.int32)
+        other = pa.MapArray.from_arrays(pa.array(ends), cells.column("name").combine_chunks().take(pa.array(rest)), value.take(pa.array(rest)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * n), slots)
+        return pa.table([cells.column("tsuid").take(pa.array(begin)), lists, other], ["tsuid", "slots", "other"])
+
+    filled = _merged(rows).mapInArrow(whole_groups(["tsuid"], kernel), "tsuid string, slots array<string>, other map<string,string>")
+    taken, columns, unread, missing = {"tsuid", "other", "unfilled", "absent"}, [], [], []
+    for k, (name, kind) in enumerate(declared.items()):
         column = name.replace(" ", "_")
         while column in taken:
             column += "_"
         taken.add(column)
-        text = F.max(F.when(F.col("name") == name, F.col("value")))
+        text = F.col("slots")[k]
         value = READERS[kind](text)
-        slots.append(value.alias(column))
+        columns.append(value.alias(column))
         unread.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
         missing.append(F.when(text.isNull(), F.lit(name)))
     none = F.array().cast("array<string>")
-    other = F.map_from_entries(
-        F.collect_list(F.when(~F.col("name").isin(list(declared)), F.struct("name", "value")))
-    )
-    return newest_cells(rows).groupBy("tsuid").agg(
-        *slots,
-        other.alias("other"),
+    return filled.select(
+        "tsuid", *columns, "other",
         (F.array_compact(F.array(*unread)) if unread else none).alias("unfilled"),
         (F.array_compact(F.array(*missing)) if missing else none).alias("absent"),
-    )
+    )
 
 
 def unreadable_cells(rows: DataFrame, types: DataFrame) -> DataFrame:

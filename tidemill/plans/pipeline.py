@@ -20,14 +20,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return wide.unreadable_cells(table(spark, d, "metadata"), table(spark, d, "md_types"))
 
 
+#: The declared attributes by type, but for the two that repeat a series' own start and end.
+_TYPES = {
+    "string": ("metric", "funcid", "unit", "site", "firmware", "line", "keeper_note", "enclosure", "protocol", "shift_group", "rack"),
+    "number": (
+        "qual_ref_period", "qual_nb_points", "qual_min_value", "qual_max_value", "qual_average", "sensor_gain", "install_height_m", "batch_no",
+        "cable_length_m", "offset_corr", "sample_bits", "noise_floor",
+    ),
+    "date": ("calibration_date", "warranty_end", "last_visit", "commissioned"),
+}
+_WIDE = [name for names in _TYPES.values() for name in names]
+
+
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table with its lists as text."""
+    """The wide table with all declared attributes, and its lists and map as text."""
     rows = wide.widen(table(spark, d, "metadata"), table(spark, d, "md_types"))
     as_text = {"unfilled": F.array_join(F.array_sort("unfilled"), ","), "absent": F.array_join(F.array_sort("absent"), ",")}
-    return rows.withColumns(as_text).select(
-        "tsuid", "metric", "site", "qual_ref_period", "sensor_gain", "cable_length_m", "calibration_date", "last_visit",
-        "unfilled", "absent",
-    )
+    pairs = F.transform(F.map_entries("other"), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit(""))))
+    rows = rows.withColumns({**as_text, "other": F.array_join(F.array_sort(pairs), ",")})
+    return rows.select("tsuid", *_WIDE, "other", "unfilled", "absent")
 
 
 def p3_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +110,10 @@ read AS (
 judged AS (
   SELECT *, value IS NOT NULL AND CASE data_type WHEN 'number' THEN num IS NOT NULL AND isfinite(num)
                                                  WHEN 'date' THEN moment IS NOT NULL ELSE TRUE END AS readable FROM read)"""
+_COLUMNS = ", ".join(
+    f"max({value}) FILTER (name = '{name}'{readable}) AS {name}"
+    for kind, value, readable in (("string", "value", ""), ("number", "num", " AND readable"), ("date", "moment", "")) for name in _TYPES[kind]
+)
 _ATTRS = "(SELECT lower(trim(name)) AS name, data_type FROM md_types)"
 _DENSE = f"""WITH {VALID},
 daily AS (SELECT series_id, day_no, sum(v) AS s, count(*) AS c FROM valid GROUP BY ALL),
@@ -168,16 +183,13 @@ ORACLE = {
         FROM judged GROUP BY ALL""",
     "p3_wide": f"""WITH {_CELLS}, grid AS (
           SELECT tsuid, a.name, j.value, readable, num, moment
-          FROM (SELECT DISTINCT tsuid FROM cells) CROSS JOIN {_ATTRS} a LEFT JOIN judged j USING (tsuid, name))
-        SELECT tsuid, max(value) FILTER (name = 'metric') AS metric, max(value) FILTER (name = 'site') AS site,
-          max(num) FILTER (name = 'qual_ref_period' AND readable) AS qual_ref_period,
-          max(num) FILTER (name = 'sensor_gain' AND readable) AS sensor_gain,
-          max(num) FILTER (name = 'cable_length_m' AND readable) AS cable_length_m,
-          max(moment) FILTER (name = 'calibration_date') AS calibration_date,
-          max(moment) FILTER (name = 'last_visit') AS last_visit,
+          FROM (SELECT DISTINCT tsuid FROM cells) CROSS JOIN {_ATTRS} a LEFT JOIN judged j USING (tsuid, name)),
+        o AS (SELECT tsuid, string_agg(name || '=' || coalesce(value, ''), ',' ORDER BY name || '=' || coalesce(value, '')) AS other
+              FROM cells WHERE name NOT IN (SELECT name FROM {_ATTRS} a) GROUP BY tsuid)
+        SELECT grid.tsuid, {_COLUMNS}, coalesce(any_value(other), '') AS other,
           coalesce(string_agg(name, ',' ORDER BY name) FILTER (value IS NOT NULL AND NOT readable), '') AS unfilled,
           coalesce(string_agg(name, ',' ORDER BY name) FILTER (value IS NULL), '') AS absent
-        FROM grid GROUP BY tsuid""",
+        FROM grid LEFT JOIN o USING (tsuid) GROUP BY grid.tsuid""",
     "p4_found": f"""{_DENSE} SELECT series_id, day_no FROM w
         WHERE day_no >= a + 29 AND round(s7 / 7, 6) >= 2 * round(s30 / 30, 6) AND round(s30 / 30, 6) > 0""",
     "p4_trailing": f"""{_DENSE} SELECT series_id, day_no, {s_('s7')} AS total_7, c7 AS n_7, {s_('s7 / 7')} AS avg_day_7,
