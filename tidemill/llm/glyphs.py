@@ -24,11 +24,11 @@ from tidemill.sources.scratch import materialise
 LOOKALIKE = {
     "Cyrillic small": ("аеорсухѕіјһԁԛԝӏ", "aeopcyxsijhdqwl"),
     "Cyrillic capital": ("АВЕКМНОРСТУХЅІЈҮԌԚԜӀ", "ABEKMHOPCTYXSIJYGQWI"),
-    "Greek small": ("ονϲϳρ", "ovcjp"),
+    "Greek small": ("ονϲϳ", "ovcj"),
     "Greek capital": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
-    "Armenian": ("օսհոցզՕՍՏԼ", "ouhngqOUSL"),
+    "Armenian": ("օսհոՕ", "ouhnO"),
     "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4RWSLCPKB"),
-    "Latin of other shape tables": ("ɑɡꓐꓚꓓꓰꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "agBCDEGHJKLMNOPRSTUVWXYZ"),
+    "Lisu": ("ꓐꓚꓓꓰꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "BCDEGHJKLMNOPRSTUVWXYZ"),
     "Hyphens": ("‐‑", "--"),
 }
 #: Kinds of compatibility characters drawn like their plain letters. Superscripts, circled letters and the like differ.
