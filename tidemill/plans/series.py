@@ -330,7 +330,22 @@ def sliding_windows_linear(spark, d):
     return _windows(spark, d, linear=(0.005, 0.95)).select("series_id", "rank", "start_ms")
 
 
-@query()
+def _kept_sql(radius: float) -> str:
+    """The windows that are neither near-linear nor too like the one kept before: a walk along each series."""
+    return f"""{_WINDOWED}, l AS (
+      SELECT series_id, rank, any_value(start_ms) AS start_ms, any_value(local_std) AS dev, covar_pop(v, t - start_ms) AS c, var_pop(t - start_ms) AS vt, list(v ORDER BY t) AS x
+      FROM m JOIN w USING (series_id, rank) GROUP BY series_id, rank),
+    s AS (SELECT series_id, stddev_pop(v) AS sd FROM valid GROUP BY ALL),
+    o AS (SELECT series_id, rank, start_ms, x, greatest({radius}, 0.1 * sqrt({WINDOW}) * sd) AS least, row_number() OVER (PARTITION BY series_id ORDER BY rank) AS k
+          FROM l JOIN s USING (series_id) WHERE dev > 0.005 AND coalesce(c * c / nullif(dev * dev * vt, 0), 0) < 0.95),
+    walk AS (SELECT series_id, k, rank, start_ms, x AS kept, true AS chosen FROM o WHERE k = 1
+      UNION ALL SELECT o.series_id, o.k, o.rank, o.start_ms, CASE WHEN list_distance(o.x, kept) >= least THEN o.x ELSE kept END, list_distance(o.x, kept) >= least
+                FROM walk JOIN o ON o.series_id = walk.series_id AND o.k = walk.k + 1),
+    z AS (SELECT *, max(k) OVER (PARTITION BY series_id) AS last FROM walk),
+    kept AS (SELECT series_id, rank, start_ms FROM z WHERE chosen OR k = last)"""
+
+
+@query(f"WITH RECURSIVE {_kept_sql(0.75)} SELECT * FROM kept")
 def sliding_windows_filtered(spark, d):
     """Without near-linear windows and those too like the one before."""
     rows = _windows(spark, d, trivial=0.75, linear=(0.005, 0.95))
@@ -388,13 +403,23 @@ def _motifs(spark, d, **how) -> DataFrame:
 
 def _listed(found: DataFrame) -> DataFrame:
     return found.groupBy("pattern_id", "regex", "words", "length").agg(
-        F.count(F.lit(1)).alias("windows"), F.count_distinct("location.series_id").alias("series"), F.min("location.t").alias("first_t"), F.round(F.avg("location.dev"), 6).alias("dev")
+        F.count(F.lit(1)).alias("windows"), F.count_distinct("location.series_id").alias("series"), F.min("location.t").alias("first_t"), settled(F.avg("location.dev"), 4).alias("dev")
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {_kept_sql(0.5)}, p AS (
+      SELECT series_id, rank, least(greatest(CAST(ceil((t - w.start_ms) / ((end_ms - w.start_ms) / {PAA})) AS INT) - 1, 0), {PAA - 1}) AS part, round(avg({_SCALED}), 9) AS x
+      FROM m JOIN w USING (series_id, rank) SEMI JOIN kept USING (series_id, rank) GROUP BY ALL),
+    f AS (SELECT series_id, rank, part, last_value(x IGNORE NULLS) OVER (PARTITION BY series_id, rank ORDER BY part) AS x
+          FROM (SELECT series_id, rank, unnest(range({PAA})) AS part FROM kept) LEFT JOIN p USING (series_id, rank, part)),
+    q AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS b FROM f),
+    named AS (SELECT series_id, rank, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x >= round(y, 9))) AS INT)), '' ORDER BY part) AS word FROM f, q GROUP BY series_id, rank)
+    SELECT md5(word) AS pattern_id, word AS regex, CAST(1 AS INT) AS words, CAST({WINDOW} AS INT) AS length, count(*) AS windows, count(DISTINCT series_id) AS series,
+      min(start_ms) AS first_t, {s_("avg(local_std)", 4)} AS dev
+    FROM named JOIN w USING (series_id, rank) GROUP BY word HAVING count(*) > 1""")
 def motifs(spark, d):
-    """The recurring patterns and where they are, in figures."""
+    """The recurring patterns and where they are, in figures. So many windows make words of six letters agree by chance that
+    only equal ones are seeds: the patterns are the words of several windows, which SQL can say."""
     return _listed(_motifs(spark, d))
 
 
