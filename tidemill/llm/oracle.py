@@ -125,6 +125,15 @@ ORACLE = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY off, series_id) AS place FROM far)
         SELECT cluster_id, any_value(size) AS size, round(avg(off), 6) AS spread, string_agg(series_id, ',' ORDER BY place) FILTER (place <= 3) AS typical
         FROM placed GROUP BY cluster_id""",
+    "p8_report": f"""WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, {_words("text")} AS w FROM eval_items WHERE text <> ''),
+        dg AS (SELECT doc_id, unnest(range(1, len(w) - 8)) AS k, w FROM d WHERE len(w) >= 10), ig AS (SELECT item_id, unnest(range(1, len(w) - 8)) AS j, w FROM i WHERE len(w) >= 10),
+        met AS (SELECT doc_id, item_id, k, k - j AS along FROM dg JOIN ig ON array_to_string(dg.w[k : k + 9], ' ') = array_to_string(ig.w[j : j + 9], ' ')),
+        placed AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, along ORDER BY k) AS island FROM met),
+        runs AS (SELECT doc_id, item_id, count(*) + 9 AS words FROM placed GROUP BY doc_id, item_id, along, island),
+        leaks AS (SELECT doc_id, item_id, max(words) AS words FROM runs GROUP BY ALL)
+        SELECT item_id, count(doc_id) AS documents, CAST(max(words) AS INT) AS longest, arg_min(doc_id, (-words, doc_id)) AS example
+        FROM (SELECT DISTINCT item_id FROM eval_items WHERE item_id IS NOT NULL) LEFT JOIN leaks USING (item_id) GROUP BY item_id""",
+    "p10_form": f"""SELECT doc_id, {_look("text")} AS form, coalesce({_look("text")}, '') <> coalesce(text, '') AS changed FROM documents""",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, {_words("text")} AS w FROM eval_items),
         dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k : k + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
         ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k : k + 9], ' '))) AS g FROM i WHERE len(w) >= 10)
