@@ -36,11 +36,19 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def fits(written: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a written frame has few enough rows and bytes to be broadcast."""
+    size = int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= BROADCAST_BYTES and is_small(written, rows)
+
+
+def measured_join(left: DataFrame, right: DataFrame, on: list[str] | str, small: bool, how: str = "inner") -> DataFrame:
+    """Joins with a right side that is known to be small enough to be broadcast, or not: then rows on the left are spread."""
+    return left.join(F.broadcast(right), on, how) if small else salted_join(left, right, on, how)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins an inner or left join with a right side of few rows a key. It is written once, unless it is read from files as
     it is, and counted there; found small in rows and bytes it is broadcast, else the left rows of a key are spread."""
     right = right if is_written(right) else materialise(right, "side")
-    size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size <= BROADCAST_BYTES and is_small(right, rows):
-        return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, how)
+    return measured_join(left, right, on, fits(right, rows), how)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.joins import is_small, sized_join
+from tidemill.functions.joins import BROADCAST_ROWS, fits, is_small, measured_join, sized_join
 from tidemill.sources.scratch import materialise
 
 #: Values that one aggregation may hold.
@@ -89,11 +89,11 @@ def _at(rank: Column, what: str) -> Column:
     return F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col(what)))
 
 
-def pick(inner: DataFrame, spots: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
-    """``keys, x``: the values between two neighbouring ranks of each group, ``share`` of the way.
+def pick(inner: DataFrame, spots: DataFrame, keys: list[str], held: int = HELD, small: bool | None = None) -> DataFrame:
+    """``keys, n, x``: the values between two neighbouring ranks of each group, ``share`` of the way.
 
-    ``inner`` has ``keys, v, c`` (values and how often they occur, each once), ``spots`` has ``keys, below, above, share``,
-    one row a group. Groups of more than ``held`` values are cut into parts of their range, of which only those that hold
+    ``inner`` has ``keys, v, c`` (values and how often they occur, each once), ``spots`` has ``keys, n, below, above, share``,
+    one row a group; ``small`` tells whether these can be broadcast, if that is known. Groups of more than ``held`` values are cut into parts of their range, of which only those that hold
     the ranks go on, until no task orders more.
     """
     while not is_small(inner, held):
@@ -110,15 +110,17 @@ def pick(inner: DataFrame, spots: DataFrame, keys: list[str], held: int = HELD)
         chosen = materialise(
             known.groupBy(*keys).agg(
                 _at(F.col("below"), "part").alias("low"), _at(F.col("above"), "part").alias("high"), _at(F.col("below"), "under").alias("under"),
-                F.max("below").alias("below"), F.max("above").alias("above"), F.max("share").alias("share"),
+                F.max("below").alias("below"), F.max("above").alias("above"), F.max("share").alias("share"), F.max("n").alias("n"),
             ), "spots",
         )
         kept = sized_join(parted, chosen.select(*keys, "low", "high"), keys).where(F.col("part").between(F.col("low"), F.col("high")))
         inner = materialise(kept.select(*keys, "v", "c"), "inner")
-        spots = chosen.select(*keys, (F.col("below") - F.col("under")).alias("below"), (F.col("above") - F.col("under")).alias("above"), "share")
-    placed = sized_join(_placed(inner, keys, "v"), spots, keys)
-    found = placed.groupBy(*keys).agg(_at(F.col("below"), "v").alias("a"), _at(F.col("above"), "v").alias("b"), F.max("share").alias("share"))
-    return found.select(*keys, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("x"))
+        spots = chosen.select(*keys, "n", (F.col("below") - F.col("under")).alias("below"), (F.col("above") - F.col("under")).alias("above"), "share")
+        small = fits(chosen)
+    placed = _placed(inner, keys, "v")
+    placed = sized_join(placed, spots, keys) if small is None else measured_join(placed, spots, keys, small)
+    found = placed.groupBy(*keys).agg(_at(F.col("below"), "v").alias("a"), _at(F.col("above"), "v").alias("b"), F.max("share").alias("share"), F.max("n").alias("n"))
+    return found.select(*keys, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("x"))
 
 
 def grouped_percentiles(rows: DataFrame, keys: list[str], ps: dict[str, float], value: str = "v", held: int = HELD) -> DataFrame:
@@ -140,14 +142,14 @@ def grouped_percentiles(rows: DataFrame, keys: list[str], ps: dict[str, float],
     spots = materialise(cells.groupBy(*keys).agg(F.max("n").alias("n"), *columns), "cells")
     b = magnitude(F.col("v"))
     inside = [b.between(F.col(f"low_{k}"), F.col(f"high_{k}")) for k in range(len(ps))]
-    some = sized_join(rows, spots.drop("n", *(f"under_{k}" for k in range(len(ps)))), keys).where(reduce(operator.or_, inside))
+    small = fits(spots, BROADCAST_ROWS // len(ps))
+    some = measured_join(rows, spots.drop("n", *(f"under_{k}" for k in range(len(ps)))), keys, small).where(reduce(operator.or_, inside))
     wanted = some.select(*keys, "v", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(k)) for k, x in enumerate(inside))))).alias("q"))
     inner = materialise(wanted.groupBy(*keys, "q", "v").agg(F.count(F.lit(1)).alias("c")), "inner")
     each = spots.select(*keys, "n", F.explode(F.array(*(F.struct(F.lit(k).alias("q"), F.lit(float(p)).alias("p"), F.col(f"under_{k}").alias("under")) for k, p in enumerate(ps.values())))).alias("s"))
     where = F.col("s.p") * (F.col("n") - 1)
     ranks = each.select(
-        *keys, F.col("s.q").alias("q"), (F.floor(where) - F.col("s.under")).alias("below"), (F.ceil(where) - F.col("s.under")).alias("above"), (where - F.floor(where)).alias("share")
+        *keys, "n", F.col("s.q").alias("q"), (F.floor(where) - F.col("s.under")).alias("below"), (F.ceil(where) - F.col("s.under")).alias("above"), (where - F.floor(where)).alias("share")
     )
-    found = pick(inner, materialise(ranks, "ranks"), [*keys, "q"], held)
-    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == k, F.col("x"))).alias(name) for k, name in enumerate(ps)))
-    return sized_join(wide, spots.select(*keys, "n"), keys).select(*keys, "n", *ps)
+    found = pick(inner, ranks, [*keys, "q"], held, small)
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("q") == k, F.col("x"))).alias(name) for k, name in enumerate(ps)))
