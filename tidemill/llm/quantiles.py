@@ -279,7 +279,7 @@ def exact_percentile(rows: DataFrame, bounds: DataFrame, keys: list[str], p: flo
     where = F.lit(p) * (F.col("n") - 1)
     under = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0))
     spots = counted.groupBy(*keys).agg(F.max("n").alias("n"), under.alias("under")).select(
-        *keys, (F.floor(where) - F.col("under")).alias("below"), (F.ceil(where) - F.col("under")).alias("above"), (where - F.floor(where)).alias("share")
+        *keys, "n", (F.floor(where) - F.col("under")).alias("below"), (F.ceil(where) - F.col("under")).alias("above"), (where - F.floor(where)).alias("share")
     )
     found = pick(counted.where(F.col("v").isNotNull()).select(*keys, "v", "c"), materialise(spots, "spots"), keys)
     return found.select(*keys, F.col("x").alias(name))
