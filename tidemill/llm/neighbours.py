@@ -30,12 +30,13 @@ from tidemill.sources.scratch import materialise
 UNIT = ArrayType(DoubleType())
 DIMENSIONS = 12
 SURE = 0.9999
-#: Rows a cell is planned for. Cells are as many as it takes, up to ``MOST_CELLS``; beyond, cells grow with the rows. One that
-#: is larger than planned, as of copies that no plane divides, is split by a hash of the id, and each part is searched.
+#: Rows a cell is planned for. Beyond ``MOST_CELLS`` cells they grow instead, as a query is copied to each it reaches, up to
+#: ``LARGEST_CELL`` rows, what a task holds well; beyond that there are more cells again. A cell larger than planned, as of
+#: copies that no plane divides, is split by a hash of the id, and each part is searched.
 CELL_ROWS = 8192
-MOST_CELLS = 65_536
-#: Rows the cells are fitted on, at least, and per cell: so at most a million. Of these only the projections are collected;
-#: every row is indexed.
+MOST_CELLS = 4096
+LARGEST_CELL = 262_144
+#: Rows the cells are fitted on, at least, and per cell. Of these only the projections are collected; every row is indexed.
 SAMPLE_ROWS = 4096
 SAMPLE_OF_CELL = 16
 LEAF_ROWS = 256
@@ -279,7 +280,7 @@ def most_similar(
     widest = 2 * (1 - floor) + SLACK
     rows = base.select(base_id, base_vector).where(F.col(base_id).isNotNull() & (F.size(base_vector) == width))
     total = rows.count()
-    wanted = max(1, min(-(-total // cell_rows), MOST_CELLS))
+    wanted = max(1, min(-(-total // cell_rows), MOST_CELLS), -(-total // LARGEST_CELL))
     planned = -(-total // wanted)
     lines = directions(width, dimensions, seed)
     cells = Cells(_projected(rows.select(base_vector), total, max(sample_rows, SAMPLE_OF_CELL * wanted), width, lines, seed), wanted)
