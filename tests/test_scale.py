@@ -24,10 +24,10 @@ def hot(spark):
     return frame.repartition(5), {f"g{k}": x[g == k] for k in range(6)}
 
 
-@pytest.mark.parametrize("held", [1_000_000, 300])
-def test_percentiles_of_groups(hot, held):
+@pytest.mark.parametrize(("held", "sparse"), [(1_000_000, False), (300, False), (1_000_000, True), (2000, True)])
+def test_percentiles_of_groups(hot, held, sparse):
     frame, data = hot
-    got = {r.k: r for r in ranks.grouped_percentiles(frame, ["k"], {"low": 0.01, "half": 0.5, "high": 0.9}, held=held).collect()}
+    got = {r.k: r for r in ranks.grouped_percentiles(frame, ["k"], {"low": 0.01, "half": 0.5, "high": 0.9}, held=held, sparse=sparse).collect()}
     assert set(got) == set(data)
     for k, x in data.items():
         assert got[k].n == len(x) and np.allclose([got[k].low, got[k].half, got[k].high], np.quantile(x, [0.01, 0.5, 0.9]), atol=1e-12)

@@ -123,14 +123,41 @@ def pick(inner: DataFrame, spots: DataFrame, keys: list[str], held: int = HELD,
     return found.select(*keys, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("x"))
 
 
-def grouped_percentiles(rows: DataFrame, keys: list[str], ps: dict[str, float], value: str = "v", held: int = HELD) -> DataFrame:
+def _ordered(rows: DataFrame, keys: list[str], ps: dict[str, float]) -> DataFrame:
+    """The percentiles of groups that a task can order, with one shuffle."""
+    counted = rows.repartition(*keys).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    placed = _placed(counted, keys, "v").withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    columns = []
+    for k, p in enumerate(ps.values()):
+        where = F.lit(float(p)) * (F.col("n") - 1)
+        columns += [_at(F.floor(where), "v").alias(f"a_{k}"), _at(F.ceil(where), "v").alias(f"b_{k}")]
+    ends = placed.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
+    between = []
+    for k, (name, p) in enumerate(ps.items()):
+        where, a, b = F.lit(float(p)) * (F.col("n") - 1), F.col(f"a_{k}"), F.col(f"b_{k}")
+        between.append(F.when(a == b, a).otherwise(a + (b - a) * (where - F.floor(where))).alias(name))
+    return ends.select(*keys, "n", *between)
+
+
+def grouped_percentiles(
+    rows: DataFrame, keys: list[str], ps: dict[str, float], value: str = "v", held: int = HELD, sparse: bool = False
+) -> DataFrame:
     """``keys, n`` and a column per name in ``ps``: exact percentiles (0 to 1, linear between order statistics) of the
     non-NULL values of each group; groups without any have no row.
 
     Read twice: first values are counted by ``magnitude``, before any shuffle; then the values in the cells that hold the
-    ranks are ordered. However large a group, no more than ``held`` of its values meet in a task.
+    ranks are ordered. However large a group, no more than ``held`` of its values meet in a task. Where groups are ``sparse``,
+    counting them first saves nothing: of first keys with at most ``held`` values the groups are ordered at once.
     """
     rows = rows.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    if sparse:
+        large = rows.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > held).select(keys[0])
+        large = materialise(large, "large")
+        if is_small(large, 0):
+            return _ordered(rows, keys, ps)
+        side = F.broadcast(large) if fits(large) else large
+        rest = grouped_percentiles(rows.join(side, keys[0], "left_semi"), keys, ps, "v", held)
+        return _ordered(rows.join(side, keys[0], "left_anti"), keys, ps).unionByName(rest)
     cells = rows.groupBy(*keys, magnitude(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     cells = _placed(cells, keys, "b").withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     cells = cells.withColumn("under", F.col("upto") - F.col("c"))
