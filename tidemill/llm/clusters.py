@@ -42,14 +42,15 @@ def daily_courses(points: DataFrame, periods: DataFrame, least: int = 3) -> Data
     """``series_id, course``: the 24 medians of the valid readings by UTC hour of day, of series with a period of at
     most one hour and at least ``least`` valid readings in each hour.
 
-    The readings of a series and hour are counted by size before they are shuffled, and only those in the cell of the median
-    are put in order, split further where they are many: no task sees a series, or an hour of one, whole.
+    A series of up to a million readings is ordered by hour. Of longer ones the readings of an hour are counted by size before
+    they are shuffled, and only those in the cell of the median are put in order, split further where they are many: no task
+    sees such a series, or an hour of one, whole.
     """
     fit = periods.where(F.col("period").between(1, HOUR_MS)).select("series_id").distinct()
     readings = valid_readings(sized_join(points.select("series_id", "t", "v", "recv_ms"), fit, "series_id"))
     hour = F.expr(f"pmod(floor(t / {HOUR_MS}), {HOURS})").cast("int")
     values = materialise(readings.select("series_id", hour.alias("hour"), "v"), "hours")
-    medians = grouped_percentiles(values, ["series_id", "hour"], {"median": 0.5})
+    medians = grouped_percentiles(values, ["series_id", "hour"], {"median": 0.5}, sparse=True)
     whole = medians.groupBy("series_id").agg(
         F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("hour", "median"))).alias("course")
     )
