@@ -298,11 +298,14 @@ def _windows(spark, d, trivial: float = 0.0, linear: tuple[float, float] | None
     return symbolic.sliding_windows(readings(spark, d), WINDOW, 0.5, False, False, True, linear, trivial)
 
 
-_WINDOWED = f"""{VALID}, i AS (
+_CUT = f"""i AS (
       SELECT series_id, t, v, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM valid),
     m AS (SELECT series_id, t, v, unnest(range(greatest((idx - {WINDOW} + {WINDOW // 2}) // {WINDOW // 2}, 0), least(idx // {WINDOW // 2}, (n - {WINDOW}) // {WINDOW // 2}) + 1)) AS rank
           FROM i WHERE n >= {WINDOW}),
     w AS (SELECT series_id, rank, min(t) AS start_ms, max(t) AS end_ms, avg(v) AS local_mean, stddev_pop(v) AS local_std FROM m GROUP BY ALL)"""
+_WINDOWED = f"{VALID}, {_CUT}"
+_WHOLE = f"""{VALID}, g AS (SELECT series_id, avg(v) AS mean, CASE WHEN stddev_pop(v) IN (0, 1) THEN 1 ELSE stddev_pop(v) END AS scale FROM valid GROUP BY ALL),
+    whole AS (SELECT series_id, t, (v - mean) / scale AS v FROM valid JOIN g USING (series_id)), {_CUT.replace("FROM valid", "FROM whole")}"""
 
 
 _SCALED = "(v - local_mean) / CASE WHEN local_std = 0 THEN 1 ELSE local_std END"
@@ -330,12 +333,12 @@ def sliding_windows_linear(spark, d):
     return _windows(spark, d, linear=(0.005, 0.95)).select("series_id", "rank", "start_ms")
 
 
-def _kept_sql(radius: float) -> str:
+def _kept_sql(radius: float, windowed: str = _WINDOWED, source: str = "valid") -> str:
     """The windows that are neither near-linear nor too like the one kept before: a walk along each series."""
-    return f"""{_WINDOWED}, l AS (
+    return f"""{windowed}, l AS (
       SELECT series_id, rank, any_value(start_ms) AS start_ms, any_value(local_std) AS dev, covar_pop(v, t - start_ms) AS c, var_pop(t - start_ms) AS vt, list(v ORDER BY t) AS x
       FROM m JOIN w USING (series_id, rank) GROUP BY series_id, rank),
-    s AS (SELECT series_id, stddev_pop(v) AS sd FROM valid GROUP BY ALL),
+    s AS (SELECT series_id, stddev_pop(v) AS sd FROM {source} GROUP BY ALL),
     o AS (SELECT series_id, rank, start_ms, x, greatest({radius}, 0.1 * sqrt({WINDOW}) * sd) AS least, row_number() OVER (PARTITION BY series_id ORDER BY rank) AS k
           FROM l JOIN s USING (series_id) WHERE dev > 0.005 AND coalesce(c * c / nullif(dev * dev * vt, 0), 0) < 0.95),
     walk AS (SELECT series_id, k, rank, start_ms, x AS kept, true AS chosen FROM o WHERE k = 1
@@ -407,7 +410,9 @@ def _listed(found: DataFrame) -> DataFrame:
     )
 
 
-@query(f"""WITH RECURSIVE {_kept_sql(0.5)}, p AS (
+def _words_sql(kept: str, dev: str) -> str:
+    """The words of several windows."""
+    return f"""WITH RECURSIVE {kept}, p AS (
       SELECT series_id, rank, least(greatest(CAST(ceil((t - w.start_ms) / ((end_ms - w.start_ms) / {PAA})) AS INT) - 1, 0), {PAA - 1}) AS part, round(avg({_SCALED}), 9) AS x
       FROM m JOIN w USING (series_id, rank) SEMI JOIN kept USING (series_id, rank) GROUP BY ALL),
     f AS (SELECT series_id, rank, part, last_value(x IGNORE NULLS) OVER (PARTITION BY series_id, rank ORDER BY part) AS x
@@ -415,21 +420,25 @@ def _listed(found: DataFrame) -> DataFrame:
     q AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS b FROM f),
     named AS (SELECT series_id, rank, string_agg(chr(CAST(97 + len(list_filter(b, lambda y: x >= round(y, 9))) AS INT)), '' ORDER BY part) AS word FROM f, q GROUP BY series_id, rank)
     SELECT md5(word) AS pattern_id, word AS regex, CAST(1 AS INT) AS words, CAST({WINDOW} AS INT) AS length, count(*) AS windows, count(DISTINCT series_id) AS series,
-      min(start_ms) AS first_t, {s_("avg(local_std)", 4)} AS dev
-    FROM named JOIN w USING (series_id, rank) GROUP BY word HAVING count(*) > 1""")
+      min(start_ms) AS first_t, {dev} AS dev
+    FROM named JOIN w USING (series_id, rank) {"JOIN g USING (series_id)" if "scale" in dev else ""} GROUP BY word HAVING count(*) > 1"""
+
+
+@query(_words_sql(_kept_sql(0.5), s_("avg(local_std)", 4)))
 def motifs(spark, d):
     """The recurring patterns and where they are, in figures. So many windows make words of six letters agree by chance that
     only equal ones are seeds: the patterns are the words of several windows, which SQL can say."""
     return _listed(_motifs(spark, d))
 
 
-@query()
+@query(_words_sql(_kept_sql(0.5), s_("avg(local_std)", 4)))
 def motifs_iterative(spark, d):
-    """Groups around the pairs of words that collide most, the greatest counts first, under a third of the masks."""
+    """Groups around the pairs of words that collide most, the greatest counts first, under a third of the masks. These cover all
+    places of a word, so that here too only equal words collide in all of them."""
     return _listed(_motifs(spark, d, iterative=True, iterations=3, collision_share=0.34))
 
 
-@query()
+@query(_words_sql(_kept_sql(0.5, _WHOLE, "whole"), s_("avg(local_std * scale)", 4)))
 def motifs_brute_force(spark, d):
     """Groups of all words near a seed, whether they collide or not, of series scaled as a whole."""
     return _listed(_motifs(spark, d, by_collisions=False, global_norm=True, collision_share=0.34))
