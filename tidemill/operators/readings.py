@@ -24,29 +24,30 @@ def day_of(t: str = "t") -> Column:
     return F.expr(f"{t} div {DAY_MS}")
 
 
-def by_day(points: DataFrame) -> DataFrame:
+def by_day(points: DataFrame, day: Column | None = None) -> DataFrame:
     """``series_id, t, v, recv_ms, day_no, chunk``, rows of a series and day in one partition. Rows without series
-    or time are left out."""
+    or time are left out. ``day`` may be another number that never falls with time in a series, such as that of a week."""
     # a cast that changes nothing would leave an alias, and with it two plans of the same rows that share no exchange
     kinds = dict(points.select("t", "v").dtypes)
     cast = [F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("t", "bigint"), ("v", "double"))]
-    rows = points.select("series_id", *cast, "recv_ms")
+    number = [] if day is None else [day.alias("day_no")]
+    rows = points.select("series_id", *cast, "recv_ms", *number)
     rows = rows.where(F.col("series_id").isNotNull() & F.col("t").isNotNull())
-    rows = rows.withColumn("day_no", day_of()).repartition("series_id", "day_no")
+    rows = (rows.withColumn("day_no", day_of()) if day is None else rows).repartition("series_id", "day_no")
     return rows.withColumn("chunk", F.xxhash64("series_id", "day_no"))
 
 
-def valid_readings(points: DataFrame) -> DataFrame:
+def valid_readings(points: DataFrame, day: Column | None = None) -> DataFrame:
     """One reading per series and time: ``series_id, t, v, day_no, chunk``.
 
     Of the rows with the same ``(series_id, t)`` the one with the greatest ``recv_ms`` counts; a NULL ``recv_ms`` is
     the oldest, and of rows tied on it the greatest ``v`` counts (NaN above all, NULL below all). It is left out if
-    its ``v`` is NULL or NaN. Further columns are ignored. An empty table gives no rows.
+    its ``v`` is NULL or NaN. Further columns are ignored. An empty table gives no rows. ``day`` as for ``by_day``.
     """
     newest = Window.partitionBy(*CHUNK).orderBy(
         F.col("t"), F.col("recv_ms").desc_nulls_last(), F.col("v").desc_nulls_last()
     )
-    rows = by_day(points).withColumn("before", F.lag("t").over(newest))
+    rows = by_day(points, day).withColumn("before", F.lag("t").over(newest))
     rows = rows.where((F.col("before").isNull() | (F.col("before") != F.col("t"))) & F.col("v").isNotNull() & ~F.isnan("v"))
     return of_source(rows.select("series_id", "t", "v", "day_no", "chunk"), points)
 
