@@ -227,3 +227,25 @@ def test_a_folder_that_executors_share_is_needed_on_a_cluster(spark, monkeypatch
         scratch.shared_folder(Session)
     held = scratch.materialise(spark.range(5), "few")
     assert scratch.is_written(held) and not scratch.is_written(held.where("id > 1")) and held.count() == 5
+
+
+def test_sides_are_broadcast_by_the_bytes_of_their_texts(spark):
+    def side(prefix):
+        return scratch.materialise(spark.range(40_000).select(F.concat(F.lit(prefix), "id").alias("series_id"), F.col("id").alias("n")), "side")
+
+    # 40 MB of ids, which the driver holds twice, take a few hundred kB as a file
+    assert joins.fits(side("s")) and not joins.fits(side("s" * 1000))
+
+
+def test_spikes_of_long_ids_without_broadcast(points, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = {name * 300: [(k * 3_600_000, x) for k, x in enumerate(rng.normal(size=200))] for name in "abc"}
+    data["a" * 300][70] = (70 * 3_600_000, 99.0)
+    want = spikes.implausible(points(data)).collect()
+    sides, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda frame: sides.append(frame.columns) or broadcast(frame))
+    monkeypatch.setattr(joins, "fits", lambda *_: False)
+    monkeypatch.setattr(ranks, "fits", lambda *_: False)
+    got = spikes.implausible(points(data)).collect()
+    assert sorted(got) == sorted(want) and ("a" * 300, 70 * 3_600_000) in {(r.series_id, r.t) for r in got}
+    assert sides and not any("series_id" in x for x in sides)
