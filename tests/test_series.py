@@ -382,6 +382,19 @@ def test_matrices(points):
         assert math.isclose(parts[a, b], np.corrcoef(x[a], x[b])[0, 1]) and math.isclose(far[a, b], np.linalg.norm(x[a] - x[b]))
 
 
+def test_cells_of_a_correlation_matrix_are_not_shuffled(points, monkeypatch):
+    monkeypatch.setattr(relate, "BLOCK", 3)
+    monkeypatch.setattr(relate, "STRIP", 2)
+    monkeypatch.setattr(relate, "CELLS", 4)
+    rng = np.random.default_rng(6)
+    x = {f"s{k}": rng.normal(size=30 + k) for k in range(25)}
+    got = relate.correlation_matrix(points({s: [(3_600_000 * k, y) for k, y in enumerate(v)] for s, v in x.items()}))
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    cells = {(r.id_a, r.id_b): r.correlation for r in got.collect()}
+    assert got.count() == len(cells) == 300 and all(a < b for a, b in cells)
+    assert all(math.isclose(r, np.corrcoef(x[a][:30], x[b][:30])[0, 1], abs_tol=1e-12) for (a, b), r in cells.items())
+
+
 def test_registered_cross_correlation_over_all_lags(spark, points, tmp_path):
     from tidemill.plans import series
 

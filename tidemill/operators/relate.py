@@ -2,82 +2,123 @@
 
 Series are aligned by position and cut to the shorter. A matrix over S series has S * S / 2 cells, so it is meant for
 the series of a dataset. Series become arrays no longer than the second longest of them (what lies beyond meets nothing),
-which are compared block against block, and part by part where the relation is a sum over positions.
+which are compared block against block, and part by part where the relation is a sum over positions. Neither blocks nor
+cells are shuffled: blocks are written once and each pair of them is read where it is compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.joins import sized_join
+from tidemill.functions.joins import is_small, sized_join
 from tidemill.operators.readings import laid_out, ordinal
-from tidemill.sources.scratch import is_written, materialise
+from tidemill.sources.scratch import materialise
 
 #: Series in a block.
 BLOCK = 256
+#: Series in a block where there are many and the kernel is a product of matrices, and the blocks there are at least before they grow.
+WIDE = 2048
+LEAST = 4
 #: Values of a series in a part.
 PART = 65_536
 #: Values that the series of a block hold together.
-HELD = 16_000_000
+HELD = 1_000_000
+#: Series on the left of a product of matrices, and cells in a batch of rows.
+STRIP = 512
+CELLS = 131_072
 #: Products of spectra that are held at a time.
 SPECTRA = 4_000_000
 
 
 def series_arrays(readings: DataFrame, equal: bool = False, part_rows: int | None = None) -> DataFrame:
     """``series_id, part, values``: each series' values in order of time, cut to the second longest series, or with
-    ``equal`` to the shortest; in parts of ``part_rows``, or whole as part 0."""
-    laid = laid_out(readings)
-    counts = laid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    ``equal`` to the shortest; in parts of ``part_rows``, or whole as part 0. The readings are gathered once, into files
+    that tell how long the series are."""
+    step = part_rows or PART
+    part = F.floor(F.col("idx") / step).cast("long")
+    gathered = ordinal(laid_out(readings)).groupBy("series_id", part.alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("values")
+    )
+    parts = materialise(gathered.withColumn("n", F.size("values")), "parts")
+    counts = parts.groupBy("series_id").agg(F.sum("n").alias("n"))
     if equal:
         cap = counts.agg(F.min("n")).first()[0] or 0
     else:
         top = [r["n"] for r in counts.orderBy(F.col("n").desc()).limit(2).collect()]
         cap = top[-1] if top else 0
-    rows = ordinal(laid).where(F.col("idx") < cap)
-    part = F.floor(F.col("idx") / part_rows).cast("long") if part_rows else F.lit(0).cast("long")
-    return rows.groupBy("series_id", part.alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("values")
-    )
+    left = F.lit(cap) - F.col("part") * step
+    values = F.when(F.col("n") > left, F.slice("values", F.lit(1), left.cast("int"))).otherwise(F.col("values"))
+    cut = parts.where(left > 0).select("series_id", "part", values.alias("values"))
+    if part_rows or cap <= step:
+        return cut
+    joined = F.array_sort(F.collect_list(F.struct("part", "values")))
+    return cut.groupBy("series_id").agg(F.flatten(F.transform(joined, lambda x: x["values"])).alias("values")).select("series_id", F.lit(0).cast("long").alias("part"), "values")
+
 
+def _packed(table: pa.Table) -> pa.Table:
+    """The series of a block as one row."""
+    values = table.column("values").combine_chunks()
+    ends, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
+    row = {"ids": table.column("series_id").to_pylist(), "sizes": np.diff(ends).tolist(), "data": flat[ends[0] : ends[-1]].tobytes()}
+    keys = {k: table.column(k)[0].as_py() for k in ("h", "part", "far")}
+    return pa.Table.from_pylist([keys | row], pa.schema({"h": pa.int32(), "part": pa.int64(), "far": pa.bool_(), "ids": pa.list_(pa.string()), "sizes": pa.list_(pa.int32()), "data": pa.binary()}))
 
-def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], block: int = BLOCK) -> DataFrame:
+
+def _unpacked(batch: pa.RecordBatch, k: int, side: str) -> tuple[list[str], list[np.ndarray]]:
+    sizes = batch.column(f"sizes_{side}")[k].values.to_numpy()
+    flat = np.frombuffer(batch.column(f"data_{side}")[k].as_buffer(), dtype=np.float64)
+    return batch.column(f"ids_{side}")[k].as_py(), np.split(flat, np.cumsum(sizes)[:-1])
+
+
+def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], wide: bool = False) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``) and the kernel's columns for all pairs of series and parts. The kernel gets two
-    lists of arrays and gives matrices. Each part of a pair of blocks is one task's work; blocks of long series are smaller."""
-    arrays = arrays if is_written(arrays) else materialise(arrays, "arrays")
-    total, longest = arrays.agg(F.count_distinct("series_id"), F.coalesce(F.max(F.size("values")), F.lit(0))).first()
-    blocks = max(1, -(-total // max(1, min(block, HELD // max(1, longest)))))
+    lists of arrays and gives matrices. With ``wide`` blocks grow beyond ``BLOCK`` series where there are many. Arrays may
+    be marked as ``far``: then pairs of two that are get no row."""
+    apart = "far" in arrays.columns
+    size = F.size("values")
+    total, held = arrays.agg(F.count_distinct("series_id"), F.coalesce(F.sum(F.when(F.col("part") == 0, size)), F.lit(0))).first()
+    most = min(WIDE, max(BLOCK, -(-total // LEAST))) if wide else BLOCK
+    blocks = max(1, -(-total // most), -(-held // HELD))
     placed = arrays.withColumn("h", F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"))
-    # a series goes to every pair of blocks with its own: first or second of the pair
-    ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    sent = placed.select(
-        "series_id", "part", "values", "h", F.explode(F.transform(ids, lambda o: F.struct(F.least(o, "h").alias("p"), F.greatest(o, "h").alias("q")))).alias("pair")
-    ).select("series_id", "part", "values", "h", "pair.p", "pair.q")
-    schema = "id_a string, id_b string, " + ", ".join(f"{n} double" for n in names)
-
-    def run(table: pa.Table) -> pa.Table:
-        sid = np.array(table.column("series_id").to_pylist(), dtype=object)
-        values = table.column("values").combine_chunks()
-        ends, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
-        rows = [flat[ends[k] : ends[k + 1]] for k in range(len(sid))]
-        h, p, q = table.column("h").to_numpy(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        left, right = np.flatnonzero(h == p), np.flatnonzero(h == q)
-        if not len(left) or not len(right):
-            return pa.Table.from_arrays([pa.array([], pa.string())] * 2 + [pa.array([], pa.float64())] * len(names), ["id_a", "id_b", *names])
-        cells = kernel([rows[k] for k in left], [rows[k] for k in right])
-        a, b = np.repeat(sid[left], len(right)), np.tile(sid[right], len(left))
-        keep = a < b if p == q else np.ones(len(a), dtype=bool)
-        turn = a > b
-        a, b = np.where(turn, b, a), np.where(turn, a, b)
-        return pa.Table.from_arrays(
-            [pa.array(list(a[keep]), pa.string()), pa.array(list(b[keep]), pa.string()), *(pa.array(c.ravel()[keep]) for c in cells)], ["id_a", "id_b", *names]
-        )
-
-    return sent.groupBy("p", "q", "part").applyInArrow(run, schema)
+    placed = (placed if apart else placed.withColumn("far", F.lit(False))).repartition(blocks, "h")
+    packed = placed.groupBy("h", "part", "far").applyInArrow(_packed, "h int, part long, far boolean, ids array<string>, sizes array<int>, data binary")
+    written = materialise(packed, "blocks")
+    a, b = (written.select(*(F.col(c).alias(f"{c}_{side}") for c in written.columns)) for side in "ab")
+    # of a pair of blocks one order counts, in turns, so that every task has some
+    once = (F.col("h_a") == F.col("h_b")) & (~F.col("far_a") | F.col("far_b")) | (F.col("h_a") != F.col("h_b")) & ((F.col("h_a") < F.col("h_b")) == (F.pmod(F.col("h_a") + F.col("h_b"), F.lit(2)) == 0))
+    met = (F.col("part_a") == F.col("part_b")) & once
+    pairs = a.join(b.hint("shuffle_replicate_nl"), met & ~(F.col("far_a") & F.col("far_b")) if apart else met)
+    schema = pa.schema({"id_a": pa.string(), "id_b": pa.string(), **dict.fromkeys(names, pa.float64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids_a, left), (ids_b, right) = _unpacked(batch, k, "a"), _unpacked(batch, k, "b")
+                ids = pa.array(ids_a + ids_b, pa.string())
+                rank = np.unique(np.array(ids_a + ids_b, dtype=object), return_inverse=True)[1]
+                at_b = np.arange(len(ids_a), len(rank), dtype=np.int32)
+                within = batch.column("h_a")[k] == batch.column("h_b")[k] and batch.column("far_a")[k] == batch.column("far_b")[k]
+                step = max(1, CELLS // len(right))
+                for low in range(0, len(left), STRIP):
+                    cells = kernel(left[low : low + STRIP], right)
+                    for start in range(0, len(cells[0]), step):
+                        some = [c[start : start + step].ravel() for c in cells]
+                        at_a = np.arange(low + start, low + min(start + step, len(cells[0])), dtype=np.int32)
+                        x, y = np.repeat(at_a, len(right)), np.tile(at_b, len(at_a))
+                        turn = rank[x] > rank[y]
+                        if within:
+                            keep = rank[x] < rank[y]
+                            x, y, some = x[keep], y[keep], [c[keep] for c in some]
+                        else:
+                            x, y = np.where(turn, y, x), np.where(turn, x, y)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), *map(pa.array, some)], schema=schema)
+
+    return pairs.mapInArrow(run, "id_a string, id_b string, " + ", ".join(f"{n} double" for n in names))
 
 
 def _squares(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
@@ -93,7 +134,7 @@ def _squares(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray
 def euclidean_distances(readings: DataFrame, part_rows: int = PART) -> DataFrame:
     """``id_a, id_b, distance`` of all pairs, aligned by position and cut to the shorter series. Long series are compared
     part by part; the sums of squares are added up."""
-    sums = pairwise(series_arrays(readings, part_rows=part_rows), _squares, ["s"])
+    sums = pairwise(series_arrays(readings, part_rows=part_rows), _squares, ["s"], wide=True)
     return sums.groupBy("id_a", "id_b").agg(F.sqrt(F.sum("s")).alias("distance"))
 
 
@@ -123,12 +164,14 @@ def _ranks(x: np.ndarray) -> np.ndarray:
 
 def correlation_matrix(readings: DataFrame, method: str = "pearson", part_rows: int = PART) -> DataFrame:
     """``id_a, id_b, correlation`` of all pairs, all series cut to the shortest; NaN where one is constant. For Pearson,
-    standardised values are multiplied part by part and added up; ranks need a series whole."""
+    series of several parts are standardised first, multiplied part by part and added up; ranks need a series whole."""
     name = method.lower()
     if name not in ("pearson", "spearman"):
         raise ValueError("the method is pearson or spearman")
     if name == "pearson":
-        parts = materialise(series_arrays(readings, True, part_rows), "parts")
+        parts = series_arrays(readings, True, part_rows)
+        if is_small(parts.where("part > 0"), 0):
+            return pairwise(parts, _pearson, ["correlation"], wide=True)
         values = parts.select("series_id", F.explode("values").alias("v"))
         moments = values.groupBy("series_id").agg(
             F.avg("v").alias("m"), (F.stddev_pop("v") * F.sqrt(F.count("v"))).alias("s"), (F.min("v") == F.max("v")).alias("flat")
@@ -136,7 +179,7 @@ def correlation_matrix(readings: DataFrame, method: str = "pearson", part_rows:
         scale = F.when(F.col("flat"), F.lit(float("nan"))).otherwise(F.col("s"))
         joined = sized_join(parts, moments.select("series_id", "m", scale.alias("s")), "series_id")
         z = F.transform("values", lambda x: (x - F.col("m")) / F.col("s"))
-        sums = pairwise(joined.select("series_id", "part", z.alias("values")), _products, ["c"])
+        sums = pairwise(joined.select("series_id", "part", z.alias("values")), _products, ["c"], wide=True)
         r = F.greatest(F.least(F.sum("c"), F.lit(1.0)), F.lit(-1.0))
         return sums.groupBy("id_a", "id_b").agg(F.when(F.isnan(F.sum("c")), F.lit(float("nan"))).otherwise(r).alias("correlation"))
     arrays = series_arrays(readings, equal=True)
