@@ -395,6 +395,29 @@ def test_cells_of_a_correlation_matrix_are_not_shuffled(points, monkeypatch):
     assert all(math.isclose(r, np.corrcoef(x[a][:30], x[b][:30])[0, 1], abs_tol=1e-12) for (a, b), r in cells.items())
 
 
+def test_cells_of_a_distance_matrix_are_summed_only_for_pairs_of_long_series(points, monkeypatch):
+    monkeypatch.setattr(relate, "BLOCK", 3)
+    rng = np.random.default_rng(7)
+    x = {f"s{k}": 1e4 + rng.normal(size=int(n)) for k, n in enumerate([1, 4, 9, 10, 10, 9, 3, 17, 23, 30, 31, 80])}
+    x |= {"same": x["s8"].copy(), "near": x["s8"] + 1e-7, "endless": np.array([1.0, np.inf, 2.0]), "vast": np.full(12, 1e200)}
+    frame = points({s: [(3_600_000 * k, float(y)) for k, y in enumerate(v)] for s, v in x.items()})
+
+    def want(a, b):
+        n = min(len(a), len(b))
+        with np.errstate(over="ignore", invalid="ignore"):
+            return float(np.sqrt(((a[:n] - b[:n]) ** 2).sum()))
+
+    for part_rows in (10, 65_536):
+        got = relate.euclidean_distances(frame, part_rows=part_rows)
+        if part_rows > 80:
+            assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        cells = {(r.id_a, r.id_b): r.distance for r in got.collect()}
+        assert got.count() == len(cells) == 16 * 15 // 2 and cells["s8", "same"] == 0
+        for (a, b), r in cells.items():
+            d = want(x[a], x[b])
+            assert a < b and (r == d or (math.isnan(r) and math.isnan(d)) or math.isclose(r, d, rel_tol=1e-10)), (a, b, r, d)
+
+
 def test_registered_cross_correlation_over_all_lags(spark, points, tmp_path):
     from tidemill.plans import series
 

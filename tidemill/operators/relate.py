@@ -26,13 +26,15 @@ WIDE = 2048
 LEAST = 4
 #: Values of a series in a part.
 PART = 65_536
-#: Values that the series of a block hold together.
-HELD = 1_000_000
+#: Values that the series of a block hold together. A pair of blocks is in memory several times: as rows, as Arrow, as matrices.
+HELD = 262_144
 #: Series on the left of a product of matrices, and cells in a batch of rows.
 STRIP = 512
 CELLS = 131_072
 #: Products of spectra that are held at a time.
 SPECTRA = 4_000_000
+#: A sum of squared differences this much smaller than the squares it is the rest of is taken from the differences.
+CLOSE = 256
 
 
 def series_arrays(readings: DataFrame, equal: bool = False, part_rows: int | None = None) -> DataFrame:
@@ -60,11 +62,14 @@ def series_arrays(readings: DataFrame, equal: bool = False, part_rows: int | Non
     return cut.groupBy("series_id").agg(F.flatten(F.transform(joined, lambda x: x["values"])).alias("values")).select("series_id", F.lit(0).cast("long").alias("part"), "values")
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    """The series of a block as one row."""
+def _packed(table: pa.Table, each: Callable[[np.ndarray], np.ndarray] | None) -> pa.Table:
+    """The series of a block as one row, ``each`` turned into other values."""
     values = table.column("values").combine_chunks()
     ends, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
-    row = {"ids": table.column("series_id").to_pylist(), "sizes": np.diff(ends).tolist(), "data": flat[ends[0] : ends[-1]].tobytes()}
+    flat, ends = flat[ends[0] : ends[-1]], ends - ends[0]
+    if each:
+        flat = np.concatenate([each(x) for x in np.split(flat, ends[1:-1])]).astype(np.float64)
+    row = {"ids": table.column("series_id").to_pylist(), "sizes": np.diff(ends).tolist(), "data": flat.tobytes()}
     keys = {k: table.column(k)[0].as_py() for k in ("h", "part", "far")}
     return pa.Table.from_pylist([keys | row], pa.schema({"h": pa.int32(), "part": pa.int64(), "far": pa.bool_(), "ids": pa.list_(pa.string()), "sizes": pa.list_(pa.int32()), "data": pa.binary()}))
 
@@ -75,18 +80,18 @@ def _unpacked(batch: pa.RecordBatch, k: int, side: str) -> tuple[list[str], list
     return batch.column(f"ids_{side}")[k].as_py(), np.split(flat, np.cumsum(sizes)[:-1])
 
 
-def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], wide: bool = False) -> DataFrame:
+def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], wide: bool = False, each: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``) and the kernel's columns for all pairs of series and parts. The kernel gets two
-    lists of arrays and gives matrices. With ``wide`` blocks grow beyond ``BLOCK`` series where there are many. Arrays may
+    lists of arrays, of which ``each`` may have made others before, and gives matrices. With ``wide`` blocks grow beyond ``BLOCK`` series where there are many. Arrays may
     be marked as ``far``: then pairs of two that are get no row."""
     apart = "far" in arrays.columns
     size = F.size("values")
     total, held = arrays.agg(F.count_distinct("series_id"), F.coalesce(F.sum(F.when(F.col("part") == 0, size)), F.lit(0))).first()
     most = min(WIDE, max(BLOCK, -(-total // LEAST))) if wide else BLOCK
-    blocks = max(1, -(-total // most), -(-held // HELD))
+    blocks = max(1, -(-total // most), -(-held // (HELD if wide else 4 * HELD)))
     placed = arrays.withColumn("h", F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"))
     placed = (placed if apart else placed.withColumn("far", F.lit(False))).repartition(blocks, "h")
-    packed = placed.groupBy("h", "part", "far").applyInArrow(_packed, "h int, part long, far boolean, ids array<string>, sizes array<int>, data binary")
+    packed = placed.groupBy("h", "part", "far").applyInArrow(lambda table: _packed(table, each), "h int, part long, far boolean, ids array<string>, sizes array<int>, data binary")
     written = materialise(packed, "blocks")
     a, b = (written.select(*(F.col(c).alias(f"{c}_{side}") for c in written.columns)) for side in "ab")
     # of a pair of blocks one order counts, in turns, so that every task has some
@@ -121,21 +126,59 @@ def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndar
     return pairs.mapInArrow(run, "id_a string, id_b string, " + ", ".join(f"{n} double" for n in names))
 
 
+def _alike(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of like length together: their places, lengths, the rows padded with 0, and the sums of squares up to each place."""
+    size = np.array([len(x) for x in rows])
+    order, out, start = np.argsort(size, kind="stable"), [], 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and stop - start < BLOCK and size[order[stop]] <= 2 * size[order[start]] + 16 and size[order[stop]] * (stop + 1 - start) <= HELD:
+            stop += 1
+        at = order[start:stop]
+        x = np.zeros((len(at), size[at[-1]]))
+        for k, place in enumerate(at):
+            x[k, : size[place]] = rows[place]
+        sums = np.zeros((len(at), x.shape[1] + 1))
+        np.cumsum(x * x, axis=1, out=sums[:, 1:])
+        out.append((at, size[at], x, sums))
+        start = stop
+    return out
+
+
 def _squares(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of squared differences up to the shorter, as what the products leave of the squares; where that is little, or
+    isn't a number, from the differences themselves."""
     out = np.zeros((len(left), len(right)))
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            n = min(len(x), len(y))
-            d = x[:n] - y[:n]
-            out[i, j] = d @ d
+    with np.errstate(over="ignore", invalid="ignore"):
+        others = _alike(right)
+        for at_a, size_a, x, sums_a in _alike(left):
+            for at_b, size_b, y, sums_b in others:
+                n = min(x.shape[1], y.shape[1])
+                squares = sums_a[:, np.minimum(size_b, x.shape[1])] + sums_b[:, np.minimum(size_a, y.shape[1])].T
+                s = squares - 2 * (x[:, :n] @ y[:, :n].T)
+                for i, j in zip(*np.nonzero(~(s > squares / CLOSE)), strict=True):
+                    k = min(size_a[i], size_b[j])
+                    d = x[i, :k] - y[j, :k]
+                    s[i, j] = d @ d
+                out[np.ix_(at_a, at_b)] = s
     return [out]
 
 
+def _distances(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.sqrt(_squares(left, right)[0])]
+
+
 def euclidean_distances(readings: DataFrame, part_rows: int = PART) -> DataFrame:
-    """``id_a, id_b, distance`` of all pairs, aligned by position and cut to the shorter series. Long series are compared
-    part by part; the sums of squares are added up."""
-    sums = pairwise(series_arrays(readings, part_rows=part_rows), _squares, ["s"], wide=True)
-    return sums.groupBy("id_a", "id_b").agg(F.sqrt(F.sum("s")).alias("distance"))
+    """``id_a, id_b, distance`` of all pairs, aligned by position and cut to the shorter series. Two series of several parts
+    are compared part by part, and the sums of squares added up; other pairs meet in their first part alone."""
+    arrays = series_arrays(readings, part_rows=part_rows)
+    far = materialise(arrays.where("part > 0").select("series_id").distinct().withColumn("far", F.lit(True)), "far")
+    if is_small(far, 0):
+        return pairwise(arrays, _distances, ["distance"], wide=True)
+    marked = sized_join(arrays, far, "series_id", "left").withColumn("far", F.coalesce("far", F.lit(False)))
+    first = pairwise(marked.where("part = 0"), _distances, ["distance"], wide=True)
+    sums = pairwise(marked.where("far").drop("far"), _squares, ["s"])
+    return first.unionByName(sums.groupBy("id_a", "id_b").agg(F.sqrt(F.sum("s")).alias("distance")))
 
 
 def _standard(rows: list[np.ndarray]) -> np.ndarray:
@@ -183,7 +226,7 @@ def correlation_matrix(readings: DataFrame, method: str = "pearson", part_rows:
         r = F.greatest(F.least(F.sum("c"), F.lit(1.0)), F.lit(-1.0))
         return sums.groupBy("id_a", "id_b").agg(F.when(F.isnan(F.sum("c")), F.lit(float("nan"))).otherwise(r).alias("correlation"))
     arrays = series_arrays(readings, equal=True)
-    return pairwise(arrays, lambda a, b: _pearson([_ranks(x) for x in a], [_ranks(x) for x in b]), ["correlation"])
+    return pairwise(arrays, _pearson, ["correlation"], wide=True, each=_ranks)
 
 
 def cross_correlation(readings: DataFrame, lag_max: int | None = None) -> DataFrame:
