@@ -418,6 +418,17 @@ def test_cells_of_a_distance_matrix_are_summed_only_for_pairs_of_long_series(poi
             assert a < b and (r == d or (math.isnan(r) and math.isnan(d)) or math.isclose(r, d, rel_tol=1e-10)), (a, b, r, d)
 
 
+def test_cells_are_rounded_as_other_values(spark):
+    from tidemill.functions.compare import settled, settled_cells
+
+    rng = np.random.default_rng(11)
+    x = [0.0, -0.0, -1e-9, 0.0000005, -0.0000005, 1.5e-6, 2.5e-6, 1.0, -1.0, 1e9, 123456789.1234565, 1e300, math.inf, -math.inf, math.nan]
+    frame = spark.createDataFrame([(float(y),) for y in [*x, *rng.normal(size=2000), *(1000 * rng.normal(size=2000))]] + [(None,)], "x double")
+    for digits in (4, 6):
+        rows = frame.select(settled("x", digits).alias("a"), settled_cells("x", digits).alias("b")).collect()
+        assert all(str(r.a) == str(r.b) for r in rows)
+
+
 def test_registered_cross_correlation_over_all_lags(spark, points, tmp_path):
     from tidemill.plans import series
 

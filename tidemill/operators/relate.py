@@ -27,10 +27,10 @@ LEAST = 4
 #: Values of a series in a part.
 PART = 65_536
 #: Values that the series of a block hold together. A pair of blocks is in memory several times: as rows, as Arrow, as matrices.
-HELD = 262_144
+HELD = 196_608
 #: Series on the left of a product of matrices, and cells in a batch of rows.
 STRIP = 512
-CELLS = 131_072
+CELLS = 65_536
 #: Products of spectra that are held at a time.
 SPECTRA = 4_000_000
 #: A sum of squared differences this much smaller than the squares it is the rest of is taken from the differences.
@@ -102,6 +102,7 @@ def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for k in range(batch.num_rows):
                 (ids_a, left), (ids_b, right) = _unpacked(batch, k, "a"), _unpacked(batch, k, "b")
                 ids = pa.array(ids_a + ids_b, pa.string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.compare import settled
+from tidemill.functions.compare import settled, settled_cells
 from tidemill.functions.compare import settled_sql as s_
 from tidemill.functions.typed import number
 from tidemill.operators import cut, derive, describe, learn, match, motif, relate, resample, symbolic, transform
@@ -505,7 +505,7 @@ _ALIGNED = f"""{VALID}, c AS (SELECT series_id, count(*) AS n FROM valid GROUP B
 @query(f"""WITH {_ALIGNED} SELECT a.series_id AS id_a, b.series_id AS id_b, {s_("corr(a.v, b.v)")} AS correlation
     FROM e a JOIN e b ON a.idx = b.idx AND a.series_id < b.series_id GROUP BY ALL""")
 def pearson_matrix(spark, d):
-    return relate.correlation_matrix(readings(spark, d)).withColumn("correlation", settled("correlation"))
+    return relate.correlation_matrix(readings(spark, d)).withColumn("correlation", settled_cells("correlation"))
 
 
 @query(f"""WITH {_ALIGNED}, r AS (
@@ -540,7 +540,7 @@ def cross_correlation_all(spark, d):
     SELECT a.series_id AS id_a, b.series_id AS id_b, {s_("sqrt(sum((a.v - b.v) * (a.v - b.v)))", 4)} AS distance
     FROM i a JOIN i b ON a.idx = b.idx AND a.series_id < b.series_id GROUP BY ALL""")
 def euclidean_distances(spark, d):
-    return relate.euclidean_distances(readings(spark, d)).withColumn("distance", settled("distance", 4))
+    return relate.euclidean_distances(readings(spark, d)).withColumn("distance", settled_cells("distance", 4))
 
 
 _CONTEXT = """WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t, max(value) AS v FROM events GROUP BY ALL),
