@@ -80,14 +80,15 @@ def _unpacked(batch: pa.RecordBatch, k: int, side: str) -> tuple[list[str], list
     return batch.column(f"ids_{side}")[k].as_py(), np.split(flat, np.cumsum(sizes)[:-1])
 
 
-def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], wide: bool = False, each: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def pairwise(arrays: DataFrame, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], names: list[str], block: int | None = None, wide: bool = False, each: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``) and the kernel's columns for all pairs of series and parts. The kernel gets two
-    lists of arrays, of which ``each`` may have made others before, and gives matrices. With ``wide`` blocks grow beyond ``BLOCK`` series where there are many. Arrays may
+    lists of arrays, of which ``each`` may have made others before, and gives matrices. Blocks have ``block`` series or
+    so, else ``BLOCK``, and with ``wide`` more where there are many. Arrays may
     be marked as ``far``: then pairs of two that are get no row."""
     apart = "far" in arrays.columns
     size = F.size("values")
     total, held = arrays.agg(F.count_distinct("series_id"), F.coalesce(F.sum(F.when(F.col("part") == 0, size)), F.lit(0))).first()
-    most = min(WIDE, max(BLOCK, -(-total // LEAST))) if wide else BLOCK
+    most = block or (min(WIDE, max(BLOCK, -(-total // LEAST))) if wide else BLOCK)
     blocks = max(1, -(-total // most), -(-held // (HELD if wide else 4 * HELD)))
     placed = arrays.withColumn("h", F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"))
     placed = (placed if apart else placed.withColumn("far", F.lit(False))).repartition(blocks, "h")
